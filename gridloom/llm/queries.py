@@ -3,22 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import near_dedup
+from gridloom.llm import byte_bpe, decontaminate, language_id, near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def multi_ranks() -> bytes:
+    return Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.roundtrip_digests(_table(spark, sf_dir, "documents"), multi_ranks(), public_tokenizers.PATTERN, spaced=True)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.prototypes(docs.where(~language_id.held_out()))
+    return language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.window_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_near_dedup, op5_language_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

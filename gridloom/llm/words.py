@@ -96,6 +96,8 @@ class Group:
     row: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    #: where each row's bytes begin in buf
+    at: np.ndarray
 
     def hashes(self) -> np.ndarray:
         return span_hashes(self.buf, self.starts, self.ends)
@@ -137,5 +139,5 @@ def groups(column: pa.Array, table: np.ndarray, lower: bool = True) -> Iterator[
             end[inner - 1] = word[inner - 1]
         starts = np.flatnonzero(begin)
         row = np.searchsorted(at, starts, side="right") - 1
-        yield Group(first, last - first, buf, row, starts, np.flatnonzero(end) + 1)
+        yield Group(first, last - first, buf, row, starts, np.flatnonzero(end) + 1, at[:-1])
         first = last
