@@ -7,16 +7,17 @@ Steps, each a distributed job:
 2. *Rarity*: a table of 2**20 counters, summed over all sketches, gives one global order of hashes, rare before common.
    Its size is fixed; collisions in it change speed only, as any common order is right for the next step.
 3. *Inverted lists*: two sets of the wanted similarity share at least c retained values, so they meet among the
-   (retained - c + 1) rarest of each. Only these are listed. Length and position bounds reject most meetings at once.
+   (retained - c + 1) rarest of each. Only these are listed. Length and position bounds reject most meetings at once,
+   and a 64-bit signature (one bit of the least of the set's hashes under each of 64 multipliers) most others.
 4. *Links*: each list first offers each member one partner, its least edited one (the fewest rarer values before the
    common one), so a group of copies costs its size and not its square. Members still in different components are then
    compared with all members of their lists in other components, so that no link between components is lost.
-5. *Verify*: union-sketch estimates reject; sets within SKETCH are exact already, larger ones are built again from whole
-   texts and compared in full.
+5. *Verify*: pairs are brought together in blocks of their sets, each set once a block. Union-sketch estimates reject;
+   sets within SKETCH are exact already, larger ones are built again from whole texts and compared in full.
 6. *Components* over the links.
 
-For sets above SKETCH hashes, c is SIGMAS standard deviations below the expected number, so a link exactly at the
-threshold is missed with a probability under 1e-6; smaller sets are exact.
+A link exactly at the threshold is missed with a probability under 1e-6: c is SIGMAS standard deviations below the
+expected number where sketches are not whole sets, and signatures may differ in FAR bits where 6 are expected.
 """
 
 from __future__ import annotations
@@ -26,15 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
 from gridloom.llm.components import components
 from gridloom.llm.scratch import Scratch, small
 
-SKETCH = 256
+SKETCH = 1024
 SIGMAS = 5.0
+FAR = 22
+#: Members of an inverted list, by the counters, beyond which its first round is dealt to several tasks.
+HOT = 200_000
+#: Values of sets that are compared in one block.
+BLOCK = 1 << 17
 BUCKETS = 1 << 20
 _SLICE = 1 << 14
 
@@ -78,19 +84,33 @@ def set_key(values: np.ndarray) -> int:
         return int(W.mix(np.array([total + np.uint64(len(u))], dtype=np.uint64)).view(np.int64)[0])
 
 
+_MULTIPLIERS = W.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def signature(values: np.ndarray) -> int:
+    """64 bits that agree in a share of (1 + similarity) / 2 of their places on average."""
+    least = np.full(64, np.iinfo(np.uint64).max, dtype=np.uint64)
+    u = values.view(np.uint64)
+    for lo in range(0, len(u), 1024):
+        least = np.minimum(least, (u[lo : lo + 1024, None] * _MULTIPLIERS).min(axis=0))
+    bits = (W.mix(least) >> np.uint64(63)).astype(np.uint8)
+    return int(np.packbits(bits).view(">i8")[0])
+
+
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, parts = [], [], []
+            n, keys, signs, parts = [], [], [], []
             for _, s in row_sets(b, width):
                 n.append(len(s))
                 keys.append(set_key(s))
+                signs.append(signature(s))
                 parts.append(s[:SKETCH].copy())
             for lo in range(0, len(n), 2000):
                 hi = lo + 2000
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[lo:hi], pa.array(n[lo:hi], pa.int64()), pa.array(keys[lo:hi], pa.int64()), _lists(parts[lo:hi])],
-                    ["doc_id", "n", "key", "sketch"],
+                    [b.column("doc_id")[lo:hi], pa.array(n[lo:hi], pa.int64()), pa.array(keys[lo:hi], pa.int64()), pa.array(signs[lo:hi], pa.int64()), _lists(parts[lo:hi])],
+                    ["doc_id", "n", "key", "sign", "sketch"],
                 )
 
     return run
@@ -165,148 +185,168 @@ def _entries(order, bounds: Bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = order.value, set()
         for b in batches:
-            ns, keys = b.column("n").to_numpy(), b.column("key").to_numpy()
+            ns, keys, signs = (b.column(c).to_numpy() for c in ("n", "key", "sign"))
             col, values = b.column("sketch").offsets.to_numpy(), b.column("sketch").values.to_numpy()
-            value, key, place = [], [], []
+            rows = [[] for _ in range(5)]
             for i in _unseen(b, seen):
-                n = int(ns[i])
-                p = bounds.prefix(n) if n else 0
-                s = values[col[i] : col[i + 1]]
-                if p <= 0 or not len(s):
+                if not (n := int(ns[i])):
                     continue
+                s = values[col[i] : col[i + 1]]
                 c = counts[_bucket(s)]
-                near = s[np.lexsort((s, c))[:p]]
-                value.append(near)
-                key.append(np.full(len(near), keys[i]))
-                place.append((n << 16) + np.arange(len(near)))
-            if value:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (value, key, place)], ["value", "key", "place"])
+                first = np.lexsort((s, c))[: bounds.prefix(n)]
+                lanes = 1 + c[first] // HOT
+                lane = np.where(lanes > 1, (keys[i] & 0xFFFFFF) % lanes, 0)
+                for to, x in zip(rows, (s[first], lane, np.full(len(first), keys[i]), (n << 16) + np.arange(len(first)), np.full(len(first), signs[i])), strict=True):
+                    to.append(x)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in rows], ["value", "lane", "key", "place", "sign"])
 
     return run
 
 
 def _fits(bounds: Bounds, a: str, b: str):
-    """Length and position bounds of two list members whose columns are {a}key, {a}n, {a}pos and {b}key, {b}n, {b}pos."""
+    """Length, position and signature bounds of two list members, with columns {a}n, {a}pos, {a}sign and those of b."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     rest = lambda x: F.least(F.col(f"{x}n"), F.lit(SKETCH)) - F.col(f"{x}pos")
-    sized = (F.least(na, nb) * 100 >= F.greatest(na, nb) * bounds.percent)
-    need = F.when((na <= SKETCH) & (nb <= SKETCH), F.ceil((na + nb) * bounds.percent / F.lit(100.0 + bounds.percent) - F.lit(1e-6))).otherwise(bounds.far)
-    return sized & (F.least(rest(a), rest(b)) >= need)
-
-
-def _share(bounds: Bounds):
-    """Exact answers for pairs of whole sets, estimates for others: verdict 1 is a link, 0 still open; the rest go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
-            sides = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy()) for c in ("xs", "ys")]
-            verdict = np.full(b.num_rows, -1, dtype=np.int32)
-            for i in range(b.num_rows):
-                x, y = (v[o[i] : o[i + 1]] for o, v in sides)
-                both = np.concatenate([x, y])
-                both.sort()
-                twice = both[:-1][both[1:] == both[:-1]]
-                if n[i] <= len(x) and m[i] <= len(y):
-                    if 100 * len(twice) >= bounds.percent * (len(both) - len(twice)):
-                        verdict[i] = 1
-                else:
-                    union = len(both) - len(twice)
-                    if union > SKETCH:
-                        edge = np.unique(both)[SKETCH - 1]
-                        twice = twice[twice <= edge]
-                    if len(twice) >= bounds.far:
-                        verdict[i] = 0
-            keep = np.flatnonzero(verdict >= 0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("x").take(pa.array(keep)), b.column("y").take(pa.array(keep)), pa.array(verdict[keep])], ["x", "y", "verdict"]
-            )
-
-    return run
-
-
-def _exact(bounds: Bounds):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = (b.column(c)[i].values.to_numpy() for c in ("xs", "ys"))
-                both = np.concatenate([x, y])
-                both.sort()
-                k = int((both[1:] == both[:-1]).sum())
-                if 100 * k >= bounds.percent * (len(both) - k):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in ("x", "y")], ["x", "y"])
+    sized = F.least(na, nb) * 100 >= F.greatest(na, nb) * bounds.percent
+    whole = F.ceil((na + nb) * bounds.percent / F.lit(100.0 + bounds.percent) - F.lit(1e-6))
+    need = F.when((na <= SKETCH) & (nb <= SKETCH), whole).otherwise(bounds.far)
+    alike = F.bit_count(F.col(f"{a}sign").bitwiseXOR(F.col(f"{b}sign"))) <= FAR
+    return sized & (F.least(rest(a), rest(b)) >= need) & alike
+
+
+def _judge_sketches(bounds: Bounds):
+    """Verdict 1: a link, as both sketches are whole sets. 0: open. -1: no link, or too low an estimate."""
+
+    def judge(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+        both = np.concatenate([x, y])
+        both.sort()
+        twice = both[:-1][both[1:] == both[:-1]]
+        union = len(both) - len(twice)
+        if n <= len(x) and m <= len(y):
+            return 1 if 100 * len(twice) >= bounds.percent * union else -1
+        if union > SKETCH:
+            twice = twice[twice <= np.unique(both)[SKETCH - 1]]
+        return 0 if len(twice) >= bounds.far else -1
+
+    return judge
+
+
+def _judge_sets(bounds: Bounds):
+    def judge(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+        both = np.concatenate([x, y])
+        both.sort()
+        k = int((both[1:] == both[:-1]).sum())
+        return 1 if 100 * k >= bounds.percent * (len(both) - k) else -1
+
+    return judge
+
+
+def _comparer(judge):
+    def run(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        pairs, members = pairs.combine_chunks(), members.combine_chunks()
+        sets = {}
+        for chunk in members.to_batches():
+            col, values = chunk.column("values").offsets.to_numpy(), chunk.column("values").values.to_numpy()
+            for i, (k, n) in enumerate(zip(chunk.column("key").to_pylist(), chunk.column("n").to_pylist(), strict=True)):
+                sets[k] = n, values[col[i] : col[i + 1]]
+        xs, ys = pairs.column("x").to_pylist(), pairs.column("y").to_pylist()
+        said = np.array([judge(*sets[x], *sets[y]) for x, y in zip(xs, ys, strict=True)], dtype=np.int32)
+        keep = np.flatnonzero(said >= 0)
+        return pa.table({"x": pa.array([xs[i] for i in keep], pa.int64()), "y": pa.array([ys[i] for i in keep], pa.int64()), "verdict": pa.array(said[keep], pa.int32())})
 
     return run
 
 
 def _whole_sets(width: int):
+    """The full sets of texts, where they are those of the row's key (a doc_id can have several texts)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, sets = b.column("key"), []
-            done = 0
+            want, keys, sets = b.column("key").to_pylist(), [], []
             for r, s in row_sets(b, width):
-                sets.append(s)
-                if sum(map(len, sets)) > 1 << 19 or r == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([key[done : r + 1], _lists(sets)], ["key", "whole"])
-                    done, sets = r + 1, []
+                if set_key(s) == want[r]:
+                    keys.append(want[r])
+                    sets.append(s)
+                if keys and (sum(map(len, sets)) > 1 << 19 or r == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["key", "n", "values"])
+                    keys, sets = [], []
 
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set = set()
+    for b in batches:
+        yield b.take(pa.array(list(_unseen(b, seen)), pa.int64()))
+
+
 class _Linker:
     def __init__(self, docs: DataFrame, width: int, percent: int, scratch: Scratch):
         self.spark, self.scratch, self.width, self.bounds = docs.sparkSession, scratch, width, Bounds(percent)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, sketch array<bigint>"))
+        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, sign long, sketch array<bigint>"))
         self.classes = scratch.keep(
             self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
         )
 
     def lists(self) -> DataFrame:
-        """Rows (value, key, n, pos) of all values that two sets or more have among their rarest, with the list's
-        first partner (pkey, pn, ppos)."""
+        """Rows (value, key, n, pos, sign) of all values that two sets or more have among their rarest, with the first
+        partner (pkey, pn, ppos, psign) that the list offers. A very long list is dealt to lanes with one partner each."""
         order = self.spark.sparkContext.broadcast(rarity(self.sets))
-        rows = self.scratch.keep(
-            self.sets.select("n", "key", "sketch").mapInArrow(_entries(order, self.bounds), "value long, key long, place long")
-        )
+        fields = "value long, lane long, key long, place long, sign long"
+        rows = self.sets.select("n", "key", "sign", "sketch").mapInArrow(_entries(order, self.bounds), fields)
         # least edited first, ties in no particular order
         rank = F.shiftleft(F.col("place") % 65536, 44).bitwiseOR(F.xxhash64("key").bitwiseAND((1 << 44) - 1))
-        ranked = rows.withColumn("rank", rank).groupBy("value")
-        heads = self.scratch.keep(
-            ranked.agg(F.min_by("key", "rank").alias("pkey"), F.min_by("place", "rank").alias("pplace"), F.max("key").alias("most"), F.min("key").alias("least"))
-            .where("most != least").select("value", "pkey", "pplace")
+        lane = Window.partitionBy("value", "lane")
+        head = lambda c: F.min_by(c, "rank").over(lane).alias(f"p{c}")
+        rows = rows.withColumn("rank", rank).select("value", "lane", "key", "place", "sign", head("key"), head("place"), head("sign"), F.count("*").over(lane).alias("c"))
+        split = lambda p: (F.shiftright(f"{p}place", 16).alias(f"{p}n"), (F.col(f"{p}place") % 65536).alias(f"{p}pos"))
+        several = rows.where("lane > 0 or c > 1 or key != pkey")
+        return self.scratch.keep(several.select("value", "key", "sign", *split(""), "pkey", "psign", *split("p")))
+
+    def compared(self, pairs: DataFrame, sets: DataFrame, most: int, judge) -> DataFrame:
+        """Rows (x, y, verdict) of the pairs that the judge leaves. sets: key, n, values. Pairs that hang together go to
+        the same blocks, each of about BLOCK values; a set goes to a block once for all its pairs there."""
+        keep = self.scratch.keep
+        parts = keep(components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch).distinct())
+        sized = parts.join(self.classes, F.col("node") == F.col("key")).select("node", "label", F.least("n", F.lit(most)).alias("n"))
+        weigh = sized.groupBy("label").agg(F.sum("n").alias("w"))
+        total = weigh.agg(F.sum("w")).first()[0] or 0
+        place = keep(
+            parts.join(weigh, "label").select(
+                "node", F.pmod(F.xxhash64("label"), F.lit(total // BLOCK + 1)).alias("g"), F.pmod(F.xxhash64("node"), F.floor(F.col("w") / BLOCK) + 1).alias("b")
+            )
         )
-        split = lambda c: (F.shiftright(c, 16).alias(c.replace("place", "n")), (F.col(c) % 65536).alias(c.replace("place", "pos")))
-        out = self.scratch.keep(rows.join(heads, "value").select("value", "key", *split("place"), "pkey", *split("pplace")))
-        self.scratch.drop(rows, heads)
+        side = lambda c: place.select(F.col("node").alias(c), *([F.col("g")] if c == "x" else []), F.col("b").alias(f"{c}b"))
+        dealt = pairs.join(side("x"), "x").join(side("y"), "y").select("g", F.least("xb", "yb").alias("lo"), F.greatest("xb", "yb").alias("hi"), "x", "y")
+        dealt = keep(dealt)
+        ends = dealt.select("g", "lo", "hi", F.col("x").alias("key")).unionByName(dealt.select("g", "lo", "hi", F.col("y").alias("key"))).distinct()
+        members = ends.join(sets, "key").select(F.col("g").alias("mg"), F.col("lo").alias("mlo"), F.col("hi").alias("mhi"), "key", "n", "values")
+        out = keep(dealt.groupBy("g", "lo", "hi").cogroup(members.groupBy("mg", "mlo", "mhi")).applyInArrow(_comparer(judge), "x long, y long, verdict int"))
+        self.scratch.drop(parts, place, dealt)
         return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (x, y) of set keys that are links."""
         keep, bounds = self.scratch.keep, self.bounds
         pairs = keep(pairs)
-        ends = keep(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct())
-        reps = keep(self.classes.join(small(ends), "key").select("key", F.col("rep").alias("doc_id")))
-        sets = keep(self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", "sketch").dropDuplicates(["key"]))
-        side = lambda t, c, v: t.select(F.col("key").alias(c), *([F.col("n").alias(f"{c}n")] if v == "sketch" else []), F.col(v).alias(f"{c}s"))
-        met = pairs.join(side(sets, "x", "sketch"), "x").join(side(sets, "y", "sketch"), "y")
-        judged = keep(met.select("x", "y", "xn", "yn", "xs", "ys").mapInArrow(_share(bounds), "x long, y long, verdict int"))
+        reps = keep(self.classes.join(small(self.ends(pairs)), "key").select("key", F.col("rep").alias("doc_id")))
+        fields = "key long, n long, values array<bigint>"
+        sets = keep(self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", F.col("sketch").alias("values")).mapInArrow(_once, fields))
+        judged = self.compared(pairs, sets, SKETCH, _judge_sketches(bounds))
         open_ = keep(judged.where("verdict = 0").select("x", "y"))
-        left = keep(open_.select(F.col("x").alias("key")).unionByName(open_.select(F.col("y").alias("key"))).distinct())
-        some = keep(reps.join(small(left), "key"))
+        some = keep(reps.join(small(self.ends(open_)), "key"))
         texts = self.docs.where("doc_id is not null").join(small(some), "doc_id").select("key", "text")
-        whole = keep(
-            texts.mapInArrow(_whole_sets(self.width), "key long, whole array<bigint>")
-        )
-        # a doc_id on several rows of different texts: keep the set that has the key
-        whole_of = whole.dropDuplicates(["key"]) if self.repeated_ids() == 0 else self._own_set(whole)
-        met = open_.join(side(whole_of, "x", "whole"), "x").join(side(whole_of, "y", "whole"), "y")
-        out = keep(judged.where("verdict = 1").select("x", "y").unionByName(met.select("x", "y", "xs", "ys").mapInArrow(_exact(bounds), "x long, y long")))
-        self.scratch.drop(pairs, ends, reps, sets, judged, open_, left, some, whole)
+        whole = keep(texts.mapInArrow(_whole_sets(self.width), fields).mapInArrow(_once, fields))
+        links = self.compared(open_, whole, 1 << 40, _judge_sets(bounds))
+        out = keep(judged.where("verdict = 1").select("x", "y").unionByName(links.select("x", "y")))
+        self.scratch.drop(pairs, reps, sets, judged, open_, some, whole, links)
         return out
 
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        return self.scratch.keep(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct())
+
     def repeated_ids(self) -> int:
         if not hasattr(self, "_repeated"):
             several = self.sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("u"), F.max("key").alias("v"))
@@ -314,16 +354,6 @@ class _Linker:
             self._repeated = self.joined.count()
         return self._repeated
 
-    @staticmethod
-    def _own_set(whole: DataFrame) -> DataFrame:
-        def right(batches):
-            for b in batches:
-                keys = b.column("key").to_pylist()
-                good = [i for i in range(b.num_rows) if set_key(b.column("whole")[i].values.to_numpy()) == keys[i]]
-                yield b.take(pa.array(good, pa.int64()))
-
-        return whole.mapInArrow(right, whole.schema).dropDuplicates(["key"])
-
     def same_id(self) -> DataFrame:
         """Edges between different texts that share a doc_id."""
         if not self.repeated_ids():
@@ -344,13 +374,13 @@ class _Linker:
         offers = keep(offers)
         edges = keep(self.verified(offers).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
         first = keep(components(edges, self.scratch).distinct())
-        named = lists.join(first, lists.key == first.node, "left").select("value", "key", "n", "pos", F.coalesce("label", "key").alias("part"))
-        named = keep(named)
+        named = keep(
+            lists.join(first, lists.key == first.node, "left").select("value", "key", "n", "pos", "sign", F.coalesce("label", "key").alias("part"))
+        )
         mixed = named.groupBy("value").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("value")
         open_ = keep(named.join(mixed, "value").distinct())
-        x = open_.select("value", *(F.col(c).alias(f"x{c}") for c in ("key", "n", "pos", "part")))
-        y = open_.select("value", *(F.col(c).alias(f"y{c}") for c in ("key", "n", "pos", "part")))
-        pairs = x.join(y, "value").where((F.col("xpart") < F.col("ypart")) & _fits(self.bounds, "x", "y"))
+        side = lambda p: open_.select("value", *(F.col(c).alias(f"{p}{c}") for c in ("key", "n", "pos", "sign", "part")))
+        pairs = side("x").join(side("y"), "value").where((F.col("xpart") < F.col("ypart")) & _fits(self.bounds, "x", "y"))
         pairs = pairs.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct()
         more = self.verified(pairs.join(offers, ["x", "y"], "left_anti"))
         out = keep(edges.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
