@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup
+from gridloom.llm import ann, byte_bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality_lm, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,18 +33,46 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_kept", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_lm.quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.prototypes(docs.where(~language_id.held_out()))
     return language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), profiles).drop("text")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), multi_ranks(), public_tokenizers.PATTERN, spaced=True)
+
+
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, labels, ["low_quality", "toxic"]).drop("text")
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.window_digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_near_dedup, op3_line_dedup, op5_language_id, op10_decontaminate)}
+    found = (
+        op1_byte_bpe, op2_minhash_near_dedup, op3_line_dedup, op4_quality_classifier, op5_language_id, op6_token_counts,
+        op7_pii_pseudonyms, op8_toxicity, op9_nearest_neighbours, op10_decontaminate,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
