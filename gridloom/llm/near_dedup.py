@@ -9,9 +9,10 @@ Steps, each a distributed job:
 3. *Inverted lists*: two sets of the wanted similarity share at least c retained values, so they meet among the
    (retained - c + 1) rarest of each. Only these are listed. Length and position bounds reject most meetings at once,
    and a 64-bit signature (one bit of the least of the set's hashes under each of 64 multipliers) most others.
-4. *Links*: each list first offers each member one partner, its least edited one (the fewest rarer values before the
-   common one), so a group of copies costs its size and not its square. Members still in different components are then
-   compared with all members of their lists in other components, so that no link between components is lost.
+4. *Links*: lists of up to SHORT members give all their pairs that the bounds leave. A longer list first offers each
+   member one partner, its least edited one (the fewest rarer values before the common one), so a group of copies costs
+   its size and not its square. Members still in different components are then compared with all members of their long
+   lists in other components, so that no link between components is lost.
 5. *Verify*: pairs are brought together in blocks of their sets, each set once a block. Union-sketch estimates reject;
    sets within SKETCH are exact already, larger ones are built again from whole texts and compared in full.
 6. *Components* over the links.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
@@ -39,6 +40,8 @@ SIGMAS = 5.0
 FAR = 22
 #: Members of an inverted list, by the counters, beyond which its first round is dealt to several tasks.
 HOT = 200_000
+#: Members of a list that are all compared with each other.
+SHORT = 64
 #: Values of sets that are compared in one block.
 BLOCK = 1 << 17
 BUCKETS = 1 << 20
@@ -195,7 +198,7 @@ def _entries(order, bounds: Bounds):
                 c = counts[_bucket(s)]
                 first = np.lexsort((s, c))[: bounds.prefix(n)]
                 lanes = 1 + c[first] // HOT
-                lane = np.where(lanes > 1, (keys[i] & 0xFFFFFF) % lanes, 0)
+                lane = np.where(lanes > 1, 1 + (keys[i] & 0xFFFFFF) % lanes, 0)
                 for to, x in zip(rows, (s[first], lane, np.full(len(first), keys[i]), (n << 16) + np.arange(len(first)), np.full(len(first), signs[i])), strict=True):
                     to.append(x)
             if rows[0]:
@@ -215,6 +218,66 @@ def _fits(bounds: Bounds, a: str, b: str):
     return sized & (F.least(rest(a), rest(b)) >= need) & alike
 
 
+def _meetings(bounds: Bounds):
+    """Lists in turn, as rows sorted by value, lane and position: all pairs of a short one that the bounds leave (value
+    is null), the members of a long one with its first."""
+    names = ["value", "key", "place", "sign", "pkey", "pplace", "psign"]
+
+    def pairs(v, lane, key, place, sign):
+        n, pos = place >> 16, place & 65535
+        rest = np.minimum(n, SKETCH) - pos
+        found = []
+        for d in range(1, SHORT):
+            at = np.flatnonzero((v[:-d] == v[d:]) & (lane[:-d] == lane[d:]))
+            if not len(at):
+                break
+            to = at + d
+            a, b = n[at], n[to]
+            need = np.where((a <= SKETCH) & (b <= SKETCH), -(-(a + b) * bounds.percent // (100 + bounds.percent)), bounds.far)
+            good = (np.minimum(a, b) * 100 >= np.maximum(a, b) * bounds.percent) & (np.minimum(rest[at], rest[to]) >= need)
+            at, to = at[good], to[good]
+            good = (np.bitwise_count((sign[at] ^ sign[to]).view(np.uint64)) <= FAR) & (key[at] != key[to])
+            found.append(np.stack([key[at][good], key[to][good]], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+    def lists(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        v, lane, key, place, sign = cols
+        if not len(v):
+            return
+        begin = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (lane[1:] != lane[:-1])]))
+        size = np.diff(np.append(begin, len(v)))
+        # a lane of a very long list can be short, but its list is not
+        long = np.repeat((size > SHORT) | (lane[begin] > 0), size)
+        head = np.repeat(begin, size)
+        two = pairs(*(c[~long] for c in cols))
+        none = pa.nulls(len(two), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(two[:, 0]), none, none, pa.array(two[:, 1]), none, none], names)
+        if long.any():
+            h = head[long]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[long], key[long], place[long], sign[long], key[h], place[h], sign[h])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in ("value", "lane", "key", "place", "sign")]
+            if not len(cols[0]):
+                continue
+            # the last list may go on
+            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = len(same) if not same.any() else int(np.argmax(same))
+            if cut:
+                yield from lists([np.concatenate([h[k] for h in held] + [c[:cut]]) for k, c in enumerate(cols)])
+                held = []
+            elif held and (held[-1][0][-1] != cols[0][0] or held[-1][1][-1] != cols[1][0]):
+                yield from lists([np.concatenate([h[k] for h in held]) for k in range(5)])
+                held = []
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield from lists([np.concatenate([h[k] for h in held]) for k in range(5)])
+
+    return run
+
+
 def _judge_sketches(bounds: Bounds):
     """Verdict 1: a link, as both sketches are whole sets. 0: open. -1: no link, or too low an estimate."""
 
@@ -290,26 +353,30 @@ class _Linker:
             self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
         )
 
-    def lists(self) -> DataFrame:
-        """Rows (value, key, n, pos, sign) of all values that two sets or more have among their rarest, with the first
-        partner (pkey, pn, ppos, psign) that the list offers. A very long list is dealt to lanes with one partner each."""
-        order = self.spark.sparkContext.broadcast(rarity(self.sets))
+    def lists(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs (x, y) that short lists give, and rows (value, key, n, pos, sign) of long lists with the first partner
+        (pkey, pn, ppos, psign) that the list offers. A very long list is dealt to lanes with one partner each."""
+        named = self.sets.where("doc_id is not null")
+        order = self.spark.sparkContext.broadcast(rarity(named))
         fields = "value long, lane long, key long, place long, sign long"
-        rows = self.sets.select("n", "key", "sign", "sketch").mapInArrow(_entries(order, self.bounds), fields)
+        rows = named.select("n", "key", "sign", "sketch").mapInArrow(_entries(order, self.bounds), fields)
         # least edited first, ties in no particular order
-        rank = F.shiftleft(F.col("place") % 65536, 44).bitwiseOR(F.xxhash64("key").bitwiseAND((1 << 44) - 1))
-        lane = Window.partitionBy("value", "lane")
-        head = lambda c: F.min_by(c, "rank").over(lane).alias(f"p{c}")
-        rows = rows.withColumn("rank", rank).select("value", "lane", "key", "place", "sign", head("key"), head("place"), head("sign"), F.count("*").over(lane).alias("c"))
+        rows = rows.repartition("value", "lane").sortWithinPartitions("value", "lane", F.col("place") % 65536, "key")
+        met = self.scratch.keep(rows.mapInArrow(_meetings(self.bounds), "value long, key long, place long, sign long, pkey long, pplace long, psign long"))
+        pairs = met.where("value is null").select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")).distinct()
         split = lambda p: (F.shiftright(f"{p}place", 16).alias(f"{p}n"), (F.col(f"{p}place") % 65536).alias(f"{p}pos"))
-        several = rows.where("lane > 0 or c > 1 or key != pkey")
-        return self.scratch.keep(several.select("value", "key", "sign", *split(""), "pkey", "psign", *split("p")))
+        long = met.where("value is not null").select("value", "key", "sign", *split(""), "pkey", "psign", *split("p"))
+        out = self.scratch.keep(pairs), self.scratch.keep(long)
+        self.scratch.drop(met)
+        return out
 
     def compared(self, pairs: DataFrame, sets: DataFrame, most: int, judge) -> DataFrame:
         """Rows (x, y, verdict) of the pairs that the judge leaves. sets: key, n, values. Pairs that hang together go to
-        the same blocks, each of about BLOCK values; a set goes to a block once for all its pairs there."""
+        the same blocks, of about BLOCK values each; a set goes to a block once for all its pairs there."""
         keep = self.scratch.keep
-        parts = keep(components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), self.scratch).distinct())
+        # a set's group is the least set that it is paired with, so most of a group of copies has one
+        both = pairs.select(F.col("x").alias("node"), F.col("y").alias("other")).unionByName(pairs.select(F.col("y").alias("node"), F.col("x").alias("other")))
+        parts = keep(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
         sized = parts.join(self.classes, F.col("node") == F.col("key")).select("node", "label", F.least("n", F.lit(most)).alias("n"))
         weigh = sized.groupBy("label").agg(F.sum("n").alias("w"))
         total = weigh.agg(F.sum("w")).first()[0] or 0
@@ -318,7 +385,7 @@ class _Linker:
                 "node", F.pmod(F.xxhash64("label"), F.lit(total // BLOCK + 1)).alias("g"), F.pmod(F.xxhash64("node"), F.floor(F.col("w") / BLOCK) + 1).alias("b")
             )
         )
-        side = lambda c: place.select(F.col("node").alias(c), *([F.col("g")] if c == "x" else []), F.col("b").alias(f"{c}b"))
+        side = lambda c: small(place).select(F.col("node").alias(c), *([F.col("g")] if c == "x" else []), F.col("b").alias(f"{c}b"))
         dealt = pairs.join(side("x"), "x").join(side("y"), "y").select("g", F.least("xb", "yb").alias("lo"), F.greatest("xb", "yb").alias("hi"), "x", "y")
         dealt = keep(dealt)
         ends = dealt.select("g", "lo", "hi", F.col("x").alias("key")).unionByName(dealt.select("g", "lo", "hi", F.col("y").alias("key"))).distinct()
@@ -364,18 +431,18 @@ class _Linker:
     def links(self) -> DataFrame:
         """Edges (u, v) between set keys that have the components of all links."""
         keep = self.scratch.keep
-        lists = self.lists()
+        pairs0, lists = self.lists()
         offers = (
             lists.where("key != pkey").where(_fits(self.bounds, "", "p"))
             .groupBy("key", "pkey").agg(F.count("*").alias("c"))
-            .groupBy("key").agg(F.max(F.struct("c", "pkey")).alias("m"))
-            .select(F.least("key", "m.pkey").alias("x"), F.greatest("key", "m.pkey").alias("y")).distinct()
+            .groupBy("key").agg(F.max_by("pkey", "c").alias("pkey"))
+            .select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y"))
         )
-        offers = keep(offers)
+        offers = keep(offers.unionByName(pairs0).distinct())
         edges = keep(self.verified(offers).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
         first = keep(components(edges, self.scratch).distinct())
         named = keep(
-            lists.join(first, lists.key == first.node, "left").select("value", "key", "n", "pos", "sign", F.coalesce("label", "key").alias("part"))
+            lists.join(small(first), lists.key == first.node, "left").select("value", "key", "n", "pos", "sign", F.coalesce("label", "key").alias("part"))
         )
         mixed = named.groupBy("value").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("value")
         open_ = keep(named.join(mixed, "value").distinct())
@@ -384,7 +451,7 @@ class _Linker:
         pairs = pairs.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct()
         more = self.verified(pairs.join(offers, ["x", "y"], "left_anti"))
         out = keep(edges.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
-        self.scratch.drop(lists, offers, edges, first, named, open_, more)
+        self.scratch.drop(pairs0, lists, offers, edges, first, named, open_, more)
         return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import ship
 
-#: Rows of at most two longs that one side of a join may have to be broadcast (32 MB at most); beyond it the join shuffles.
+#: Rows of a few longs that one side of a join may have to be broadcast (some tens of MB); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -54,5 +54,5 @@ class Scratch:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marks a kept table of one or two longs for broadcast if its counted rows are within BROADCAST_ROWS."""
+    """Marks a kept table of a few longs for broadcast if its counted rows are within BROADCAST_ROWS."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
