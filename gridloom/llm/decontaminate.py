@@ -277,6 +277,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     most_cover of the words go. Cutting can bring words together that make a window again: it is repeated until the
     texts have none. Rows without a window are returned as they are; columns are those of docs."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "items", "spans")}
+    back = {v: k for k, v in own.items()}
+    docs = docs.withColumnsRenamed(own)
     todo, clean = docs, None
     while True:
         found = scratch.keep(find_windows(todo, benchmark, window, scratch=scratch))
@@ -285,7 +288,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
         hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["last"] - s["first"])
         bad = found.where((F.size("spans") > 0) & (hit <= F.lit(most_cover) * F.col("n_words"))).select(*docs.columns, "spans")
         if bad.isEmpty():
-            return clean
+            return clean.withColumnsRenamed(back)
         schema = T.StructType([f for f in bad.schema if f.name != "spans"])
         todo = scratch.keep(bad.mapInArrow(_cutter(docs.columns), schema))
 

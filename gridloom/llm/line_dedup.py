@@ -123,7 +123,7 @@ def _prefixes(order, percent: int):
                     take = fresh[line] & (pos < prefix[line])
                     line, pos, value = line[take], pos[take], x.tokens[at[take]]
                     lanes = 1 + counts[_bucket(value)] // HOT
-                    lane = np.where(lanes > 1, (keys[line] & 0xFFFFFF) % lanes, 0)
+                    lane = np.where(lanes > 1, 1 + (keys[line] & 0xFFFFFF) % lanes, 0)
                     cols = (value.view(np.int64), lane, keys[line], (x.size[line] << 16) + pos, x.signatures()[line], docs[line], x.number[line])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], fields)
 
@@ -252,7 +252,7 @@ def _without(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, kept = b.column("text").to_pylist(), [], []
-            for i, gone in enumerate(b.column("removed").to_pylist()):
+            for i, gone in enumerate(b.column("__removed").to_pylist()):
                 lines = [] if texts[i] is None else texts[i].split("\n")
                 n.append(len(lines))
                 if gone:
@@ -273,7 +273,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None = No
     scratch = scratch or Scratch(docs.sparkSession, "line_dedup")
     gone = removed_lines(docs, percent, scratch)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    taken = gone.select(F.col("doc_id").alias("__doc"), "removed")
+    taken = gone.select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
     joined = docs.select(*(F.col(f"`{c}`") for c in rest)).join(small(taken), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "removed"] + ["n_lines long", "n_kept long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__removed"] + ["n_lines long", "n_kept long"])
     return joined.mapInArrow(_without([*rest, "n_lines", "n_kept"]), schema)
