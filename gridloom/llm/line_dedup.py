@@ -8,9 +8,9 @@ filter). A 64-bit signature rejects most lines that meet by chance; it may diffe
 that a pair exactly at the threshold is missed with a probability under 1e-6. What is left is verified on whole sets.
 
 A line is removed if an earlier line matches it, be that one kept or not; earlier is by (doc_id, line number). So the
-result does not depend on the order of work, and a line needs one match only: each list of a word offers its members
-its earliest line first, and only lines without a match are then compared with all earlier ones of their lists. A group
-of copies costs its size and not its square.
+result does not depend on the order of work, and a line needs one match only: lists of a word with up to SHORT lines
+give all pairs that the filters leave; a longer one offers its members its earliest line first, and only lines without a
+match are then compared with all earlier ones of their long lists. A group of copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -19,14 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import lists as L
 from gridloom.llm import words as W
 from gridloom.llm.near_dedup import BUCKETS, FAR, HOT, _SLICE, _bucket, _lists, _once, rarity
 from gridloom.llm.scratch import Scratch, small
 
+#: Lines of a word's list that are all compared with each other.
+SHORT = 64
 _LINES = 1 << 17
+# a list member's place: lane of a very long list, size of the line, position of the word in it
+_SIZE, _LANE, _PART = 26, 52, (1 << 26) - 1
 _MULTIPLIERS = (W.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -100,7 +105,7 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(order, percent: int):
-    fields = ["value", "lane", "key", "place", "sign", "doc_id", "line"]
+    fields = ["value", "key", "place", "sign", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = order.value, {}
@@ -122,20 +127,32 @@ def _prefixes(order, percent: int):
                     line = x.line[at]
                     take = fresh[line] & (pos < prefix[line])
                     line, pos, value = line[take], pos[take], x.tokens[at[take]]
-                    lanes = 1 + counts[_bucket(value)] // HOT
-                    lane = np.where(lanes > 1, 1 + (keys[line] & 0xFFFFFF) % lanes, 0)
-                    cols = (value.view(np.int64), lane, keys[line], (x.size[line] << 16) + pos, x.signatures()[line], docs[line], x.number[line])
+                    lanes = np.minimum(1 + counts[_bucket(value)] // HOT, 2000)
+                    lane = np.where(lanes > 1, 1 + (keys[line] & 0xFFFFFF) % lanes, 0).astype(np.int64)
+                    place = (lane << _LANE) | (x.size[line] << _SIZE) | pos
+                    cols = (value.view(np.int64), keys[line], place, x.signatures()[line], docs[line])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], fields)
 
     return run
 
 
+def _can_match(percent: int):
+    def fits(place: np.ndarray, other: np.ndarray, sign: np.ndarray, other_sign: np.ndarray) -> np.ndarray:
+        a, b = (place >> _SIZE) & _PART, (other >> _SIZE) & _PART
+        need = -(-(a + b) * percent // (100 + percent))
+        good = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (np.minimum(a - (place & _PART), b - (other & _PART)) >= need)
+        return good & (np.bitwise_count((sign ^ other_sign).view(np.uint64)) <= FAR)
+
+    return fits
+
+
 def _fits(percent: int, a: str, b: str):
-    na, nb = F.shiftright(f"{a}place", 16), F.shiftright(f"{b}place", 16)
-    rest = lambda p, n: n - F.col(f"{p}place") % 65536
+    size = lambda p: F.shiftright(f"{p}place", _SIZE).bitwiseAND(F.lit(_PART))
+    rest = lambda p: size(p) - F.col(f"{p}place").bitwiseAND(F.lit(_PART))
+    na, nb = size(a), size(b)
     need = F.ceil((na + nb) * percent / F.lit(100.0 + percent) - F.lit(1e-6))
     alike = F.bit_count(F.col(f"{a}sign").bitwiseXOR(F.col(f"{b}sign"))) <= FAR
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(rest(a, na), rest(b, nb)) >= need) & alike
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(rest(a), rest(b)) >= need) & alike
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,19 +188,16 @@ class _Matcher:
         self.keep, self.percent, self.scratch = scratch.keep, percent, scratch
         self.docs = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
-    def lists(self) -> DataFrame:
-        """Members of word lists that several lines have among their rarest words, with the list's earliest line."""
+    def lists(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs (x, y) of short lists, and the members of long ones with their list's earliest line."""
         spark: SparkSession = self.docs.sparkSession
         order = spark.sparkContext.broadcast(rarity(self.docs.select("text"), _count_words))
-        fields = ", ".join(f"{c} long" for c in ("value", "lane", "key", "place", "sign", "doc_id", "line"))
-        rows = self.docs.mapInArrow(_prefixes(order, self.percent), fields)
-        first = Window.partitionBy("value", "lane").orderBy("doc_id", "line")
-        every = first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        head = lambda c: F.first(c).over(every).alias(f"p{c}")
-        # the row after a list's first tells whether it has others
-        more = F.lead("key").over(first)
-        rows = rows.select("*", head("key"), head("place"), head("sign"), more.alias("more"))
-        return self.keep(rows.where("key != pkey or more is not null or lane > 0").drop("lane", "more"))
+        rows = self.docs.mapInArrow(_prefixes(order, self.percent), "value long, key long, place long, sign long, doc_id long")
+        lane = F.shiftright("place", _LANE)
+        rows = rows.repartition(F.col("value"), lane).sortWithinPartitions("value", lane, "doc_id", "key").drop("doc_id")
+        met = self.keep(rows.mapInArrow(L.meetings(_can_match(self.percent), SHORT, lambda p: p >> _LANE), L.SCHEMA))
+        pairs = self.keep(met.where("value is null").select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")).distinct())
+        return pairs, met.where("value is not null")
 
     def matched(self, pairs: DataFrame, places: DataFrame) -> DataFrame:
         """Those of the pairs (x, y) of line keys that are similar. places: key, doc_id, line."""
@@ -198,30 +212,28 @@ class _Matcher:
         self.scratch.drop(pairs, ends, wanted, sets)
         return out
 
-    def later(self) -> DataFrame:
-        """Keys of lines that an earlier line with other words matches."""
+    def later(self, places: DataFrame) -> DataFrame:
+        """Keys of lines that an earlier line with other words matches. places: key, doc_id, line of first copies."""
         keep = self.keep
-        lists = self.lists()
-        place = F.struct("doc_id", "line")
-        places = keep(lists.groupBy("key").agg(F.min(place).alias("at")).select("key", "at.doc_id", "at.line"))
-        offers = keep(
+        pairs, lists = self.lists()
+        offers = (
             lists.where("key != pkey").where(_fits(self.percent, "", "p"))
             .groupBy("key", "pkey").agg(F.count("*").alias("c"))
-            .groupBy("key").agg(F.max_by("pkey", "c").alias("y")).select(F.col("key").alias("x"), "y")
+            .groupBy("key").agg(F.max_by("pkey", "c").alias("pkey")).select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y"))
         )
+        offers = keep(offers.unionByName(pairs).distinct())
         ordered = places.select("key", F.struct("doc_id", "line").alias("at"))
         found = self.matched(offers, places)
-        # the partner has an earlier copy in this list, but x may have one elsewhere
         done = keep(self.later_ends(found, ordered))
         members = lists.groupBy("value", "key").agg(F.min("place").alias("place"), F.min("sign").alias("sign"))
         members = keep(members.join(ordered, "key"))
-        left = members.join(done, "key", "left_anti")
+        left = members.join(small(done), "key", "left_anti")
         y = left.select("value", *(F.col(c).alias(f"y{c}") for c in ("key", "place", "sign", "at")))
         x = members.select("value", *(F.col(c).alias(f"x{c}") for c in ("key", "place", "sign", "at")))
-        pairs = y.join(x, "value").where((F.col("xat") < F.col("yat")) & (F.col("xkey") != F.col("ykey")) & _fits(self.percent, "x", "y"))
-        pairs = pairs.select(F.col("ykey").alias("x"), F.col("xkey").alias("y")).distinct().join(offers, ["x", "y"], "left_anti")
-        out = keep(done.unionByName(self.later_ends(self.matched(pairs, places), ordered)).distinct())
-        self.scratch.drop(lists, places, offers, found, done, members)
+        open_ = y.join(x, "value").where((F.col("xat") < F.col("yat")) & (F.col("xkey") != F.col("ykey")) & _fits(self.percent, "x", "y"))
+        open_ = open_.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct().join(offers, ["x", "y"], "left_anti")
+        out = keep(done.unionByName(self.later_ends(self.matched(open_, places), ordered)).distinct())
+        self.scratch.drop(pairs, offers, found, done, members)
         return out
 
     @staticmethod
@@ -238,13 +250,15 @@ def removed_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None =
     scratch = scratch or Scratch(docs.sparkSession, "line_dedup")
     matcher = _Matcher(docs, percent, scratch)
     lines = scratch.keep(matcher.docs.mapInArrow(_line_keys, "doc_id long, line long, key long"))
-    later = matcher.later()
     firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
+    firsts = scratch.keep(firsts.select("key", "first.doc_id", "first.line", "c"))
+    later = matcher.later(firsts)
     # lines of which there is one, and which match none, need no join
-    some = scratch.keep(firsts.join(later.withColumn("gone", F.lit(True)), "key", "left").where("c > 1 or gone").select("key", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
+    some = firsts.join(later.withColumn("gone", F.lit(True)), "key", "left").where("c > 1 or gone")
+    some = scratch.keep(some.select("key", F.struct("doc_id", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
     gone = lines.join(some, "key").where(F.col("gone") | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line")
     out = scratch.keep(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    scratch.drop(lines, later, some)
+    scratch.drop(lines, firsts, later, some)
     return out
 
 

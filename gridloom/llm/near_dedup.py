@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import lists as L
 from gridloom.llm import words as W
 from gridloom.llm.components import components
 from gridloom.llm.scratch import Scratch, small
@@ -46,6 +47,8 @@ SHORT = 64
 BLOCK = 1 << 17
 BUCKETS = 1 << 20
 _SLICE = 1 << 14
+# a list member's place: lane of a very long list, size of the set, position of the value in it
+_LANE, _PART = 52, (1 << 36) - 1
 
 
 def shingles(group: W.Group, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,19 +193,20 @@ def _entries(order, bounds: Bounds):
         for b in batches:
             ns, keys, signs = (b.column(c).to_numpy() for c in ("n", "key", "sign"))
             col, values = b.column("sketch").offsets.to_numpy(), b.column("sketch").values.to_numpy()
-            rows = [[] for _ in range(5)]
+            rows = [[] for _ in range(4)]
             for i in _unseen(b, seen):
                 if not (n := int(ns[i])):
                     continue
                 s = values[col[i] : col[i + 1]]
                 c = counts[_bucket(s)]
                 first = np.lexsort((s, c))[: bounds.prefix(n)]
-                lanes = 1 + c[first] // HOT
-                lane = np.where(lanes > 1, 1 + (keys[i] & 0xFFFFFF) % lanes, 0)
-                for to, x in zip(rows, (s[first], lane, np.full(len(first), keys[i]), (n << 16) + np.arange(len(first)), np.full(len(first), signs[i])), strict=True):
+                lanes = np.minimum(1 + c[first] // HOT, 2000)
+                lane = np.where(lanes > 1, 1 + (keys[i] & 0xFFFFFF) % lanes, 0).astype(np.int64)
+                place = (lane << _LANE) | ((n << 16) + np.arange(len(first)))
+                for to, x in zip(rows, (s[first], np.full(len(first), keys[i]), place, np.full(len(first), signs[i])), strict=True):
                     to.append(x)
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in rows], ["value", "lane", "key", "place", "sign"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in rows], ["value", "key", "place", "sign"])
 
     return run
 
@@ -218,64 +222,15 @@ def _fits(bounds: Bounds, a: str, b: str):
     return sized & (F.least(rest(a), rest(b)) >= need) & alike
 
 
-def _meetings(bounds: Bounds):
-    """Lists in turn, as rows sorted by value, lane and position: all pairs of a short one that the bounds leave (value
-    is null), the members of a long one with its first."""
-    names = ["value", "key", "place", "sign", "pkey", "pplace", "psign"]
-
-    def pairs(v, lane, key, place, sign):
-        n, pos = place >> 16, place & 65535
-        rest = np.minimum(n, SKETCH) - pos
-        found = []
-        for d in range(1, SHORT):
-            at = np.flatnonzero((v[:-d] == v[d:]) & (lane[:-d] == lane[d:]))
-            if not len(at):
-                break
-            to = at + d
-            a, b = n[at], n[to]
-            need = np.where((a <= SKETCH) & (b <= SKETCH), -(-(a + b) * bounds.percent // (100 + bounds.percent)), bounds.far)
-            good = (np.minimum(a, b) * 100 >= np.maximum(a, b) * bounds.percent) & (np.minimum(rest[at], rest[to]) >= need)
-            at, to = at[good], to[good]
-            good = (np.bitwise_count((sign[at] ^ sign[to]).view(np.uint64)) <= FAR) & (key[at] != key[to])
-            found.append(np.stack([key[at][good], key[to][good]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-    def lists(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        v, lane, key, place, sign = cols
-        if not len(v):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (lane[1:] != lane[:-1])]))
-        size = np.diff(np.append(begin, len(v)))
-        # a lane of a very long list can be short, but its list is not
-        long = np.repeat((size > SHORT) | (lane[begin] > 0), size)
-        head = np.repeat(begin, size)
-        two = pairs(*(c[~long] for c in cols))
-        none = pa.nulls(len(two), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(two[:, 0]), none, none, pa.array(two[:, 1]), none, none], names)
-        if long.any():
-            h = head[long]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[long], key[long], place[long], sign[long], key[h], place[h], sign[h])], names)
+def _can_link(bounds: Bounds):
+    def fits(place: np.ndarray, other: np.ndarray, sign: np.ndarray, other_sign: np.ndarray) -> np.ndarray:
+        a, b = (place >> 16) & _PART, (other >> 16) & _PART
+        rest = np.minimum(np.minimum(a, SKETCH) - (place & 65535), np.minimum(b, SKETCH) - (other & 65535))
+        need = np.where((a <= SKETCH) & (b <= SKETCH), -(-(a + b) * bounds.percent // (100 + bounds.percent)), bounds.far)
+        good = (np.minimum(a, b) * 100 >= np.maximum(a, b) * bounds.percent) & (rest >= need)
+        return good & (np.bitwise_count((sign ^ other_sign).view(np.uint64)) <= FAR)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("value", "lane", "key", "place", "sign")]
-            if not len(cols[0]):
-                continue
-            # the last list may go on
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            cut = len(same) if not same.any() else int(np.argmax(same))
-            if cut:
-                yield from lists([np.concatenate([h[k] for h in held] + [c[:cut]]) for k, c in enumerate(cols)])
-                held = []
-            elif held and (held[-1][0][-1] != cols[0][0] or held[-1][1][-1] != cols[1][0]):
-                yield from lists([np.concatenate([h[k] for h in held]) for k in range(5)])
-                held = []
-            held.append([c[cut:] for c in cols])
-        if held:
-            yield from lists([np.concatenate([h[k] for h in held]) for k in range(5)])
-
-    return run
+    return fits
 
 
 def _judge_sketches(bounds: Bounds):
@@ -358,13 +313,14 @@ class _Linker:
         (pkey, pn, ppos, psign) that the list offers. A very long list is dealt to lanes with one partner each."""
         named = self.sets.where("doc_id is not null")
         order = self.spark.sparkContext.broadcast(rarity(named))
-        fields = "value long, lane long, key long, place long, sign long"
+        fields = "value long, key long, place long, sign long"
         rows = named.select("n", "key", "sign", "sketch").mapInArrow(_entries(order, self.bounds), fields)
-        # least edited first, ties in no particular order
-        rows = rows.repartition("value", "lane").sortWithinPartitions("value", "lane", F.col("place") % 65536, "key")
-        met = self.scratch.keep(rows.mapInArrow(_meetings(self.bounds), "value long, key long, place long, sign long, pkey long, pplace long, psign long"))
+        lane = F.shiftright("place", _LANE)
+        # least edited first
+        rows = rows.repartition(F.col("value"), lane).sortWithinPartitions("value", lane, F.col("place") % 65536, "key")
+        met = self.scratch.keep(rows.mapInArrow(L.meetings(_can_link(self.bounds), SHORT, lambda p: p >> _LANE), L.SCHEMA))
         pairs = met.where("value is null").select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")).distinct()
-        split = lambda p: (F.shiftright(f"{p}place", 16).alias(f"{p}n"), (F.col(f"{p}place") % 65536).alias(f"{p}pos"))
+        split = lambda p: (F.shiftright(f"{p}place", 16).bitwiseAND(F.lit(_PART)).alias(f"{p}n"), (F.col(f"{p}place") % 65536).alias(f"{p}pos"))
         long = met.where("value is not null").select("value", "key", "sign", *split(""), "pkey", "psign", *split("p"))
         out = self.scratch.keep(pairs), self.scratch.keep(long)
         self.scratch.drop(met)
