@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import words as W
 from gridloom.session import ship
 
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Words, and their first so many bytes, are hashed to 2**FEATURE_BITS features.
 BEGINNINGS, FEATURE_BITS = (4, 5, 6), 20
 FOLDS = 3
@@ -37,7 +37,7 @@ def features(column: pa.Array, used: np.ndarray | None = None) -> Iterator[np.nd
         for k in BEGINNINGS:
             salt = np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
             parts.append(W.mix(W.span_hashes(g.buf, g.starts, np.minimum(g.starts + k, g.ends)) ^ salt))
-        f = (np.stack(parts) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+        f = (np.stack(parts) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
         if used is None:
             for r in range(g.rows):
                 yield np.unique(f[:, bounds[r] : bounds[r + 1]])
@@ -74,7 +74,7 @@ def chi_square(seen: np.ndarray, seen_positive: np.ndarray, n: int, positive: fl
 def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
     """Logistic regression by Adam on all rows at once, with a quadratic penalty, on the features whose presence depends
     on the label beyond chance (chi-square over MIN_CHI2), as rare words would learn single labels by heart."""
-    row = np.repeat(np.arange(len(y)), np.diff(begin))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(begin))
     chosen = np.flatnonzero(chi_square(np.bincount(flat, minlength=_DIM), np.bincount(flat, y[row], minlength=_DIM), len(y), y.sum()) > MIN_CHI2)
     place = np.full(_DIM, -1)
     place[chosen] = np.arange(len(chosen))
@@ -99,13 +99,13 @@ def fit_linear(flat: np.ndarray, begin: np.ndarray, earlier: np.ndarray, y: np.n
 def fit_chain(texts: list[str], labels: np.ndarray) -> list[Linear]:
     """One model a column of labels (0 and 1), in order."""
     parts = list(features(pa.array(texts, pa.string())))
-    begin, flat = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.concatenate([*parts, np.zeros(0, np.int64)])
+    begin, flat = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.concatenate([*parts, np.zeros(0, np.int32)])
     n, fold = len(texts), np.arange(len(texts)) % FOLDS
     earlier, models = np.zeros((n, 0)), []
 
     def rows(which: np.ndarray):
         some = [flat[begin[i] : begin[i + 1]] for i in which]
-        return np.concatenate([*some, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(s) for s in some])]).astype(np.int64)
+        return np.concatenate([*some, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(s) for s in some])]).astype(np.int64)
 
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, models: list[Linear], categories: list[str], thresh
         for b in batches:
             parts = list(features(b.column("text"), used))
             begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-            flat = np.concatenate([*parts, np.zeros(0, np.int64)])
+            flat = np.concatenate([*parts, np.zeros(0, np.int32)])
             earlier = np.zeros((b.num_rows, 0))
             for model in shared.value:
                 earlier = np.column_stack([earlier, model.scores(flat, begin, earlier)])
