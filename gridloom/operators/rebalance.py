@@ -6,6 +6,7 @@ plans are sequential by nature: they run as one pandas task for each phase, on t
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -259,3 +260,35 @@ def tempered(objects: DataFrame, ranks: int, iterations: int = 4, seed: int = 0,
         return pd.DataFrame(out, columns=["phase", "object", "from_rank", "to_rank", "load"])
 
     return objects.groupBy("phase").applyInPandas(assign, "phase long, object long, from_rank long, to_rank long, load double")
+
+
+def swap_scores(clusters: DataFrame, work: DataFrame, limit: float) -> DataFrame:
+    """For each cluster of a rank over the mean and each one (or none, a null block) of a rank under it: how much the
+    larger work of both falls if they change places. Pairs that bring a rank's bytes over the limit are left out. There
+    are few clusters a rank, and their summaries are one row each. clusters: rank, block, load, bytes; work: rank, load,
+    bytes."""
+    mean = work.agg(F.avg("load").alias("mean"))
+    ranks = work.crossJoin(F.broadcast(mean))
+    src = ranks.where("load > mean").select(F.col("rank").alias("src"), F.col("load").alias("w_src"), F.col("bytes").alias("m_src"))
+    dst = ranks.where("load < mean").select(F.col("rank").alias("dst"), F.col("load").alias("w_dst"), F.col("bytes").alias("m_dst"))
+    give = clusters.select(F.col("rank").alias("src"), F.col("block").alias("given"), F.col("load").alias("a"), F.col("bytes").alias("ma"))
+    nothing = dst.select("dst", F.lit(None).cast("long").alias("taken"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("mb"))
+    take = clusters.select(F.col("rank").alias("dst"), F.col("block").alias("taken"), F.col("load").alias("b"), F.col("bytes").alias("mb")).unionByName(nothing)
+    pairs = src.join(give, "src").join(dst.join(take, "dst"), F.col("src") != F.col("dst"))
+    fits = (F.col("m_src") - F.col("ma") + F.col("mb") <= limit) & (F.col("m_dst") + F.col("ma") - F.col("mb") <= limit)
+    after = F.greatest(F.col("w_src") - F.col("a") + F.col("b"), F.col("w_dst") + F.col("a") - F.col("b"))
+    return pairs.where(fits).select("src", "given", "dst", "taken", (F.greatest("w_src", "w_dst") - after).alias("gain"))
+
+
+def replay(loads: DataFrame, placement: DataFrame, strategy: Callable[[DataFrame], DataFrame], phases: list[int], mod: int | None = None) -> DataFrame:
+    """Rows (phase, object, rank, load): recorded loads (phase, object, load) under a strategy that is applied after
+    each phase to the objects where they are then. Phases beyond the recording repeat it modulo mod. Phases are few, and
+    each adds one plan to the lineage."""
+    out, at = None, placement.select("object", "rank")
+    for p in phases:
+        now = loads.where(F.col("phase") == (p % mod if mod else p)).join(at, "object").select(F.lit(p).cast("long").alias("phase"), "object", "rank", "load")
+        out = now if out is None else out.unionByName(now)
+        plan = strategy(now.withColumn("migratable", F.lit(True)))
+        moved = plan.select("object", F.col("to_rank").alias("__to"))
+        at = at.join(moved, "object", "left").select("object", F.coalesce("__to", "rank").alias("rank"))
+    return out

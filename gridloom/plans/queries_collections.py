@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import scalar as sc
 from gridloom.operators import collection as co, comm, index as ix
 from gridloom.plans.registry import query
 from gridloom.plans.tables import CENTS, PLACED_EDGES, PLACEMENT, RANKS, cents, edges, placement, table
@@ -197,6 +198,24 @@ def f_time_and_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), wrapped.cast("long").alias("wrapped"))
 
 
+@query("SELECT s_suppkey, 'data.' || (s_suppkey % 4) || '.' || s_nationkey || '.json' AS name FROM supplier")
+def f_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", sc.file_name("data.%p.%t.json", F.col("s_suppkey") % 4, F.col("s_nationkey")).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN v >= 1e6 THEN round(v / 1e6, 2) WHEN v >= 1e3 THEN round(v / 1e3, 2) ELSE round(v, 2) END AS number, CASE WHEN v >= 1e6 THEN 'M' WHEN v >= 1e3 THEN 'K' ELSE '' END AS letter FROM (SELECT o_orderkey, o_totalprice * 7.0001 AS v FROM orders)")
+def f_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, letter = sc.scaled(F.col("o_totalprice") * 7.0001)
+    return table(spark, sf_dir, "orders").select("o_orderkey", number.alias("number"), letter.alias("letter"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CAST(user_id AS VARCHAR) AS u, TRUE AS had, CAST(1 AS BIGINT) AS left_over FROM events")
+def f_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = F.from_json("props", "map<string,string>")
+    e = table(spark, sf_dir, "events").select("event_id", sc.insert_value(sc.insert_value(store, "u", F.col("user_id").cast("string")), "k", F.lit("other")).alias("m"))
+    return e.select("event_id", sc.get_value(F.col("m"), "k").alias("k"), sc.get_value(F.col("m"), "u").alias("u"), sc.has_value(F.col("m"), "k").alias("had"), F.size(sc.remove_value(F.col("m"), "k")).cast("long").alias("left_over"))
+
+
 # --- examples --------------------------------------------------------------------------------------------------------
 
 

@@ -277,3 +277,40 @@ def b11_normalised_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b11_applied_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _objects(spark, sf_dir)
     return rb.applied(rows, rb.rotate(rows, RANKS)).select("object", "rank", "load")
+
+
+_CLUSTERS = f"{_OBJ}, cl AS (SELECT rank, object % 6 AS block, sum(load) AS load, count(*) * 9 AS bytes FROM obj GROUP BY 1, 2), wk AS (SELECT rank, sum(load) AS load, count(*) * 9 AS bytes FROM obj GROUP BY 1), mn AS (SELECT avg(load) AS mean FROM wk)"
+
+
+@query(
+    f"WITH {_CLUSTERS}, src AS (SELECT wk.* FROM wk, mn WHERE load > mean), dst AS (SELECT wk.* FROM wk, mn WHERE load < mean), "
+    "tk AS (SELECT rank, block, load, bytes FROM cl UNION ALL SELECT rank, NULL, 0, 0 FROM dst) "
+    "SELECT src.rank AS src, g.block AS given, dst.rank AS dst, coalesce(t.block, -1) AS taken, CAST(greatest(src.load, dst.load) - greatest(src.load - g.load + t.load, dst.load + g.load - t.load) AS BIGINT) AS gain "
+    "FROM src JOIN cl g ON g.rank = src.rank JOIN dst ON dst.rank <> src.rank JOIN tk t ON t.rank = dst.rank WHERE src.bytes - g.bytes + t.bytes <= 300 AND dst.bytes + g.bytes - t.bytes <= 300"
+)
+def b06f_swap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _objects(spark, sf_dir)
+    size = (F.count("*") * 9).alias("bytes")
+    clusters = rows.groupBy("rank", (F.col("object") % 6).alias("block")).agg(F.sum("load").alias("load"), size)
+    work = rows.groupBy("rank").agg(F.sum("load").alias("load"), size)
+    got = rb.swap_scores(clusters, work, 300)
+    return got.withColumn("taken", F.coalesce("taken", F.lit(-1).cast("long")))
+
+
+@query(f"WITH {_OBJ} SELECT object, rank AS from_rank, rank AS to_rank FROM obj")
+def b09_self_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _objects(spark, sf_dir).select("object", F.col("rank").alias("from_rank"), F.col("rank").alias("to_rank"))
+
+
+@query(
+    f"WITH {PLACEMENT}, {LOADS}, r AS (SELECT phase - (SELECT min(phase) FROM loads) AS k, object, load FROM loads), n AS (SELECT range AS p FROM range(5)) "
+    f"SELECT n.p AS phase, CAST((placement.rank + n.p) % {RANKS} AS BIGINT) AS rank, CAST(sum(r.load) AS BIGINT) AS load FROM n JOIN r ON r.k = n.p % 3 JOIN placement ON placement.object = r.object "
+    f"WHERE r.object IN (SELECT object FROM r WHERE k < 3 GROUP BY object HAVING count(*) = 3) GROUP BY 1, 2"
+)
+def b12_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = loads(spark, sf_dir)
+    first = rows.agg(F.min("phase").alias("first"))
+    recorded = rows.crossJoin(F.broadcast(first)).select((F.col("phase") - F.col("first")).alias("phase"), "object", "load")
+    always = recorded.where("phase < 3").groupBy("object").agg(F.count("*").alias("n")).where("n = 3").select("object")
+    got = rb.replay(recorded.join(always, "object", "left_semi"), placement(spark, sf_dir), lambda d: rb.rotate(d, RANKS), list(range(5)), mod=3)
+    return got.groupBy("phase", "rank").agg(F.sum("load").alias("load"))

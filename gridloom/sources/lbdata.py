@@ -50,7 +50,7 @@ def entity(kind: Column, ident: Column, home: Column, migratable: Column, collec
         kind.alias("type"), ident.alias("id"), home.alias("home"), migratable.alias("migratable"),
         (nothing.cast("bigint") if collection is None else collection).alias("collection_id"),
         (nothing.cast("array<bigint>") if index is None else index).alias("index"),
-        (nothing.cast("bigint") if objgroup is None else F.when(nothing.isNull() if collection is None else collection.isNull(), objgroup)).alias("objgroup_id"),
+        (nothing.cast("bigint") if objgroup is None else objgroup).alias("objgroup_id"),
     )
 
 
