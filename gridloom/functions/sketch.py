@@ -121,8 +121,8 @@ def sketches(df: DataFrame, value: str, by: list[str], size: int) -> DataFrame:
         return pa.table({c: pa.array(out[c], type=table.schema.field(c).type) for c in cols})
 
     parts = df.select(*by, F.col(value).cast("double").alias(value)).mapInPandas(local, schema)
-    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*by, "lane").applyInArrow(lambda t: together(t.drop_columns(["lane"])), schema)
-    return lanes.groupBy(*by).applyInArrow(together, schema) if by else lanes.groupBy(F.lit(1)).applyInArrow(together, schema)
+    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*by, "lane").applyInArrow(together, schema)
+    return lanes.withColumn("all", F.lit(1)).groupBy(*by, "all").applyInArrow(together, schema)
 
 
 def query_sketches(rows: DataFrame, quantiles: list[float]) -> DataFrame:

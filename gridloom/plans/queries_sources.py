@@ -9,6 +9,7 @@ from gridloom.operators import stats
 from gridloom.plans.registry import query
 from gridloom.plans.tables import LOADS, PLACED, PLACEMENT, RANK_LOADS, RANKS, loads, placed, placement, table
 from gridloom.sources import lbdata
+from gridloom.streaming.phases import phase_statistics
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,5 @@ def s23_graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS phase_start, event_type, count(*) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY 1, 2")
 def t01_phase_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream of phases gives, on the whole table as one batch: a streaming plan needs a sink."""
-    from gridloom.streaming.phases import phase_statistics
-
     got = phase_statistics(table(spark, sf_dir, "events"))
-    return got.select("phase_start", "event_type", "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+    return got.select(F.col("phase_start").cast("timestamp_ntz").alias("phase_start"), "event_type", "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))

@@ -69,7 +69,7 @@ def documents(rows: DataFrame) -> DataFrame:
     return whole.select("rank", F.to_json(F.struct(F.lit("LBDatafile").alias("type"), meta.alias("metadata"), ordered.alias("phases"))).alias("json"))
 
 
-def write(rows: DataFrame, path: str, compression: str = "zstd") -> None:
+def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
     documents(rows).select("json").write.mode("overwrite").option("compression", compression).text(path)
 
 

@@ -16,6 +16,7 @@ from gridloom.session import ship
 def phase_statistics(events: DataFrame, length: str = "1 hour", late: str = "10 minutes", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Count, sum, min, max and mean of value in tumbling windows; state of a window is dropped once it is late."""
     w = F.window("ts", length)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(w, *keys).agg(
         F.count("*").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg")
     ).select(F.col("window.start").alias("phase_start"), *keys, "n", "sum", "min", "max", "avg")
