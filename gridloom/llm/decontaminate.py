@@ -123,10 +123,11 @@ class SuffixAutomaton:
                     yield size, names
             at = self.marked[at]
 
-    def runs(self, g: W.Group) -> Iterator[tuple[int, int]]:
-        """Runs of words of one row in which a window can be, as word positions of the group."""
+    def runs(self, g: W.Group) -> list[tuple[int, int]]:
+        """Runs of words of one row in which a window can be, as word positions of the group, in order."""
         if not self.shortest or not len(g.starts):
-            return
+            return []
+        found: list[tuple[int, int]] = []
         h = g.hashes()
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         known = self.hashes[at] == h
@@ -140,12 +141,13 @@ class SuffixAutomaton:
             where = where[:0]
         if self.shortest == 1:
             single = np.setdiff1d(np.flatnonzero(known), np.union1d(where, where + 1))
-            yield from ((i, i + 1) for i in single.tolist())
+            found += [(i, i + 1) for i in single.tolist()]
         if len(where):
             cut = np.flatnonzero(np.diff(where) > 1)
             begin, end = where[np.concatenate([[0], cut + 1])], where[np.concatenate([cut, [len(where) - 1]])] + 2
             long = end - begin >= self.shortest
-            yield from zip(begin[long].tolist(), end[long].tolist(), strict=True)
+            found += zip(begin[long].tolist(), end[long].tolist(), strict=True)
+        return sorted(found)
 
     def scan(self, g: W.Group) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
         """For each row of a group with windows: spans of hit words (positions in the group), and items."""
