@@ -58,8 +58,8 @@ def shingles(group: W.Group, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     n = len(h)
     acc = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        part = h[min(k, n) :]
-        acc[: n - k] = W.mix(acc[: n - k] * np.uint64(0xFF51AFD7ED558CCD) + part)
+        m = max(n - k, 0)
+        acc[:m] = W.mix(acc[:m] * np.uint64(0xFF51AFD7ED558CCD) + h[n - m :])
     whole = (count > 0) & (count < width)
     take = np.where(whole, 1, np.maximum(count - width + 1, 0))
     for r in np.flatnonzero(whole):
