@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.session import ship
 
 #: Entries in a generation of a worker's memory of pre-tokens, and of stretches; there are two generations of each.
-PIECES, STRETCHES = 400_000, 250_000
+PIECES, STRETCHES = 250_000, 150_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
