@@ -10,9 +10,11 @@ Kinds, in the order in which they are tried at a place of a text:
 
 - e-mail addresses: the letters and digits of the local part, each within its class;
 - IPv4 addresses with parts up to 255: all 32 bits;
-- payment card numbers of 13 to 19 digits, bare or in groups, that pass the Luhn check: all but the check digit, which is computed anew;
+- payment card numbers of 13 to 19 digits, bare or in groups, that pass the Luhn check: all but the check digit, which is computed anew.
+  In a usual grouping they are found beside other numbers too;
 - dates YYYY-MM-DD, YYYY/MM/DD and DD.MM.YYYY of the calendar, from 1900-01-01 on: within blocks of 270 * 270 days;
-- telephone numbers with a + and 8 to 15 digits: all but the country code's digits.
+- telephone numbers with a + and 8 to 15 digits: all but the country code's digits. Where a country's numbers have one
+  length, they end there.
 """
 
 from __future__ import annotations
@@ -24,10 +26,24 @@ ROUNDS = 8
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
-_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 _DATE = r"(?<![0-9])(?:(?:19|2[0-9])[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|2[0-9])[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|2[0-9])[0-9]{2})(?![0-9])"
-_PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])"
-PATTERN = "|".join((_EMAIL, _IP, _DATE, _PHONE, _CARD))
+_OTHER = rf"(?!{_IP}|{_DATE}|{_EMAIL})"
+_DIGIT = r"(?:[ .-]?\(?[0-9]\)?)"
+#: Numbers end at the length of their country's plan, where that is fixed and a group ends there.
+_PLANS = ((10, "1|7|44|52|90|91|92"), (9, "27|31|33|34|41|48|61|351|420"), (8, "45|47|65"), (11, "86"))
+_PLANNED = "|".join(rf"\+(?:{codes})(?:[ .-]?\(0\))?{_DIGIT}{{{n}}}(?![0-9])" for n, codes in _PLANS)
+_FREE = rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9](?:(?:[ .-]{_OTHER})?[0-9]){{5,12}}(?![0-9])"
+_PHONE = rf"(?:{_PLANNED}|{_FREE})"
+#: Groups of digits, 13 digits at least, up to a value of another kind.
+_RUN = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -]{_OTHER}[0-9]++)*+"
+#: A part of a run of any grouping, as long as may be.
+_PART = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Lengths of the groups of cards as they are usually written, with how many groups these are, best first: of groups
+#: 4-4-4-4-3 the last is a card's own with issuers that have such cards, and a number beside the card with others.
+_LONG_ISSUER = r"^(?:6|5[06-9])"
+_USUAL = ((1, "1[3-9]"), (5, "4-4-4-4-3"), (4, "4-4-4-[1-4]"), (3, "4-(?:6-5|6-4|4-5|5-6)"), (2, "6-13|8-8|6-10"), (5, "4-4-4-4-3"))
+_MARK = "\u0001"
+PATTERN = "|".join((_EMAIL, _IP, _DATE, _PHONE, _RUN))
 
 
 def _hash(key: str, tweak: str, turn: int, half: Column) -> Column:
@@ -89,15 +105,54 @@ def _laid_out(value: Column, digits: Column) -> Column:
     return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), step, lambda a: a["s"])
 
 
+def _valid(digits: Column) -> Column:
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.length(digits).between(13, 19) & (F.pmod(_luhn_sum(body) + F.substring(digits, -1, 1).cast("int"), F.lit(10)) == 0)
+
+
 def _card(value: Column, key: str) -> Column:
     digits = _only_digits(value)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    valid = F.pmod(_luhn_sum(body) + F.substring(digits, -1, 1).cast("int"), F.lit(10)) == 0
 
     def new(b: Column) -> Column:
         return F.concat(b, F.pmod(-_luhn_sum(b), F.lit(10)).cast("string"))
 
-    return F.when(valid, _laid_out(value, _bound(_permuted_digits(body, key, "card"), new))).otherwise(value)
+    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    return F.when(_valid(digits), _laid_out(value, _bound(_permuted_digits(body, key, "card"), new))).otherwise(value)
+
+
+def _parts(value: Column) -> Column:
+    """A run in pieces, of which each second one may be a card: first valid ones in a usual grouping, from the left, so
+    that numbers beside a card do not hide it; then, between these, the longest parts of 13 to 19 digits."""
+
+    def marked(run: Column) -> Column:
+        groups, gaps = run["groups"], run["gaps"]
+
+        def step(s: Column, i: Column) -> Column:
+            # i from 1; the first of the usual groupings that begin here and are valid
+            lengths = F.concat_ws("-", F.transform(F.slice(groups, i, 5), lambda g: F.length(g).cast("string")))
+            shaped = []
+            for at, (n, shape) in enumerate(_USUAL):
+                fits = lengths.rlike(f"^(?:{shape})(?:-|$)")
+                shaped.append(F.when(fits & F.element_at(groups, i).rlike(_LONG_ISSUER) if at == 1 else fits, F.lit(n)))
+            valid = F.filter(F.array(*shaped), lambda n: n.isNotNull() & _valid(F.concat_ws("", F.slice(groups, i, n))))
+            n = F.when(i >= s["next"], F.get(valid, F.lit(0)))
+            taken = lambda m: F.struct((i + m).alias("next"), F.concat(s["first"], F.array(i)).alias("first"), F.concat(s["last"], F.array(i + m - 1)).alias("last"))
+            return _bound(n, lambda m: F.when(m.isNotNull(), taken(m)).otherwise(s))
+
+        none = F.array().cast("array<int>")
+        start = F.struct(F.lit(1).alias("next"), none.alias("first"), none.alias("last"))
+        picked = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
+
+        def laid(found: Column) -> Column:
+            mark = lambda ends, i: F.when(F.array_contains(ends, i + 1), F.lit(_MARK)).otherwise(F.lit(""))
+            return F.array_join(F.transform(groups, lambda g, i: F.concat(F.when(i > 0, F.get(gaps, i - 1)).otherwise(F.lit("")), mark(found["first"], i), g, mark(found["last"], i))), "")
+
+        return _bound(picked, laid)
+
+    run = F.struct(F.split(value, "[ -]").alias("groups"), F.regexp_extract_all(value, F.lit("([ -])"), 1).alias("gaps"))
+    pieces = F.split(_bound(run, marked), _MARK, -1)
+    rest = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, f"({_PART})", f"{_MARK}$1{_MARK}")).otherwise(p))
+    return F.split(F.array_join(rest, _MARK), _MARK, -1)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -157,7 +212,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one recognised value."""
+    """The pseudonym of one recognised value; of a card, not of a run of numbers."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (
         F.when(value.contains("@"), _email(value, key)).when(whole(_IP), _ip(value, key)).when(whole(_DATE), _date(value, key))
@@ -172,13 +227,17 @@ def pseudonymise(docs: DataFrame, key: str = "pseudonym key") -> DataFrame:
     rest = [c for c in docs.columns if c not in ("n_found", "n_changed")]
     text = F.col("text").cast("string")
     found = F.regexp_extract_all(text, F.lit(f"({PATTERN})"), 1)
-    out = docs.select(*(F.col(f"`{c}`") for c in rest), found.alias("__found"))
-    out = out.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda v: pseudonym(v, key))))
+    # each match in pieces, of which each second one is a value
+    pieces = F.transform(found, lambda v: F.when(v.rlike(f"^(?:{_RUN})$") & ~v.rlike(f"^(?:{_IP}|{_DATE})$"), _parts(v)).otherwise(F.array(F.lit(""), v, F.lit(""))))
+    out = docs.select(*(F.col(f"`{c}`") for c in rest), pieces.alias("__found"))
+    new = F.transform("__found", lambda m: F.transform(m, lambda v, i: F.when(i % 2 == 1, pseudonym(v, key)).otherwise(v)))
+    out = out.withColumn("__new", F.when(F.size("__found") > 0, new))
     parts = F.split(text, f"(?:{PATTERN})", -1)
     # a part and the pseudonym after it, in turn; the last part has none
-    joined = F.array_join(F.transform(F.arrays_zip(parts.alias("p"), F.col("__new").alias("n")), lambda z: F.concat(z["p"], F.coalesce(z["n"], F.lit("")))), "")
-    changed = F.size(F.filter(F.arrays_zip(F.col("__found").alias("a"), F.col("__new").alias("b")), lambda z: z["a"] != z["b"]))
+    joined = F.array_join(F.transform(F.arrays_zip(parts.alias("p"), F.col("__new").alias("n")), lambda z: F.concat(z["p"], F.coalesce(F.array_join(z["n"], ""), F.lit("")))), "")
+    changed = F.size(F.filter(F.arrays_zip(F.flatten("__found").alias("a"), F.flatten("__new").alias("b")), lambda z: z["a"] != z["b"]))
+    values = F.aggregate("__found", F.lit(0), lambda a, m: a + F.floor(F.size(m) / 2).cast("int"))
     some = F.size("__found") > 0
     cols = [F.when(some, joined).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in rest]
     n = lambda x: F.when(some, x).otherwise(F.lit(0)).cast("long")
-    return out.select(*cols, n(F.size("__found")).alias("n_found"), n(changed).alias("n_changed"))
+    return out.select(*cols, n(values).alias("n_found"), n(changed).alias("n_changed"))

@@ -161,3 +161,22 @@ def test_nearest_copies_ties_and_bad_rows(spark):
     assert [by[0, k] for k in (1, 2, 3)] == [(1, 1.0), (2, 1.0), (100, 1.0)]
     assert by[3, 1] == (4, 0.707107) and by[3, 2] == (0, 0.0) and not any(q == 5 for q, _ in by)
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_pseudonyms_beside_other_numbers(spark):
+    """A value keeps its pseudonym, and what stands beside it stays, whatever numbers are next to it."""
+    card, grouped, phone = "4111111111111111", "4111 1111 1111 1111", "+1 (017) 555-7713"
+    beside = [
+        (f"{card} 123", card, "", " 123"), (f"{grouped} 12/27", grouped, "", " 12/27"), (f"order 12 {card}", card, "order 12 ", ""),
+        (f"{grouped} 2021-99-99", grouped, "", " 2021-99-99"), (f"{phone} 12 apples", phone, "", " 12 apples"), (f"7 {grouped} 123", grouped, "7 ", " 123"),
+        (f"{phone} 5 5", phone, "", " 5 5"), ("+33 1 23 45 67 89 12", "+33 1 23 45 67 89", "", " 12"),
+    ]
+    # every two- and three-digit neighbour, so also those with which the joined digits pass the check by chance
+    beside += [(f"{card} {k}", card, "", f" {k}") for k in range(10, 200)]
+    rows = [(i, t) for i, (t, *_) in enumerate(beside)] + [(1000 + i, v) for i, (_, v, *_) in enumerate(beside)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (_, value, before, after) in enumerate(beside):
+        alone = got[1000 + i].text
+        assert alone != value and got[i].text == before + alone + after
+    two = pii.pseudonymise(spark.createDataFrame([(1, f"{grouped} {card} 10.0.0.1"), (2, "1 2 3 " * 4000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (two[0].n_found, two[0].n_changed) == (3, 3) and "10.0.0.1" not in two[0].text
