@@ -91,9 +91,10 @@ def multicast(objects: DataFrame, members: DataFrame) -> DataFrame:
     return objects.join(members, "rank", "left_semi")
 
 
-def scatter(values: DataFrame, ranks: int) -> DataFrame:
-    """Slot k of the values (columns slot, value) to rank k."""
-    return values.where((F.col("slot") >= 0) & (F.col("slot") < ranks)).select(F.col("slot").alias("rank"), "value")
+def scatter(values: DataFrame, ranks: int | None = None) -> DataFrame:
+    """Slot k of the values (columns slot, value) to rank k; without a number of ranks, there is one for every slot."""
+    there = F.col("slot") >= 0
+    return values.where(there if ranks is None else there & (F.col("slot") < ranks)).select(F.col("slot").alias("rank"), "value")
 
 
 def tree(spark: SparkSession, ranks: int) -> DataFrame:

@@ -79,6 +79,12 @@ def c14_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.scatter(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slot"), F.col("c_acctbal").alias("value")), 64)
 
 
+@query("SELECT c_custkey AS rank, c_acctbal AS value FROM customer")
+def c14_scatter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table, on as many ranks as it has slots."""
+    return co.scatter(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slot"), F.col("c_acctbal").alias("value")))
+
+
 @query(
     "WITH RECURSIVE t(rank, level) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT 2 * rank + k, level + 1 FROM t, (VALUES (1), (2)) v(k) WHERE 2 * rank + k < 100) "
     "SELECT rank, CASE WHEN rank > 0 THEN (rank - 1) // 2 END AS parent, CAST((2 * rank + 1 < 100)::INT + (2 * rank + 2 < 100)::INT AS BIGINT) AS n_children, level FROM t"

@@ -169,3 +169,8 @@ def test_stream_of_phases(spark, data, tmp_path):
     q = phases.element_state(stream.select("user_id", "value")).writeStream.format("memory").queryName("elements_out").outputMode("update").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from elements_out").first()[0] == 1000
+
+
+def test_scatter_without_ranks_keeps_every_slot(spark):
+    values = spark.range(200).selectExpr("id AS slot", "id * 2 AS value")
+    assert co.scatter(values).count() == 200 and co.scatter(values, 64).count() == 64
