@@ -280,15 +280,20 @@ def swap_scores(clusters: DataFrame, work: DataFrame, limit: float) -> DataFrame
     return pairs.where(fits).select("src", "given", "dst", "taken", (F.greatest("w_src", "w_dst") - after).alias("gain"))
 
 
-def replay(loads: DataFrame, placement: DataFrame, strategy: Callable[[DataFrame], DataFrame], phases: list[int], mod: int | None = None) -> DataFrame:
+def replay(loads: DataFrame, placement: DataFrame, strategy: Callable[[DataFrame], DataFrame], phases: list[int], mod: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows (phase, object, rank, load): recorded loads (phase, object, load) under a strategy that is applied after
-    each phase to the objects where they are then. Phases beyond the recording repeat it modulo mod. Phases are few, and
-    each adds one plan to the lineage."""
-    out, at = None, placement.select("object", "rank")
+    each phase to the objects where they are then; one without a load in a phase stays. Phases beyond the recording repeat
+    it modulo mod. Each phase adds one plan to the lineage, which keep cuts: it gets the placement after each phase and
+    gives it back written. Without keep, phases should be few."""
+    at, places = placement.select("object", "rank"), None
     for p in phases:
-        now = loads.where(F.col("phase") == (p % mod if mod else p)).join(at, "object").select(F.lit(p).cast("long").alias("phase"), "object", "rank", "load")
-        out = now if out is None else out.unionByName(now)
+        of = p % mod if mod else p
+        here = at.select(F.lit(p).cast("long").alias("phase"), F.lit(of).cast("long").alias("__of"), "object", "rank")
+        places = here if places is None else places.unionByName(here)
+        now = loads.where(F.col("phase") == of).join(at, "object").select(F.lit(p).cast("long").alias("phase"), "object", "rank", "load")
         plan = strategy(now.withColumn("migratable", F.lit(True)))
         moved = plan.select("object", F.col("to_rank").alias("__to"))
         at = at.join(moved, "object", "left").select("object", F.coalesce("__to", "rank").alias("rank"))
-    return out
+        at = keep(at) if keep else at
+    recorded = loads.select(F.col("phase").alias("__of"), "object", "load")
+    return recorded.join(places, ["__of", "object"]).select("phase", "object", "rank", "load")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +24,16 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"gridloom/{f.relative_to(root)}")
     sc.addPyFile(str(path))
     sc._gridloom_shipped = True
+
+
+def kept(df: DataFrame, *by: str) -> DataFrame:
+    """The table written to spark.checkpoint.dir, in folders by the columns given, and read again: cuts its lineage."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import sketch
 from gridloom.operators import collection as co, index as ix, models, rebalance as rb, reduce as rd
 from gridloom.plans.queries_collections import gossip_parameters
+from gridloom.session import kept
 from gridloom.sources import lbdata
 from gridloom.streaming import phases
 
@@ -174,3 +175,16 @@ def test_stream_of_phases(spark, data, tmp_path):
 def test_scatter_without_ranks_keeps_every_slot(spark):
     values = spark.range(200).selectExpr("id AS slot", "id * 2 AS value")
     assert co.scatter(values).count() == 200 and co.scatter(values, 64).count() == 64
+
+
+def test_replay_of_sparse_objects(spark):
+    """Against a plain replay: objects without a load in a phase stay, and those of few phases are not left out."""
+    loads = {0: {1: 5, 2: 7}, 1: {2: 1, 3: 4}, 2: {1: 2}, 4: {3: 9, 1: 1}}
+    at, want = {1: 0, 2: 1, 3: 2}, []
+    for p in range(5):
+        want += [(p, o, at[o], x) for o, x in loads.get(p, {}).items()]
+        at |= {o: (at[o] + 1) % 4 for o in loads.get(p, {})}
+    rows = spark.createDataFrame([(p, o, x) for p, objects in loads.items() for o, x in objects.items()], "phase long, object long, load long")
+    placed = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "object long, rank long")
+    got = rb.replay(rows, placed, lambda d: rb.rotate(d, 4), list(range(5)), keep=kept)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
