@@ -1,17 +1,14 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line is the set of its distinct words (lower-cased A-Z, between white space), as 64-bit hashes. Words are ordered by
-rarity, with a table of 2**20 counters over all documents. Two sets of n and m words with a Jaccard similarity of t or
-more share a word among the n - ceil(t n) + 1 rarest of the one and likewise of the other (prefix filter); their sizes
-differ by a factor of t at most (length filter); and the words from the first shared one on must suffice (positional
-filter). A 64-bit signature rejects most lines that meet by chance; it may differ in FAR bits where 6 are expected, so
-that a pair exactly at the threshold is missed with a probability under 1e-6. What is left is verified on whole sets.
+rarity. Two sets of n and m words with a Jaccard similarity of t or more share a word among the n - ceil(t n) + 1 rarest
+of the one and likewise of the other (prefix filter); their sizes differ by a factor of t at most (length filter); and the
+words from the first shared one on must suffice (positional filter). What these filters, and a bitmap that cannot reject
+a match, leave is verified on whole sets. See lists.py for the lists of words in which lines meet.
 
 A line is removed if an earlier line matches it, be that one kept or not; earlier is by (doc_id, line number). So the
-result does not depend on the order of work, and a line needs one match only: lists of a word with up to SHORT lines
-give all pairs that the filters leave; a longer one offers its members its earliest line first, and only lines without a
-match are then compared with all earlier ones of their long lists. A group of copies costs its size and not its square.
-"""
+result does not depend on the order of work, and a line needs one match only: it is first compared with its earliest
+partners of each list, and only lines that match none of them, and have further ones, with all others."""
 
 from __future__ import annotations
 
@@ -19,34 +16,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import lists as L
 from gridloom.llm import words as W
-from gridloom.llm.near_dedup import BUCKETS, FAR, HOT, _SLICE, _bucket, _lists, _once, rarity
 from gridloom.llm.scratch import Scratch, small
 
-#: Lines of a word's list that are all compared with each other.
-SHORT = 64
 _LINES = 1 << 17
-# a list member's place: lane of a very long list, size of the line, position of the word in it
-_SIZE, _LANE, _PART = 26, 52, (1 << 26) - 1
-_MULTIPLIERS = (W.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+#: Lines whose first copy a task remembers.
+SEEN = 100_000
+_PLACE = ["doc_id", "line"]
 
 
 class Lines:
     """The lines with words of some rows: for each its row, number (from 0, blank lines counted), first word and size
-    in `tokens`, which holds each line's distinct word hashes, ascending by their high bits."""
+    in `tokens`, which holds each line's distinct word hashes, by their code (the rarest first) and then their low bits."""
 
-    def __init__(self, g: W.Group, h: np.ndarray, line: np.ndarray, number: np.ndarray):
+    def __init__(self, g: W.Group, h: np.ndarray, line: np.ndarray, number: np.ndarray, codes: np.ndarray | None):
         new = np.concatenate([[True], line[1:] != line[:-1]])
         index = np.cumsum(new) - 1
         self.row, self.number = g.row[np.flatnonzero(new)], number[new]
-        order = np.argsort((index.astype(np.uint64) << np.uint64(46)) | (h >> np.uint64(18)))
-        index, h = index[order], h[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (index[1:] != index[:-1])])
-        self.tokens, self.line = h[fresh], index[fresh]
+        by = (index.astype(np.uint64) << np.uint64(46)) | (h & np.uint64((1 << 38) - 1))
+        if codes is not None:
+            code = codes[L.bucket(h)]
+            by |= code.astype(np.uint64) << np.uint64(38)
+        order = np.argsort(by)
+        h, line_of = h[order], index[order]
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (line_of[1:] != line_of[:-1])])
+        self.tokens, self.line = h[fresh], line_of[fresh]
+        self.codes = None if codes is None else code[order][fresh]
         self.begin = np.flatnonzero(np.concatenate([[True], self.line[1:] != self.line[:-1]]))
         self.size = np.diff(np.append(self.begin, len(self.line)))
 
@@ -54,27 +53,11 @@ class Lines:
         total = np.add.reduceat(W.mix(self.tokens ^ np.uint64(0x5851F42D4C957F2D)), self.begin)
         return W.mix(total + self.size.astype(np.uint64)).view(np.int64)
 
-    def signatures(self) -> np.ndarray:
-        short = (self.tokens >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((len(self.begin), 64), dtype=np.uint8)
-        for j, m in enumerate(_MULTIPLIERS):
-            least = np.minimum.reduceat(short * m, self.begin)
-            least ^= least >> np.uint32(16)
-            out[:, j] = ((least * np.uint32(0x7FEB352D)) >> np.uint32(31)).astype(np.uint8)
-        return np.packbits(out, axis=1).view(">i8")[:, 0].astype(np.int64)
 
-    def rarest_first(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token places, by line and then rarity, and their positions in the line."""
-        c = np.minimum(255, (8 * np.log2(1.0 + counts[_bucket(self.tokens)])).astype(np.uint64)).astype(np.uint64)
-        by = (self.line.astype(np.uint64) << np.uint64(46)) | (c << np.uint64(38)) | (self.tokens & np.uint64((1 << 38) - 1))
-        return np.argsort(by), np.arange(len(by)) - np.repeat(self.begin, self.size)
-
-
-def lines_of(g: W.Group) -> Iterator[Lines]:
-    """The lines of a group of rows, some at a time."""
+def lines_of(g: W.Group, h: np.ndarray, codes: np.ndarray | None = None) -> Iterator[Lines]:
+    """The lines of a group of rows with word hashes h, some at a time."""
     if not len(g.starts):
         return
-    h = g.hashes()
     breaks = np.flatnonzero(g.buf == 10)
     count = np.searchsorted(breaks, g.starts)
     number = count - np.searchsorted(breaks, g.at)[g.row]
@@ -82,200 +65,164 @@ def lines_of(g: W.Group) -> Iterator[Lines]:
     cuts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))[::_LINES]
     for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
         part = W.Group(g.first, g.rows, g.buf, g.row[a:b], g.starts[a:b], g.ends[a:b], g.at)
-        yield Lines(part, h[a:b], line[a:b], number[a:b])
+        yield Lines(part, h[a:b], line[a:b], number[a:b], codes)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    for b in batches:
-        for g in W.groups(b.column("text"), W.SPACED):
-            if len(g.starts):
-                total += np.bincount(_bucket(g.hashes()), minlength=BUCKETS)
-    for k in range(0, BUCKETS, _SLICE):
-        if (part := total[k : k + _SLICE]).any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // _SLICE], pa.int32()), _lists([part])], ["part", "counts"])
+_KEYED = "doc_id long, th long, line long, key long, part int, counts binary"
 
 
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with words, and the task's counts of words."""
+    names = [f.split()[0] for f in _KEYED.split(", ")]
+    counter = L.Counter()
     for b in batches:
-        ids = b.column("doc_id").to_numpy()
+        ids, hashes = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
         for g in W.groups(b.column("text"), W.SPACED):
-            for x in lines_of(g):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[g.first + x.row]), pa.array(x.number, pa.int64()), pa.array(x.keys())], ["doc_id", "line", "key"])
+            h = g.hashes()
+            if len(h):
+                counter.add(h)
+            for x in lines_of(g, h):
+                at, n = g.first + x.row, len(x.row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(hashes[at]), pa.array(x.number, pa.int64()), pa.array(x.keys()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+                )
+    for part, counts in counter.slices():
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names)
 
 
-def _prefixes(order, percent: int):
-    fields = ["value", "key", "place", "sign", "doc_id"]
+def _entries(codes, bound: L.Bound):
+    """The lists that the lines enter. An exact copy that the task met is listed once more only if it comes earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = order.value, {}
+        table, seen = codes.value, {}
         for b in batches:
             ids = b.column("doc_id").to_numpy()
             for g in W.groups(b.column("text"), W.SPACED):
-                for x in lines_of(g):
+                for x in lines_of(g, g.hashes(), table):
                     keys, docs = x.keys(), ids[g.first + x.row]
-                    # an exact copy that the task met is listed once more only if it comes earlier
-                    fresh = np.zeros(len(keys), dtype=bool)
-                    if len(seen) > 2_000_000:
+                    wanted = ~bound.alone(x.size)
+                    if len(seen) > SEEN:
                         seen.clear()
-                    for i, (k, d, n) in enumerate(zip(keys.tolist(), docs.tolist(), x.number.tolist(), strict=True)):
+                    at = np.flatnonzero(wanted)
+                    for i, k, d, n in zip(at.tolist(), keys[at].tolist(), docs[at].tolist(), x.number[at].tolist(), strict=True):
                         if (old := seen.get(k)) is None or (d, n) < old:
                             seen[k] = (d, n)
-                            fresh[i] = True
-                    at, pos = x.rarest_first(counts)
-                    prefix = x.size - -(-percent * x.size // 100) + 1
-                    line = x.line[at]
-                    take = fresh[line] & (pos < prefix[line])
-                    line, pos, value = line[take], pos[take], x.tokens[at[take]]
-                    lanes = np.minimum(1 + counts[_bucket(value)] // HOT, 2000)
-                    lane = np.where(lanes > 1, 1 + (keys[line] & 0xFFFFFF) % lanes, 0).astype(np.int64)
-                    place = (lane << _LANE) | (x.size[line] << _SIZE) | pos
-                    cols = (value.view(np.int64), keys[line], place, x.signatures()[line], docs[line])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], fields)
+                        else:
+                            wanted[i] = False
+                    value, owner, rest = L.entries(x.tokens, x.codes, x.begin, x.size, bound, (x.size, wanted))
+                    low, high = L.bitmaps(x.tokens, x.begin)
+                    cols = (value.view(np.int64), keys[owner], L.packed(x.size[owner], rest), low[owner], high[owner], docs[owner], x.number[owner])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*L.ENTRY, *_PLACE])
 
     return run
 
 
-def _can_match(percent: int):
-    def fits(place: np.ndarray, other: np.ndarray, sign: np.ndarray, other_sign: np.ndarray) -> np.ndarray:
-        a, b = (place >> _SIZE) & _PART, (other >> _SIZE) & _PART
-        need = -(-(a + b) * percent // (100 + percent))
-        good = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (np.minimum(a - (place & _PART), b - (other & _PART)) >= need)
-        return good & (np.bitwise_count((sign ^ other_sign).view(np.uint64)) <= FAR)
-
-    return fits
-
-
-def _fits(percent: int, a: str, b: str):
-    size = lambda p: F.shiftright(f"{p}place", _SIZE).bitwiseAND(F.lit(_PART))
-    rest = lambda p: size(p) - F.col(f"{p}place").bitwiseAND(F.lit(_PART))
-    na, nb = size(a), size(b)
-    need = F.ceil((na + nb) * percent / F.lit(100.0 + percent) - F.lit(1e-6))
-    alike = F.bit_count(F.col(f"{a}sign").bitwiseXOR(F.col(f"{b}sign"))) <= FAR
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(rest(a), rest(b)) >= need) & alike
-
-
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word sets of the lines whose numbers are wanted; other lines are not looked at."""
     for b in batches:
-        wanted = b.column("lines").to_pylist()
-        for g in W.groups(b.column("text"), W.SPACED):
-            for x in lines_of(g):
-                keys, row, number = x.keys(), (g.first + x.row).tolist(), x.number.tolist()
-                mine = {r: set(wanted[r]) for r in set(row)}
-                take = [i for i in range(len(row)) if number[i] in mine[row[i]]]
-                sets = [np.sort(x.tokens[x.begin[i] : x.begin[i] + x.size[i]].view(np.int64)) for i in take]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take], pa.int64()), _lists(sets)], ["key", "tokens"])
-
-
-def _similar(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy()) for c in ("xt", "yt")]
-            keep = []
-            for i in range(b.num_rows):
-                both = np.concatenate([v[o[i] : o[i + 1]] for o, v in sides])
-                both.sort()
-                k = int((both[1:] == both[:-1]).sum())
-                if 100 * k >= percent * (len(both) - k):
-                    keep.append(i)
-            yield b.select(["x", "y"]).take(pa.array(keep, pa.int64()))
-
-    return run
+        cut: list[bytes] = []
+        for text, numbers in zip(b.column("text").to_pylist(), b.column("lines").to_pylist(), strict=True):
+            lines = text.split("\n")
+            cut += [lines[k] for k in numbers if k < len(lines)]
+        for lo in range(0, len(cut), 4096):
+            for g in W.groups(pa.array(cut[lo : lo + 4096], pa.string()), W.SPACED):
+                # a row is a line here
+                for x in lines_of(g, g.hashes()):
+                    ends = np.append(x.begin, len(x.tokens)).astype(np.int32)
+                    tokens = x.tokens[np.lexsort((x.tokens, x.line))].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.keys()), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["key", "tokens"])
 
 
 class _Matcher:
     def __init__(self, docs: DataFrame, percent: int, scratch: Scratch):
-        self.keep, self.percent, self.scratch = scratch.keep, percent, scratch
-        self.docs = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-
-    def lists(self) -> tuple[DataFrame, DataFrame]:
-        """Pairs (x, y) of short lists, and the members of long ones with their list's earliest line."""
-        spark: SparkSession = self.docs.sparkSession
-        order = spark.sparkContext.broadcast(rarity(self.docs.select("text"), _count_words))
-        rows = self.docs.mapInArrow(_prefixes(order, self.percent), "value long, key long, place long, sign long, doc_id long")
-        lane = F.shiftright("place", _LANE)
-        rows = rows.repartition(F.col("value"), lane).sortWithinPartitions("value", lane, "doc_id", "key").drop("doc_id")
-        met = self.keep(rows.mapInArrow(L.meetings(_can_match(self.percent), SHORT, lambda p: p >> _LANE), L.SCHEMA))
-        pairs = self.keep(met.where("value is null").select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")).distinct())
-        return pairs, met.where("value is not null")
-
-    def matched(self, pairs: DataFrame, places: DataFrame) -> DataFrame:
-        """Those of the pairs (x, y) of line keys that are similar. places: key, doc_id, line."""
-        pairs = self.keep(pairs)
-        ends = self.keep(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct())
-        wanted = self.keep(places.join(small(ends), "key").groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
-        texts = self.docs.join(small(wanted), "doc_id").select("text", "lines")
-        sets = self.keep(texts.mapInArrow(_wanted_sets, "key long, tokens array<bigint>").join(small(ends), "key", "left_semi").mapInArrow(_once, "key long, tokens array<bigint>"))
-        side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}t"))
-        met = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xt", "yt")
-        out = self.keep(met.mapInArrow(_similar(self.percent), "x long, y long").distinct())
+        self.keep, self.scratch, self.percent, self.bound = scratch.keep, scratch, percent, L.Bound(percent)
+        docs = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+        self.docs = docs.withColumn("th", F.xxhash64("text"))
+        keyed = self.keep(self.docs.mapInArrow(_line_keys, _KEYED))
+        self.lines = keyed.where("part is null").select("doc_id", "th", "line", "key")
+        self.counts = keyed.where("part is not null")
+
+    def met(self) -> DataFrame:
+        codes = self.docs.sparkSession.sparkContext.broadcast(L.rarity(self.counts))
+        rows = self.docs.select("doc_id", "text").mapInArrow(_entries(codes, self.bound), ", ".join(f"{c} long" for c in [*L.ENTRY, *_PLACE]))
+        rows = rows.repartition("value").sortWithinPartitions("value")
+        return self.keep(rows.mapInArrow(L.meetings(self.bound, _PLACE), L.schema(_PLACE)))
+
+    def matched(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (key, doc_id, line, pkey, pdoc_id, pline) that are similar: key, and the earliest partner's place."""
+        pairs = self.keep(pairs.groupBy("key", "pkey").agg(F.min(F.struct(*_PLACE)).alias("at"), F.min(F.struct("pdoc_id", "pline")).alias("pat")))
+        ends = pairs.select("key", "at.doc_id", "at.line").unionByName(pairs.select(F.col("pkey").alias("key"), F.col("pat.pdoc_id").alias("doc_id"), F.col("pat.pline").alias("line")))
+        ends = self.keep(ends.groupBy("key").agg(F.min(F.struct(*_PLACE)).alias("at")).select("key", "at.*"))
+        wanted = self.keep(ends.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+        # the arrays hold as many numbers as ends has rows
+        texts = self.docs.join(small(wanted, ends.count()), "doc_id").select("text", "lines")
+        sets = texts.mapInArrow(_wanted_sets, "key long, tokens array<bigint>").join(small(ends.select("key")), "key", "left_semi").dropDuplicates(["key"])
+        sets = self.keep(sets)
+        side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}s"))
+        both = pairs.select("key", "pkey", "pat").join(side("key"), "key").join(side("pkey"), "pkey")
+        shared = F.size(F.array_intersect("keys", "pkeys"))
+        alike = both.where(shared * 100 >= (F.size("keys") + F.size("pkeys") - shared) * self.percent)
+        out = self.keep(alike.groupBy("key").agg(F.min("pat").alias("pat")).select("key", "pat.*"))
         self.scratch.drop(pairs, ends, wanted, sets)
         return out
 
-    def later(self, places: DataFrame) -> DataFrame:
-        """Keys of lines that an earlier line with other words matches. places: key, doc_id, line of first copies."""
-        keep = self.keep
-        pairs, lists = self.lists()
-        offers = (
-            lists.where("key != pkey").where(_fits(self.percent, "", "p"))
-            .groupBy("key", "pkey").agg(F.count("*").alias("c"))
-            .groupBy("key").agg(F.max_by("pkey", "c").alias("pkey")).select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y"))
-        )
-        offers = keep(offers.unionByName(pairs).distinct())
-        ordered = places.select("key", F.struct("doc_id", "line").alias("at"))
-        found = self.matched(offers, places)
-        done = keep(self.later_ends(found, ordered))
-        members = lists.groupBy("value", "key").agg(F.min("place").alias("place"), F.min("sign").alias("sign"))
-        members = keep(members.join(ordered, "key"))
-        left = members.join(small(done), "key", "left_anti")
-        y = left.select("value", *(F.col(c).alias(f"y{c}") for c in ("key", "place", "sign", "at")))
-        x = members.select("value", *(F.col(c).alias(f"x{c}") for c in ("key", "place", "sign", "at")))
-        open_ = y.join(x, "value").where((F.col("xat") < F.col("yat")) & (F.col("xkey") != F.col("ykey")) & _fits(self.percent, "x", "y"))
-        open_ = open_.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct().join(offers, ["x", "y"], "left_anti")
-        out = keep(done.unionByName(self.later_ends(self.matched(open_, places), ordered)).distinct())
-        self.scratch.drop(pairs, offers, found, done, members)
+    def later(self) -> DataFrame:
+        """Keys of lines that other lines match, and the place of the earliest of these that was found. If any is earlier
+        than the key's first copy, then so is the one given."""
+        met = self.met()
+        pairs = met.where("value is null")
+        done = self.matched(pairs)
+        open_ = met.where("value is not null")
+        settled = (open_.key == done.key) & (F.struct(done.pdoc_id, done.pline) < F.struct(open_.doc_id, open_.line))
+        left = self.keep(open_.where("more").join(small(done), settled, "left_anti").select(*L.ENTRY, *_PLACE))
+        if not left.count():
+            return done
+        y = left.select("value", *(F.col(c).alias(f"y{c}") for c in [*L.ENTRY[1:], *_PLACE]))
+        x = open_.select("value", *(F.col(c).alias(f"x{c}") for c in [*L.ENTRY[1:], *_PLACE]))
+        earlier = F.struct("xdoc_id", "xline") < F.struct("ydoc_id", "yline")
+        more = y.join(x, "value").where((F.col("xkey") != F.col("ykey")) & earlier & self.bound.fits_sql("x", "y"))
+        more = more.select(F.col("ykey").alias("key"), F.col("ydoc_id").alias("doc_id"), F.col("yline").alias("line"), *(F.col(f"x{c}").alias(f"p{c}") for c in ("key", *_PLACE)))
+        more = more.join(pairs.select("key", "pkey").distinct(), ["key", "pkey"], "left_anti")
+        out = self.keep(done.unionByName(self.matched(more)).groupBy("key").agg(F.min(F.struct("pdoc_id", "pline")).alias("pat")).select("key", "pat.*"))
+        self.scratch.drop(met, left, done)
         return out
 
-    @staticmethod
-    def later_ends(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-        x, y = (ordered.select(F.col("key").alias(c), F.col("at").alias(f"{c}at")) for c in ("x", "y"))
-        both = pairs.join(x, "x").join(y, "y")
-        return both.select(F.when(F.col("xat") > F.col("yat"), F.col("x")).otherwise(F.col("y")).alias("key")).distinct()
-
 
 def removed_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """Rows (doc_id, removed: array of line numbers from 0, ascending) for the documents of docs (doc_id, text) that
-    lose lines. Lines are split at line feeds. Blank lines are never removed. Null texts and null doc_ids take no part;
-    rows of one doc_id are one document, and equal places of equal lines count as one line."""
+    """Rows (doc_id, th, removed: array of line numbers from 0, ascending) for the documents of docs (doc_id, text) that
+    lose lines; th is xxhash64(text). Lines are split at line feeds. Blank lines are never removed. Null texts and null
+    doc_ids take no part. Rows that share a doc_id lose their own lines only; of equal lines at one number of such rows
+    that of the least th counts as the earliest, and equal rows keep or lose a line together. Texts and lines of any
+    length are read whole, in groups of about half a megabyte or one text."""
     scratch = scratch or Scratch(docs.sparkSession, "line_dedup")
     matcher = _Matcher(docs, percent, scratch)
-    lines = scratch.keep(matcher.docs.mapInArrow(_line_keys, "doc_id long, line long, key long"))
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c"))
-    firsts = scratch.keep(firsts.select("key", "first.doc_id", "first.line", "c"))
-    later = matcher.later(firsts)
+    later = matcher.later()
+    at = F.struct("doc_id", "line", "th")
+    firsts = matcher.lines.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("c")).join(small(later), "key", "left")
+    matches = F.col("pdoc_id").isNotNull() & (F.struct("pdoc_id", "pline") < F.struct("first.doc_id", "first.line"))
+    firsts = firsts.select("key", "first", "c", matches.alias("gone"))
     # lines of which there is one, and which match none, need no join
-    some = firsts.join(later.withColumn("gone", F.lit(True)), "key", "left").where("c > 1 or gone")
-    some = scratch.keep(some.select("key", F.struct("doc_id", "line").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
-    gone = lines.join(some, "key").where(F.col("gone") | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line")
-    out = scratch.keep(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    scratch.drop(lines, firsts, later, some)
-    return out
+    some = scratch.keep(firsts.where("c > 1 or gone").drop("c"))
+    gone = matcher.lines.join(small(some), "key").where(F.col("gone") | (at != F.col("first"))).select("doc_id", "th", "line")
+    return scratch.keep(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.count("*").alias("n")))
 
 
 def _without(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, kept = b.column("text").to_pylist(), [], []
-            for i, gone in enumerate(b.column("__removed").to_pylist()):
-                lines = [] if texts[i] is None else texts[i].split("\n")
-                n.append(len(lines))
-                if gone:
-                    drop = set(gone)
-                    lines = [x for k, x in enumerate(lines) if k not in drop]
-                    texts[i] = "\n".join(lines)
-                kept.append(len(lines))
-            new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_kept": pa.array(kept, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                texts, n, kept = part.column("text").to_pylist(), [], []
+                for i, gone in enumerate(part.column("__removed").to_pylist()):
+                    total = 0 if texts[i] is None else texts[i].count("\n") + 1
+                    n.append(total)
+                    if gone:
+                        drop = set(gone)
+                        texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in drop])
+                        total -= len(drop)
+                    kept.append(total)
+                new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_kept": pa.array(kept, pa.int64())}
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in names], names)
 
     return run
 
@@ -283,11 +230,15 @@ def _without(names: list[str]):
 def dedup_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs with later near-duplicate lines cut from text (see removed_lines), and n_lines and n_kept, the
     numbers of lines before and after; a null text has none and stays. Columns of docs named so are replaced, others
-    are kept. A text that loses all its lines becomes empty."""
+    are kept. A text that loses all its lines becomes empty. Columns named __doc, __th or __removed are refused."""
+    if taken := {"__doc", "__th", "__removed"} & set(docs.columns):
+        raise ValueError(f"docs has columns of reserved names: {sorted(taken)}")
     scratch = scratch or Scratch(docs.sparkSession, "line_dedup")
     gone = removed_lines(docs, percent, scratch)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    taken = gone.select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    joined = docs.select(*(F.col(f"`{c}`") for c in rest)).join(small(taken), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    cut = gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("removed").alias("__removed"))
+    cut = small(cut, gone.agg(F.sum("n")).first()[0] or 0)
+    mine = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
+    joined = docs.select(*(F.col(f"`{c}`") for c in rest)).join(cut, mine, "left").drop("__doc", "__th")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__removed"] + ["n_lines long", "n_kept long"])
     return joined.mapInArrow(_without([*rest, "n_lines", "n_kept"]), schema)

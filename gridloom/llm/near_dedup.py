@@ -4,21 +4,17 @@ Steps, each a distributed job:
 
 1. *Sketch*: every text becomes the set of its distinct word shingles, as 64-bit hashes; the SKETCH smallest are
    retained. Equal sets share a 64-bit key, and only one sketch of a key takes part in what follows.
-2. *Rarity*: a table of 2**20 counters, summed over all sketches, gives one global order of hashes, rare before common.
-   Its size is fixed; collisions in it change speed only, as any common order is right for the next step.
-3. *Inverted lists*: two sets of the wanted similarity share at least c retained values, so they meet among the
-   (retained - c + 1) rarest of each. Only these are listed. Length and position bounds reject most meetings at once,
-   and a 64-bit signature (one bit of the least of the set's hashes under each of 64 multipliers) most others.
-4. *Links*: lists of up to SHORT members give all their pairs that the bounds leave. A longer list first offers each
-   member one partner, its least edited one (the fewest rarer values before the common one), so a group of copies costs
-   its size and not its square. Members still in different components are then compared with all members of their long
-   lists in other components, so that no link between components is lost.
-5. *Verify*: pairs are brought together in blocks of their sets, each set once a block. Union-sketch estimates reject;
+2. *Inverted lists*: two sets of the wanted similarity share at least c retained values, so they meet among the
+   (retained - c + 1) rarest of each. Only these are listed (see lists.py for their order and for what rejects pairs).
+3. *Links*: a set takes a few partners from each of its lists, so a group of copies costs its size and not its square.
+   Sets that may have more are, after a first verification, compared with the members of their lists in other
+   components, so that no link between components is lost.
+4. *Verify*: pairs are brought together in blocks of their sets, each set once a block. Union-sketch estimates reject;
    sets within SKETCH are exact already, larger ones are built again from whole texts and compared in full.
-6. *Components* over the links.
+5. *Components* over the links.
 
-A link exactly at the threshold is missed with a probability under 1e-6: c is SIGMAS standard deviations below the
-expected number where sketches are not whole sets, and signatures may differ in FAR bits where 6 are expected.
+Links of sets within SKETCH are all found. A link of larger sets exactly at the threshold is missed with a probability
+under 1e-6, as c is then SIGMAS standard deviations below the expected number.
 """
 
 from __future__ import annotations
@@ -38,17 +34,12 @@ from gridloom.llm.scratch import Scratch, small
 
 SKETCH = 1024
 SIGMAS = 5.0
-FAR = 22
-#: Members of an inverted list, by the counters, beyond which its first round is dealt to several tasks.
-HOT = 200_000
-#: Members of a list that are all compared with each other.
-SHORT = 64
 #: Values of sets that are compared in one block.
 BLOCK = 1 << 17
-BUCKETS = 1 << 20
-_SLICE = 1 << 14
-# a list member's place: lane of a very long list, size of the set, position of the value in it
-_LANE, _PART = 52, (1 << 36) - 1
+#: Keys that a task remembers, so as not to list a copy again.
+SEEN = 100_000
+#: Values of sketches that leave a task at once.
+_BATCH = 1 << 18
 
 
 def shingles(group: W.Group, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,150 +81,74 @@ def set_key(values: np.ndarray) -> int:
         return int(W.mix(np.array([total + np.uint64(len(u))], dtype=np.uint64)).view(np.int64)[0])
 
 
-_MULTIPLIERS = W.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def signature(values: np.ndarray) -> int:
-    """64 bits that agree in a share of (1 + similarity) / 2 of their places on average."""
-    least = np.full(64, np.iinfo(np.uint64).max, dtype=np.uint64)
-    u = values.view(np.uint64)
-    for lo in range(0, len(u), 1024):
-        least = np.minimum(least, (u[lo : lo + 1024, None] * _MULTIPLIERS).min(axis=0))
-    bits = (W.mix(least) >> np.uint64(63)).astype(np.uint8)
-    return int(np.packbits(bits).view(">i8")[0])
+def _far(percent: int) -> int:
+    t = percent / 100
+    return max(1, math.floor(SKETCH * t - SIGMAS * math.sqrt(SKETCH * t * (1 - t))))
 
 
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, signs, parts = [], [], [], []
-            for _, s in row_sets(b, width):
-                n.append(len(s))
-                keys.append(set_key(s))
-                signs.append(signature(s))
-                parts.append(s[:SKETCH].copy())
-            for lo in range(0, len(n), 2000):
-                hi = lo + 2000
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[lo:hi], pa.array(n[lo:hi], pa.int64()), pa.array(keys[lo:hi], pa.int64()), pa.array(signs[lo:hi], pa.int64()), _lists(parts[lo:hi])],
-                    ["doc_id", "n", "key", "sign", "sketch"],
-                )
+            ids, rows, size = b.column("doc_id"), [], 0
+            for r, s in row_sets(b, width):
+                low, high = L.bitmaps(s, np.zeros(min(len(s), 1), dtype=np.int64))
+                rows.append((r, len(s), set_key(s), int(low[0]) if len(s) else 0, int(high[0]) if len(s) else 0, s[:SKETCH].copy()))
+                size += min(len(s), SKETCH)
+                if size > _BATCH or r == b.num_rows - 1:
+                    at, *numbers, parts = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in numbers), _lists(parts)], ["doc_id", "n", "key", "b0", "b1", "sketch"])
+                    rows, size = [], 0
 
     return run
 
 
-class Bounds:
-    """How many values sets must share at a similarity of percent / 100."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        t = percent / 100
-        self.alpha = t / (1 + t)
-        self.far = max(1, math.floor(SKETCH * t - SIGMAS * math.sqrt(SKETCH * t * (1 - t))))
-
-    def least(self, n: int) -> int:
-        """Shared retained values that a set of n needs with any partner."""
-        return min(-(-self.percent * n // 100), self.far)
-
-    def prefix(self, n: int) -> int:
-        return min(n, SKETCH) - self.least(n) + 1
-
-
 def _unseen(b: pa.RecordBatch, seen: set) -> Iterator[int]:
     """Rows whose key the task has not met lately; the memory of keys is bounded."""
-    for i, k in enumerate(b.column("key").to_numpy(zero_copy_only=False)):
+    for i, k in enumerate(b.column("key").to_pylist()):
         if k not in seen:
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             seen.add(k)
             yield i
 
 
-def _bucket(values: np.ndarray) -> np.ndarray:
-    return (values.view(np.uint64) >> np.uint64(7)).astype(np.int64) & (BUCKETS - 1)
+def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter, seen = L.Counter(), set()
+    for b in batches:
+        col, values = b.column("sketch").offsets.to_numpy(), b.column("sketch").values.to_numpy()
+        for i in _unseen(b, seen):
+            counter.add(values[col[i] : col[i + 1]])
+    for part, counts in counter.slices():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts], pa.binary())], ["part", "counts"])
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(BUCKETS, dtype=np.int64), set()
-    for b in batches:
-        flat, col = b.column("sketch"), b.column("sketch").offsets.to_numpy()
-        values = flat.values.to_numpy()
-        parts = [values[col[i] : col[i + 1]] for i in _unseen(b, seen)]
-        if parts:
-            total += np.bincount(_bucket(np.concatenate(parts)), minlength=BUCKETS)
-    for k in range(0, BUCKETS, _SLICE):
-        if (part := total[k : k + _SLICE]).any():
-            yield pa.RecordBatch.from_arrays([pa.array([k // _SLICE], pa.int32()), _lists([part])], ["part", "counts"])
-
-
-def _sum_slices(table: pa.Table) -> pa.Table:
-    total = np.zeros(_SLICE, dtype=np.int64)
-    for chunk in table.column("counts").chunks:
-        for k in range(len(chunk)):
-            total += chunk[k].values.to_numpy()
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": _lists([total])})
-
-
-def rarity(sketches: DataFrame, count=_count_buckets) -> np.ndarray:
-    """The counters, on the driver: 2**20 numbers whatever the input. Tasks' counters are summed in two steps, so no
-    task reads more than a few hundred of them."""
-    schema = "part int, counts array<bigint>"
-    parts = sketches.mapInArrow(count, schema)
-    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
-    summed = lanes.groupBy("part", "lane").applyInArrow(_sum_slices, schema).groupBy("part").applyInArrow(_sum_slices, schema)
-    out = np.zeros(BUCKETS, dtype=np.int32)
-    for row in summed.toLocalIterator():
-        out[row.part * _SLICE : (row.part + 1) * _SLICE] = np.minimum(row.counts, np.iinfo(np.int32).max)
-    return out
-
-
-def _entries(order, bounds: Bounds):
+def _entries(codes, bound: L.Bound):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = order.value, set()
+        table, seen = codes.value, set()
         for b in batches:
-            ns, keys, signs = (b.column(c).to_numpy() for c in ("n", "key", "sign"))
-            col, values = b.column("sketch").offsets.to_numpy(), b.column("sketch").values.to_numpy()
-            rows = [[] for _ in range(4)]
-            for i in _unseen(b, seen):
-                if not (n := int(ns[i])):
+            whole, keys, low, high = (b.column(c).to_numpy() for c in ("n", "key", "b0", "b1"))
+            col, values = b.column("sketch").offsets.to_numpy().astype(np.int64), b.column("sketch").values.to_numpy()
+            wanted = ~bound.alone(whole)
+            rows = np.array([i for i in _unseen(b, seen) if wanted[i]], dtype=np.int64)
+            size = col[rows + 1] - col[rows]
+            for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(size) // _BATCH)) + 1):
+                if not len(at):
                     continue
-                s = values[col[i] : col[i + 1]]
-                c = counts[_bucket(s)]
-                first = np.lexsort((s, c))[: bounds.prefix(n)]
-                lanes = np.minimum(1 + c[first] // HOT, 2000)
-                lane = np.where(lanes > 1, 1 + (keys[i] & 0xFFFFFF) % lanes, 0).astype(np.int64)
-                place = (lane << _LANE) | ((n << 16) + np.arange(len(first)))
-                for to, x in zip(rows, (s[first], np.full(len(first), keys[i]), place, np.full(len(first), signs[i])), strict=True):
-                    to.append(x)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in rows], ["value", "key", "place", "sign"])
+                n = size[at]
+                begin = np.cumsum(n) - n
+                tokens = np.concatenate([values[col[i] : col[i + 1]] for i in rows[at]])
+                owner = np.repeat(np.arange(len(at)), n)
+                code = table[L.bucket(tokens)]
+                order = np.lexsort((tokens, code, owner))
+                mine = rows[at]
+                value, of, rest = L.entries(tokens[order], code[order], begin, n, bound, (whole[mine], np.ones(len(at), dtype=bool)))
+                cols = (value.view(np.int64), keys[mine][of], L.packed(whole[mine][of], rest), low[mine][of], high[mine][of])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], L.ENTRY)
 
     return run
 
 
-def _fits(bounds: Bounds, a: str, b: str):
-    """Length, position and signature bounds of two list members, with columns {a}n, {a}pos, {a}sign and those of b."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    rest = lambda x: F.least(F.col(f"{x}n"), F.lit(SKETCH)) - F.col(f"{x}pos")
-    sized = F.least(na, nb) * 100 >= F.greatest(na, nb) * bounds.percent
-    whole = F.ceil((na + nb) * bounds.percent / F.lit(100.0 + bounds.percent) - F.lit(1e-6))
-    need = F.when((na <= SKETCH) & (nb <= SKETCH), whole).otherwise(bounds.far)
-    alike = F.bit_count(F.col(f"{a}sign").bitwiseXOR(F.col(f"{b}sign"))) <= FAR
-    return sized & (F.least(rest(a), rest(b)) >= need) & alike
-
-
-def _can_link(bounds: Bounds):
-    def fits(place: np.ndarray, other: np.ndarray, sign: np.ndarray, other_sign: np.ndarray) -> np.ndarray:
-        a, b = (place >> 16) & _PART, (other >> 16) & _PART
-        rest = np.minimum(np.minimum(a, SKETCH) - (place & 65535), np.minimum(b, SKETCH) - (other & 65535))
-        need = np.where((a <= SKETCH) & (b <= SKETCH), -(-(a + b) * bounds.percent // (100 + bounds.percent)), bounds.far)
-        good = (np.minimum(a, b) * 100 >= np.maximum(a, b) * bounds.percent) & (rest >= need)
-        return good & (np.bitwise_count((sign ^ other_sign).view(np.uint64)) <= FAR)
-
-    return fits
-
-
-def _judge_sketches(bounds: Bounds):
+def _judge_sketches(bounds: L.Bound):
     """Verdict 1: a link, as both sketches are whole sets. 0: open. -1: no link, or too low an estimate."""
 
     def judge(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
@@ -250,7 +165,7 @@ def _judge_sketches(bounds: Bounds):
     return judge
 
 
-def _judge_sets(bounds: Bounds):
+def _judge_sets(bounds: L.Bound):
     def judge(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
         both = np.concatenate([x, y])
         both.sort()
@@ -286,45 +201,28 @@ def _whole_sets(width: int):
                 if set_key(s) == want[r]:
                     keys.append(want[r])
                     sets.append(s)
-                if keys and (sum(map(len, sets)) > 1 << 19 or r == b.num_rows - 1):
+                if keys and (sum(map(len, sets)) > _BATCH or r == b.num_rows - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["key", "n", "values"])
                     keys, sets = [], []
 
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set = set()
-    for b in batches:
-        yield b.take(pa.array(list(_unseen(b, seen)), pa.int64()))
-
-
 class _Linker:
     def __init__(self, docs: DataFrame, width: int, percent: int, scratch: Scratch):
-        self.spark, self.scratch, self.width, self.bounds = docs.sparkSession, scratch, width, Bounds(percent)
+        self.spark, self.scratch, self.width, self.bounds = docs.sparkSession, scratch, width, L.Bound(percent, SKETCH, _far(percent))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, sign long, sketch array<bigint>"))
+        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, b0 long, b1 long, sketch array<bigint>"))
         self.classes = scratch.keep(
             self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
         )
 
-    def lists(self) -> tuple[DataFrame, DataFrame]:
-        """Pairs (x, y) that short lists give, and rows (value, key, n, pos, sign) of long lists with the first partner
-        (pkey, pn, ppos, psign) that the list offers. A very long list is dealt to lanes with one partner each."""
-        named = self.sets.where("doc_id is not null")
-        order = self.spark.sparkContext.broadcast(rarity(named))
-        fields = "value long, key long, place long, sign long"
-        rows = named.select("n", "key", "sign", "sketch").mapInArrow(_entries(order, self.bounds), fields)
-        lane = F.shiftright("place", _LANE)
-        # least edited first
-        rows = rows.repartition(F.col("value"), lane).sortWithinPartitions("value", lane, F.col("place") % 65536, "key")
-        met = self.scratch.keep(rows.mapInArrow(L.meetings(_can_link(self.bounds), SHORT, lambda p: p >> _LANE), L.SCHEMA))
-        pairs = met.where("value is null").select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")).distinct()
-        split = lambda p: (F.shiftright(f"{p}place", 16).bitwiseAND(F.lit(_PART)).alias(f"{p}n"), (F.col(f"{p}place") % 65536).alias(f"{p}pos"))
-        long = met.where("value is not null").select("value", "key", "sign", *split(""), "pkey", "psign", *split("p"))
-        out = self.scratch.keep(pairs), self.scratch.keep(long)
-        self.scratch.drop(met)
-        return out
+    def met(self) -> DataFrame:
+        named = self.sets.where("doc_id is not null and n > 0")
+        codes = self.spark.sparkContext.broadcast(L.rarity(named.select("key", "sketch").mapInArrow(_count_values, "part int, counts binary")))
+        rows = named.drop("doc_id").mapInArrow(_entries(codes, self.bounds), ", ".join(f"{c} long" for c in L.ENTRY))
+        rows = rows.repartition("value").sortWithinPartitions("value")
+        return self.scratch.keep(rows.mapInArrow(L.meetings(self.bounds, []), L.schema([])))
 
     def compared(self, pairs: DataFrame, sets: DataFrame, most: int, judge) -> DataFrame:
         """Rows (x, y, verdict) of the pairs that the judge leaves. sets: key, n, values. Pairs that hang together go to
@@ -356,12 +254,12 @@ class _Linker:
         pairs = keep(pairs)
         reps = keep(self.classes.join(small(self.ends(pairs)), "key").select("key", F.col("rep").alias("doc_id")))
         fields = "key long, n long, values array<bigint>"
-        sets = keep(self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", F.col("sketch").alias("values")).mapInArrow(_once, fields))
+        sets = keep(self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", F.col("sketch").alias("values")).dropDuplicates(["key"]))
         judged = self.compared(pairs, sets, SKETCH, _judge_sketches(bounds))
         open_ = keep(judged.where("verdict = 0").select("x", "y"))
         some = keep(reps.join(small(self.ends(open_)), "key"))
         texts = self.docs.where("doc_id is not null").join(small(some), "doc_id").select("key", "text")
-        whole = keep(texts.mapInArrow(_whole_sets(self.width), fields).mapInArrow(_once, fields))
+        whole = keep(texts.mapInArrow(_whole_sets(self.width), fields).dropDuplicates(["key"]))
         links = self.compared(open_, whole, 1 << 40, _judge_sets(bounds))
         out = keep(judged.where("verdict = 1").select("x", "y").unionByName(links.select("x", "y")))
         self.scratch.drop(pairs, reps, sets, judged, open_, some, whole, links)
@@ -387,27 +285,21 @@ class _Linker:
     def links(self) -> DataFrame:
         """Edges (u, v) between set keys that have the components of all links."""
         keep = self.scratch.keep
-        pairs0, lists = self.lists()
-        offers = (
-            lists.where("key != pkey").where(_fits(self.bounds, "", "p"))
-            .groupBy("key", "pkey").agg(F.count("*").alias("c"))
-            .groupBy("key").agg(F.max_by("pkey", "c").alias("pkey"))
-            .select(F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y"))
-        )
-        offers = keep(offers.unionByName(pairs0).distinct())
-        edges = keep(self.verified(offers).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
+        met = self.met()
+        ends = F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")
+        tried = keep(met.where("value is null").select(*ends).distinct())
+        edges = keep(self.verified(tried).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
         first = keep(components(edges, self.scratch).distinct())
-        named = keep(
-            lists.join(small(first), lists.key == first.node, "left").select("value", "key", "n", "pos", "sign", F.coalesce("label", "key").alias("part"))
-        )
+        open_ = met.where("value is not null")
+        named = keep(open_.join(small(first), open_.key == first.node, "left").select(*L.ENTRY, "more", F.coalesce("label", "key").alias("part")))
         mixed = named.groupBy("value").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("value")
-        open_ = keep(named.join(mixed, "value").distinct())
-        side = lambda p: open_.select("value", *(F.col(c).alias(f"{p}{c}") for c in ("key", "n", "pos", "sign", "part")))
-        pairs = side("x").join(side("y"), "value").where((F.col("xpart") < F.col("ypart")) & _fits(self.bounds, "x", "y"))
-        pairs = pairs.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct()
-        more = self.verified(pairs.join(offers, ["x", "y"], "left_anti"))
-        out = keep(edges.unionByName(more.select(F.col("x").alias("u"), F.col("y").alias("v"))))
-        self.scratch.drop(pairs0, lists, offers, edges, first, named, open_, more)
+        mixed = keep(named.join(mixed, "value"))
+        side = lambda p: mixed.select("value", *(F.col(c).alias(f"{p}{c}") for c in [*L.ENTRY[1:], "part", "more"]))
+        # partners of a member are those with smaller keys
+        pairs = side("x").join(side("y").where("ymore"), "value").where((F.col("xpart") != F.col("ypart")) & (F.col("xkey") < F.col("ykey")) & self.bounds.fits_sql("x", "y"))
+        more = keep(pairs.select(F.col("xkey").alias("x"), F.col("ykey").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+        out = keep(edges.unionByName(self.verified(more).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        self.scratch.drop(met, tried, edges, first, named, mixed, more)
         return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.session import ship
 
 #: Rows of a few longs that one side of a join may have to be broadcast (some tens of MB); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +53,7 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marks a kept table of a few longs for broadcast if its counted rows are within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Marks a kept table of a few longs for broadcast if it holds no more than BROADCAST_ROWS numbers or rows of some:
+    `size` where rows hold arrays, else its counted rows."""
+    return F.broadcast(df) if (df.count() if size is None else size) <= BROADCAST_ROWS else df
