@@ -6,8 +6,10 @@ not empty, so that two find-first-set steps give the lowest rank; its leftmost p
 removed when a neighbour's merge changes their pair: they are skipped when they come up. A pre-token of n bytes takes
 about n log n steps, so one of a million letters is no different from many short ones.
 
-Ids of distinct pre-tokens, and of stretches between spaces, are remembered by each Python worker up to a fixed number.
-"""
+Many pre-tokens are merged in one run: they lie side by side in one list whose pairs never cross their edges, and a
+bucket's positions are taken in turn, so that the queue's steps are shared by all of them.
+
+Ids of distinct pre-tokens, and of stretches between spaces, are remembered by each Python worker up to MEMORY bytes."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,8 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.session import ship
 
-#: Entries in a generation of a worker's memory of pre-tokens, and of stretches; there are two generations of each.
-PIECES, STRETCHES = 250_000, 150_000
+#: Bytes, about, of a generation of a worker's memory of pre-tokens, and of stretches; there are two generations of each.
+MEMORY = 24 << 20
+#: Longer ones are not remembered; bytes an entry takes besides its key's and value's own.
+LONG, _ENTRY = 256, 180
+#: Texts, and their characters, that are encoded together.
+_TEXTS, _CHARS = 256, 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -37,7 +43,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank, lowest rank first and leftmost position first in a rank."""
+    """Positions by rank, lowest rank first. A caller may append to a bucket that it finds filled."""
 
     def __init__(self, n_ranks: int):
         self.shift = max(1, (max(n_ranks - 1, 1).bit_length() + 1) // 2)
@@ -48,111 +54,183 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         if bucket := self.buckets[rank]:
-            heappush(bucket, position)
+            bucket.append(position)
             return
         self.buckets[rank] = [position]
         word = rank >> self.shift
         self.words[word] |= 1 << (rank & self.low)
         self.top |= 1 << word
 
-    def pop(self) -> tuple[int, int]:
-        """Rank and position, or (-1, -1)."""
+    def take(self) -> tuple[int, list[int]]:
+        """The lowest rank and its positions, ascending, or (-1, [])."""
         if not self.top:
-            return -1, -1
+            return -1, []
         word = (self.top & -self.top).bit_length() - 1
         bits = self.words[word]
         first = bits & -bits
         rank = (word << self.shift) | (first.bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            self.words[word] = bits = bits ^ first
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token; the queue is empty before and after."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 2)), list(range(-1, n))
-    waiting = [-1] * (n + 1)
-    get, push, pop = ranks.get, queue.push, queue.pop
+        positions, self.buckets[rank] = self.buckets[rank], None
+        self.words[word] = bits ^ first
+        if bits == first:
+            self.top &= self.top - 1
+        positions.sort()
+        return rank, positions
+
+
+def merge(pieces: list[bytes], ranks: dict[bytes, int], queue: RankQueue) -> list[array]:
+    """Ids of each pre-token (none is empty); the queue is empty before and after."""
+    text = b"".join(pieces)
+    n, edge, at = len(text), bytearray(len(text) + 1), 0
+    for piece in pieces:
+        edge[at] = 1
+        at += len(piece)
+    edge[n] = 1
+    held = list if n < 1 << 17 else lambda x: array("q", x)
+    after, before, waiting = held(range(1, n + 2)), held(range(-1, n)), held([-1]) * (n + 1)
+    get, push, buckets = ranks.get, queue.push, queue.buckets
     for p in range(n - 1):
-        if (r := get(piece[p : p + 2])) is not None:
+        if not edge[p + 1] and (r := get(text[p : p + 2])) is not None:
             waiting[p] = r
-            push(r, p)
-    while True:
-        r, p = pop()
-        if r < 0:
-            break
-        if waiting[p] != r:
-            continue
-        gone = after[p]
-        end = after[gone]
-        after[p] = end
-        before[end] = p
-        waiting[gone] = waiting[p] = -1
-        if end < n and (s := get(piece[p : after[end]])) is not None:
-            waiting[p] = s
-            push(s, p)
-        if (q := before[p]) >= 0:
-            waiting[q] = -1
-            if (s := get(piece[q:end])) is not None:
-                waiting[q] = s
-                push(s, q)
-    ids, p = [], 0
+            if bucket := buckets[r]:
+                bucket.append(p)
+            else:
+                push(r, p)
+    while (taken := queue.take())[0] >= 0:
+        r, positions = taken
+        again = False
+        for i, p in enumerate(positions):
+            if waiting[p] != r:
+                continue
+            gone = after[p]
+            end = after[gone]
+            after[p] = end
+            before[end] = p
+            waiting[gone] = waiting[p] = -1
+            if not edge[end] and (s := get(text[p : after[end]])) is not None:
+                waiting[p] = s
+                if bucket := buckets[s]:
+                    bucket.append(p)
+                else:
+                    push(s, p)
+                again = s <= r
+            if not edge[p]:
+                q = before[p]
+                waiting[q] = -1
+                if (s := get(text[q:end])) is not None:
+                    waiting[q] = s
+                    if bucket := buckets[s]:
+                        bucket.append(q)
+                    else:
+                        push(s, q)
+                    again |= s <= r
+            if again:  # what came in goes first; the rest waits on
+                for q in positions[i + 1 :]:
+                    push(r, q)
+                break
+    out, p = [], 0
     while p < n:
-        ids.append(ranks[piece[p : after[p]]])
-        p = after[p]
-    return ids
-
-
-class _Remembered(dict):
-    """What make() gave, for the keys asked for lately: when it holds `most` entries, they become the older generation,
-    from which a key that is asked for again comes back."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        if (out := self.older.get(key)) is None:
-            out = self.make(key)
-        self[key] = out
-        return out
+        ids = array("I")
+        while True:
+            end = after[p]
+            ids.append(ranks[text[p:end]])
+            p = end
+            if edge[p]:
+                break
+        out.append(ids)
+    return out
+
+
+class Memory:
+    """What was made for the keys asked for lately: a full generation becomes the older one, from which a key that is
+    asked for again comes back."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes | int] = {}
+        self.older: dict[str, bytes | int] = {}
+        self.size = 0
+
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are not in `now`, after what is known of them came there."""
+        if self.size > MEMORY:
+            self.older, self.now, self.size = self.now, {}, 0
+        new, older = [], self.older
+        for k in keys.difference(self.now):
+            if (v := older.get(k)) is None:
+                new.append(k)
+            else:
+                self.add(k, v)
+        return new
+
+    @staticmethod
+    def _bytes(key: str, value: bytes | int) -> int:
+        return len(key) + _ENTRY + (len(value) if isinstance(value, bytes) else 0)
+
+    def add(self, key: str, value: bytes | int) -> None:
+        self.now[key] = value
+        self.size += self._bytes(key, value)
+
+    def forget(self, keys: list[str]) -> None:
+        """Drops those of the keys that are too long to keep."""
+        for k in keys:
+            if len(k) > LONG:
+                self.size -= self._bytes(k, self.now.pop(k))
 
 
 class ByteBPE:
-    """Encodes texts to packed little-endian unsigned 32-bit ids, and back to bytes."""
+    """Encodes texts to packed little-endian unsigned 32-bit ids, and back to bytes.
+
+    spaced: for patterns whose matches have a space at their start only, but for runs of white space: a text is then
+    split at its spaces, and each stretch with its space is encoded once. Texts with other runs of spaces are matched
+    whole."""
 
     #: White space, then a space that more white space or the end follows: tokens there may hold several spaces.
-    _SPACES = re.compile(r"\s (?:\s|\Z)")
+    SPACES = re.compile(r"\s (?:\s|\Z)")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
+        self.ranks, self.spaced = ranks, spaced
         self.tokens = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.splits_at_spaces = False
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pieces = _Remembered(lambda s: array("I", merge(s.encode(), self.ranks, self.queue)).tobytes(), PIECES)
-        self.stretches = _Remembered(self._stretch, STRETCHES)
-
-    def _stretch(self, text: str) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[m] if len(m) < 256 else pieces.make(m) for m in self.pattern.findall(text)])
+        self.pieces, self.stretches = Memory(), Memory()
+
+    def _merged(self, pieces: list[str]) -> None:
+        """Remembers the ids of pre-tokens, some 8 KB of them a run."""
+        run, size = [], 0
+        for k, piece in enumerate(pieces):
+            run.append(piece.encode())
+            size += len(run[-1])
+            if size > 1 << 13 or k == len(pieces) - 1:
+                for name, ids in zip(pieces[k + 1 - len(run) : k + 1], merge(run, self.ranks, self.queue), strict=True):
+                    self.pieces.add(name, ids.tobytes())
+                run, size = [], 0
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        find, plans, stretches, heads = self.pattern.findall, [], set(), set()
+        for t in texts:
+            if self.spaced and not self.SPACES.search(t):
+                first, *rest = t.split(" ")
+                stretches.update(rest)
+                head = find(first)
+            else:
+                head, rest = find(t), ()
+            heads.update(head)
+            plans.append((head, rest))
+        new = self.stretches.lacking(stretches)
+        split = [find(" " + x) for x in new]
+        heads.update(chain.from_iterable(split))
+        made = self.pieces.lacking(heads)
+        self._merged(made)
+        pieces = self.pieces.now.__getitem__
+        for x, parts in zip(new, split, strict=True):
+            self.stretches.add(x, b"".join(map(pieces, parts)))
+        known = self.stretches.now.__getitem__
+        out = [b"".join(map(pieces, head)) + b"".join(map(known, rest)) for head, rest in plans]
+        self.pieces.forget(made)
+        self.stretches.forget(new)
+        return out
 
     def encode(self, text: str) -> bytes:
-        if self.splits_at_spaces and not self._SPACES.search(text):
-            first, *rest = text.split(" ")
-            stretches = self.stretches
-            return self._stretch(first) + b"".join([stretches[x] if len(x) < 256 else self._stretch(" " + x) for x in rest])
-        return self._stretch(text)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         table = array("I")
@@ -160,16 +238,6 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, table))
 
 
-class SpacedBPE(ByteBPE):
-    """For patterns whose matches have a space at their start only, but for runs of white space: a text is then split
-    at its spaces, and each stretch with its space is encoded once. Texts with other runs of spaces are matched whole."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__(ranks, pattern)
-        self.splits_at_spaces = True
-        self.stretches = _Remembered(lambda s: self._stretch(" " + s), STRETCHES)
-
-
 _coders: dict[tuple, ByteBPE] = {}
 
 
@@ -177,31 +245,46 @@ def _coder(data: bytes, pattern: str, spaced: bool) -> ByteBPE:
     key = (hashlib.sha256(data).digest(), pattern, spaced)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = (SpacedBPE if spaced else ByteBPE)(read_ranks(data), pattern)
+        _coders[key] = ByteBPE(read_ranks(data), pattern, spaced)
     return _coders[key]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, ids (packed little-endian unsigned 32-bit ids).
+def text_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of some rows at a time; a null is an empty text."""
+    texts, size, first = [], 0, 0
+    for i, t in enumerate(column):
+        texts.append(t.as_py() or "")
+        size += len(texts[-1])
+        if size > _CHARS or len(texts) == _TEXTS or i == len(column) - 1:
+            yield first, texts
+            texts, size, first = [], 0, i + 1
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, decoded: bool = False) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_tokens, ids (packed little-endian unsigned 32-bit ids), and if wanted
+    what decode() makes of them (bytes).
 
     ranks is the content of a rank file, pattern the expression whose matches are encoded separately (text that it does
-    not match is dropped, as a pattern for this use matches all). spaced: see SpacedBPE. No special tokens are known.
-    Null and empty texts give no ids. Row order, repeated rows and null doc_ids are kept; other columns are ignored."""
+    not match is dropped, as a pattern for this use matches all). spaced: see ByteBPE. No special tokens are known.
+    Null and empty texts give no ids. A text or pre-token of any length is encoded whole. Row order, repeated rows and
+    null doc_ids are kept; other columns are ignored."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(ranks)
+    names = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern, spaced)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = [coder.encode(t.as_py() or "") for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]
-                )
+            for first, texts in text_groups(b.column("text")):
+                ids = coder.encode_all(texts)
+                cols = [b.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    cols.append(pa.array(list(map(coder.decode, ids)), pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str = r"\p{L}+") -> DataFrame:
@@ -214,14 +297,16 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str = r"\p{L}+") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value, pattern, False)
-        for b in batches:
-            out = [None if x is None else coder.decode(x) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _TEXTS):
+                b = whole.slice(lo, _TEXTS)
+                out = [None if x is None else coder.decode(x) for x in b.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
 def roundtrip_digests(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encode(), then decode() of the ids."""
-    done = decode(encode(docs, ranks, pattern, spaced), ranks)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the ids and of their decoding."""
+    done = encode(docs, ranks, pattern, spaced, decoded=True)
     return done.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) as ids_sha256", "sha2(decoded, 256) as decoded_sha256")

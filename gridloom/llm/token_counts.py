@@ -3,7 +3,8 @@
 A pre-token's segmentation is that of the largest total score of its pieces (of equal totals the fewest pieces). The
 forward step for a byte prefix, its best score and number of pieces, depends on that prefix alone. So distinct
 pre-tokens are put in a trie, a node's forward step is computed once when the node is made, and the node where a
-pre-token ends holds its count of tokens.
+pre-token ends holds its count of tokens. What lies beyond the first LONG bytes of a pre-token is not put in the trie:
+its forward steps need only as many of the steps before as the longest piece has bytes.
 
 Scores: a vocabulary file of ranks has none, so a piece of rank r scores -ln(r + 1 + OFFSET), the logarithm of a
 Zipf-Mandelbrot frequency but for a constant; only differences between segmentations matter."""
@@ -18,13 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.byte_bpe import SpacedBPE, _Remembered, read_ranks
+from gridloom.llm.byte_bpe import ByteBPE, Memory, read_ranks, text_groups
 from gridloom.session import ship
 
 OFFSET = 2.7
 #: Nodes that a worker's trie may have before it is begun anew.
-NODES = 400_000
-STRETCHES = 250_000
+NODES = 300_000
+#: Bytes of a pre-token that the trie holds.
+LONG = 1024
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
@@ -47,43 +49,60 @@ class PrefixTrie:
         """Tokens of the best segmentation; every single byte is a piece, so there is one."""
         if len(self.score) > NODES:
             self.clear()
-        path, node = [0], 0
-        for end, byte in enumerate(word, 1):
-            if (kids := self.children[node]) is None:
-                kids = self.children[node] = {}
+        node, children, path = 0, self.children, [(0.0, 0)]
+        for end, byte in enumerate(word[:LONG], 1):
+            if (kids := children[node]) is None:
+                kids = children[node] = {}
             if (nxt := kids.get(byte)) is None:
-                nxt = kids[byte] = self._forward(word, end, path)
+                nxt = kids[byte] = len(self.score)
+                best, fewest = self._forward(word, end, path)
+                children.append(None)
+                self.score.append(best)
+                self.tokens.append(fewest)
             node = nxt
-            path.append(node)
-        return self.tokens[node]
-
-    def _forward(self, word: bytes, end: int, path: list[int]) -> int:
-        best, fewest = -math.inf, 0
-        for begin in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            if (s := self.scores.get(word[begin:end])) is not None:
-                total, n = self.score[path[begin]] + s, self.tokens[path[begin]] + 1
+            path.append((self.score[node], self.tokens[node]))
+        for end in range(LONG + 1, len(word) + 1):
+            path.append(self._forward(word, end, path))
+            if len(path) > 4 * self.longest:
+                del path[: -self.longest]
+        return path[-1][1]
+
+    def _forward(self, word: bytes, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
+        """Score and number of pieces of the best segmentation of word[:end]; path ends with those of shorter prefixes."""
+        best, fewest, get = -math.inf, 0, self.scores.get
+        for back in range(1, min(self.longest, len(path)) + 1):
+            if (s := get(word[end - back : end])) is not None:
+                total, n = path[-back][0] + s, path[-back][1] + 1
                 if total > best or total == best and n < fewest:
                     best, fewest = total, n
-        self.children.append(None)
-        self.score.append(best)
-        self.tokens.append(fewest)
-        return len(self.score) - 1
+        return best, fewest
 
 
 class Counter:
+    """Tokens of texts; spaced as for ByteBPE."""
+
     def __init__(self, scores: dict[bytes, float], pattern: str, spaced: bool):
         self.trie, self.pattern, self.spaced = PrefixTrie(scores), regex.compile(pattern), spaced
-        self.stretches = _Remembered(lambda s: self._count(" " + s), STRETCHES)
+        self.stretches = Memory()
 
     def _count(self, text: str) -> int:
         return sum(self.trie.count(m.encode()) for m in self.pattern.findall(text))
 
-    def count(self, text: str) -> int:
-        if self.spaced and not SpacedBPE._SPACES.search(text):
-            first, *rest = text.split(" ")
-            stretches = self.stretches
-            return self._count(first) + sum([stretches[x] if len(x) < 256 else self._count(" " + x) for x in rest])
-        return self._count(text)
+    def count_all(self, texts: list[str]) -> list[int]:
+        plans, stretches = [], set()
+        for t in texts:
+            first, rest = t, ()
+            if self.spaced and not ByteBPE.SPACES.search(t):
+                first, *rest = t.split(" ")
+                stretches.update(rest)
+            plans.append((first, rest))
+        new = self.stretches.lacking(stretches)
+        for x in sorted(new):
+            self.stretches.add(x, self._count(" " + x))
+        known = self.stretches.now.__getitem__
+        out = [self._count(first) + sum(map(known, rest)) for first, rest in plans]
+        self.stretches.forget(new)
+        return out
 
 
 _counters: dict[tuple, Counter] = {}
@@ -91,8 +110,8 @@ _counters: dict[tuple, Counter] = {}
 
 def token_counts(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens. ranks and pattern as for byte_bpe.encode, spaced for patterns
-    as in SpacedBPE. Null and empty texts have 0 tokens; repeated rows and null doc_ids are kept; other columns are
-    ignored. Memory of a worker is bounded by NODES and STRETCHES."""
+    as in ByteBPE. Null and empty texts have 0 tokens; texts and pre-tokens of any length are counted whole; repeated rows
+    and null doc_ids are kept; other columns are ignored. Memory of a worker is bounded by NODES and byte_bpe.MEMORY."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(ranks)
@@ -104,7 +123,7 @@ def token_counts(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = Fal
             _counters[key] = Counter(zipf_scores(read_ranks(shared.value)), pattern, spaced)
         counter = _counters[key]
         for b in batches:
-            n = [counter.count(t.as_py() or "") for t in b.column("text")]
+            n = [x for _, texts in text_groups(b.column("text")) for x in counter.count_all(texts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long")

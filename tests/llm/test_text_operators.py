@@ -28,7 +28,7 @@ def reference(ranks):
 def test_bpe_equals_library_on_random_texts(ranks, reference):
     parts = ["a", "b", "é", " ", " ", "\n", "\t", "1", "'s", "'ll", ".", "!", "　", "日", "\x1c", "\x85", "ING", "<|endoftext|>", "\U0001f600", "\r", "the"]
     rng = random.Random(5)
-    plain, spaced = byte_bpe.ByteBPE(ranks, PATTERN), byte_bpe.SpacedBPE(ranks, PATTERN)
+    plain, spaced = byte_bpe.ByteBPE(ranks, PATTERN), byte_bpe.ByteBPE(ranks, PATTERN, spaced=True)
     for _ in range(5000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
         want = array("I", reference.encode_ordinary(text)).tobytes()
@@ -50,12 +50,24 @@ def test_rank_queue_order():
             held.append((rng.randrange(5000), rng.randrange(50)))
             queue.push(*held[-1])
         else:
-            assert queue.pop() == min(held)
-            held.remove(min(held))
+            rank, positions = queue.take()
+            assert [(rank, p) for p in positions] == sorted(x for x in held if x[0] == rank) and rank == min(held)[0]
+            held = [x for x in held if x[0] != rank]
     while held:
-        assert queue.pop() == min(held)
-        held.remove(min(held))
-    assert queue.pop() == (-1, -1)
+        rank, positions = queue.take()
+        assert rank == min(held)[0]
+        held = [x for x in held if x[0] != rank]
+    assert queue.take() == (-1, [])
+
+
+def test_bpe_takes_lower_ranks_first_when_they_come_late():
+    """A merge that makes a pair of a lower rank, in a vocabulary that was not trained so."""
+    ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"bc": 5, b"abc": 1, b"cd": 7, b"bb": 6, b"bbbb": 2, b"bbb": 3}
+    plain = tiktoken.Encoding("odd", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    coder, rng = byte_bpe.ByteBPE(ranks, r"\S+|\s+"), random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice("aabbbcd ") for _ in range(rng.randrange(40)))
+        assert coder.encode(text) == array("I", plain.encode_ordinary(text)).tobytes()
 
 
 def test_op1_rows(spark, docs, odd, none, reference):
@@ -184,7 +196,7 @@ def test_windows_odd_rows(odd, none, spark):
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
 
 
-def test_token_counts_equal_brute_force(ranks, docs, odd, none):
+def test_token_counts_equal_brute_force(ranks, docs, odd, none, monkeypatch):
     scores = token_counts.zipf_scores(ranks)
     trie, rng = token_counts.PrefixTrie(scores), random.Random(4)
 
@@ -197,9 +209,15 @@ def test_token_counts_equal_brute_force(ranks, docs, odd, none):
     for _ in range(400):
         word = bytes(rng.choice(b"aeinrst h\xc3\xa9") for _ in range(rng.randrange(1, 16)))
         assert trie.count(word) == best(word)
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    monkeypatch.setattr(token_counts, "NODES", 20)
+    for _ in range(100):
+        word = bytes(rng.choice(b"aeinrst h\xc3\xa9") for _ in range(rng.randrange(1, 600)))
+        assert trie.count(word) == best(word)
+    monkeypatch.undo()
     for table in (docs, odd):
         counter = token_counts.Counter(scores, PATTERN, False)
-        want = sorted((str(r.doc_id), counter.count(r.text or "")) for r in table.collect())
+        want = sorted((str(r.doc_id), counter.count_all([r.text or ""])[0]) for r in table.collect())
         got = token_counts.token_counts(table, queries.multi_ranks(), PATTERN, spaced=True).collect()
         assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
     assert token_counts.token_counts(none, queries.multi_ranks(), PATTERN).count() == 0
