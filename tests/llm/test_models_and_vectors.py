@@ -73,7 +73,7 @@ def test_pseudonyms(spark):
         (1, f"card {card}, {card.replace(' ', '')}; 4111111111111112; John.Doe99@mail.example.com +1 (425) 555-9684. {date} 28.02.2021 2021-02-30 10.0.0.1 300.1.1.1"),
         (2, f"{card} and {date}"), (3, None), (4, ""), (4, "nothing"),
     ]
-    got = [r.asDict() for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [r.asDict() for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
     one, two = got[0]["text"], got[1]["text"]
     new_card = one[5:24]
     assert new_card != card and two.startswith(new_card) and new_card.replace(" ", "") in one and luhn(new_card.replace(" ", ""))
@@ -97,10 +97,10 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_pseudonym_plan_is_native(docs, odd, none):
-    plan = pii.pseudonymise(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert pii.pseudonymise(odd).count() == odd.count() and pii.pseudonymise(odd).columns[:-2] == odd.columns
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(odd, "k").count() == odd.count() and pii.pseudonymise(odd, "k").columns[:-2] == odd.columns
+    assert pii.pseudonymise(none, "k").count() == 0
 
 
 def test_toxicity_finds_words_of_the_chain(spark):
@@ -174,9 +174,9 @@ def test_pseudonyms_beside_other_numbers(spark):
     # every two- and three-digit neighbour, so also those with which the joined digits pass the check by chance
     beside += [(f"{card} {k}", card, "", f" {k}") for k in range(10, 200)]
     rows = [(i, t) for i, (t, *_) in enumerate(beside)] + [(1000 + i, v) for i, (_, v, *_) in enumerate(beside)]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for i, (_, value, before, after) in enumerate(beside):
         alone = got[1000 + i].text
         assert alone != value and got[i].text == before + alone + after
-    two = pii.pseudonymise(spark.createDataFrame([(1, f"{grouped} {card} 10.0.0.1"), (2, "1 2 3 " * 4000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    two = pii.pseudonymise(spark.createDataFrame([(1, f"{grouped} {card} 10.0.0.1"), (2, "1 2 3 " * 4000)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
     assert (two[0].n_found, two[0].n_changed) == (3, 3) and "10.0.0.1" not in two[0].text
