@@ -254,15 +254,15 @@ class _Linker:
         pairs = keep(pairs)
         reps = keep(self.classes.join(small(self.ends(pairs)), "key").select("key", F.col("rep").alias("doc_id")))
         fields = "key long, n long, values array<bigint>"
-        sets = keep(self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", F.col("sketch").alias("values")).dropDuplicates(["key"]))
+        sets = self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", F.col("sketch").alias("values")).dropDuplicates(["key"])
         judged = self.compared(pairs, sets, SKETCH, _judge_sketches(bounds))
         open_ = keep(judged.where("verdict = 0").select("x", "y"))
         some = keep(reps.join(small(self.ends(open_)), "key"))
         texts = self.docs.where("doc_id is not null").join(small(some), "doc_id").select("key", "text")
-        whole = keep(texts.mapInArrow(_whole_sets(self.width), fields).dropDuplicates(["key"]))
+        whole = texts.mapInArrow(_whole_sets(self.width), fields).dropDuplicates(["key"])
         links = self.compared(open_, whole, 1 << 40, _judge_sets(bounds))
         out = keep(judged.where("verdict = 1").select("x", "y").unionByName(links.select("x", "y")))
-        self.scratch.drop(pairs, reps, sets, judged, open_, some, whole, links)
+        self.scratch.drop(pairs, reps, judged, open_, some, links)
         return out
 
     def ends(self, pairs: DataFrame) -> DataFrame:
@@ -286,10 +286,14 @@ class _Linker:
         """Edges (u, v) between set keys that have the components of all links."""
         keep = self.scratch.keep
         met = self.met()
-        ends = F.least("key", "pkey").alias("x"), F.greatest("key", "pkey").alias("y")
-        tried = keep(met.where("value is null").select(*ends).distinct())
-        edges = keep(self.verified(tried).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
+        # of its partners a set first gets the one that it meets in most lists
+        tried = keep(met.where("value is null").groupBy(F.col("pkey").alias("x"), F.col("key").alias("y")).agg(F.count("*").alias("c")))
+        offers = keep(tried.groupBy("y").agg(F.max_by("x", "c").alias("x")).select("x", "y"))
+        edges = keep(self.verified(offers).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
         first = keep(components(edges, self.scratch).distinct())
+        part = lambda c: small(first).select(F.col("node").alias(c), F.col("label").alias(f"{c}part"))
+        apart = F.coalesce("xpart", "x") != F.coalesce("ypart", "y")
+        others = tried.select("x", "y").join(part("x"), "x", "left").join(part("y"), "y", "left").where(apart).select("x", "y").join(offers, ["x", "y"], "left_anti")
         open_ = met.where("value is not null")
         named = keep(open_.join(small(first), open_.key == first.node, "left").select(*L.ENTRY, "more", F.coalesce("label", "key").alias("part")))
         mixed = named.groupBy("value").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("value")
@@ -297,9 +301,10 @@ class _Linker:
         side = lambda p: mixed.select("value", *(F.col(c).alias(f"{p}{c}") for c in [*L.ENTRY[1:], "part", "more"]))
         # partners of a member are those with smaller keys
         pairs = side("x").join(side("y").where("ymore"), "value").where((F.col("xpart") != F.col("ypart")) & (F.col("xkey") < F.col("ykey")) & self.bounds.fits_sql("x", "y"))
-        more = keep(pairs.select(F.col("xkey").alias("x"), F.col("ykey").alias("y")).distinct().join(tried, ["x", "y"], "left_anti"))
+        pairs = pairs.select(F.col("xkey").alias("x"), F.col("ykey").alias("y")).distinct().join(offers, ["x", "y"], "left_anti")
+        more = keep(others.unionByName(pairs).distinct())
         out = keep(edges.unionByName(self.verified(more).select(F.col("x").alias("u"), F.col("y").alias("v"))))
-        self.scratch.drop(met, tried, edges, first, named, mixed, more)
+        self.scratch.drop(met, tried, offers, edges, first, named, mixed, more)
         return out
 
 
