@@ -1,7 +1,10 @@
 import datetime
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, language_id, pii, quality_lm, queries, toxicity
@@ -36,18 +39,57 @@ def test_language_odd_rows(odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one(spark, docs):
-    logs = quality_lm.log_table(quality_lm.train(docs.limit(60), Scratch(spark, "t")))
-    sums = np.exp(logs.astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert abs(sums - 1).max() < 1e-4
-
-
-def test_kneser_ney_on_a_small_text(spark):
-    """Bigram-like check by hand: after 'ab' only 'c' was seen, so it has most of the probability."""
-    logs = quality_lm.log_table(quality_lm.train(spark.createDataFrame([("abcabcabc",)], "text string"), Scratch(spark, "t")))
-    a, b, c, d = (int(quality_lm._TABLE[ord(x)]) for x in "abcd")
-    code = lambda *s: sum(x << (6 * (3 - k)) for k, x in enumerate(s))
-    assert logs[code(c, a, b, c)] > np.log(0.5) > logs[code(c, a, b, d)]
+def plain_kneser_ney(texts):
+    """log-probability of a byte after ORDER - 1 others, by the textbook, over the texts."""
+    n = quality_lm.ORDER
+    counts = {n: Counter()}
+    for t in texts:
+        padded = b"\n" * (n - 1) + t.encode() + b"\n"
+        counts[n].update(padded[k : k + n] for k in range(len(padded) - n + 1))
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    of = {k: Counter(c.values()) for k, c in counts.items()}
+    cuts = {k: quality_lm.discounts(*(of[k][i] for i in (1, 2, 3, 4))) for k in counts}
+    cut = lambda k, c: cuts[k][min(c, 3) - 1]
+    after = {k: defaultdict(list) for k in counts}
+    for k, table in counts.items():
+        for g, c in table.items():
+            after[k][g[:-1]].append(c)
+
+    def probability(g):
+        k = len(g)
+        if k == 0:
+            return 1 / 256
+        found = after[k].get(g[:-1])
+        if found is None:
+            return probability(g[1:])
+        c, total = counts[k].get(g, 0), sum(found)
+        share = (c - cut(k, c)) / total if c else 0.0
+        return share + sum(cut(k, x) for x in found) / total * probability(g[1:])
+
+    return probability
+
+
+@pytest.mark.parametrize("shared", [1 << 40, 0])
+def test_kneser_ney_equals_plain_version(spark, docs, monkeypatch, shared):
+    monkeypatch.setattr(quality_lm, "SHARED", shared)
+    monkeypatch.setattr(quality_lm, "BLOCK", 2000)
+    some = [r.text[:400] for r in docs.where("text is not null").orderBy("doc_id").limit(12).collect()]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in some], "text string"), Scratch(spark, "t"))
+    probability = plain_kneser_ney(some)
+    asked = [*some[:4], "Abc é unseen ZZZ", "", None, "a", some[0][:50] * 3]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    n = quality_lm.ORDER
+    for r in quality_lm.perplexities(rows, model).collect():
+        text = (asked[r.doc_id] or "").encode()
+        if not text:
+            assert (r.n_symbols, r.perplexity) == (0, None)
+            continue
+        padded = b"\n" * (n - 1) + text + b"\n"
+        logs = [math.log(probability(padded[k : k + n])) for k in range(len(text) + 1)]
+        assert r.n_symbols == len(logs) and abs(r.perplexity / math.exp(-sum(logs) / len(logs)) - 1) < 1e-4
+    for context in (some[0].encode()[:4], b"zzzz"):
+        assert abs(sum(probability(context + bytes([b])) for b in range(256)) - 1) < 1e-9
 
 
 def test_quality_separates(spark, docs, data):
