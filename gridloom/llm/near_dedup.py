@@ -9,8 +9,10 @@ Steps, each a distributed job:
 3. *Links*: a set takes a few partners from each of its lists, so a group of copies costs its size and not its square.
    Sets that may have more are, after a first verification, compared with the members of their lists in other
    components, so that no link between components is lost.
-4. *Verify*: pairs are brought together in blocks of their sets, each set once a block. Union-sketch estimates reject;
-   sets within SKETCH are exact already, larger ones are built again from whole texts and compared in full.
+4. *Verify*: every value of a set flips one of PARITY bits; sets whose bits differ in more places than a link allows
+   values to differ are rejected, which is proven. What is left is brought together in blocks of sets, each set once a
+   block. Union-sketch estimates reject; sets within SKETCH are exact already, larger ones are built again from whole
+   texts and compared in full.
 5. *Components* over the links.
 
 Links of sets within SKETCH are all found. A link of larger sets exactly at the threshold is missed with a probability
@@ -34,6 +36,7 @@ from gridloom.llm.scratch import Scratch, small
 
 SKETCH = 1024
 SIGMAS = 5.0
+PARITY = 2048
 #: Values of sets that are compared in one block.
 BLOCK = 1 << 17
 #: Keys that a task remembers, so as not to list a copy again.
@@ -86,17 +89,37 @@ def _far(percent: int) -> int:
     return max(1, math.floor(SKETCH * t - SIGMAS * math.sqrt(SKETCH * t * (1 - t))))
 
 
+def parity(values: np.ndarray) -> bytes:
+    places = (values.view(np.uint64) % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def _near(bound: L.Bound, names: list[str]):
+    """The pairs (x, y, xn, yn, xp, yp, ...) whose parities a link allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in ("xp", "yp")]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            total = b.column("xn").to_numpy() + b.column("yn").to_numpy()
+            both = -(-total * bound.percent // (100 + bound.percent))
+            yield b.select(names).filter(pa.array(differ <= total - 2 * both))
+
+    return run
+
+
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows, size = b.column("doc_id"), [], 0
             for r, s in row_sets(b, width):
                 low, high = L.bitmaps(s, np.zeros(min(len(s), 1), dtype=np.int64))
-                rows.append((r, len(s), set_key(s), int(low[0]) if len(s) else 0, int(high[0]) if len(s) else 0, s[:SKETCH].copy()))
+                rows.append((r, len(s), set_key(s), int(low[0]) if len(s) else 0, int(high[0]) if len(s) else 0, parity(s), s[:SKETCH].copy()))
                 size += min(len(s), SKETCH)
                 if size > _BATCH or r == b.num_rows - 1:
-                    at, *numbers, parts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in numbers), _lists(parts)], ["doc_id", "n", "key", "b0", "b1", "sketch"])
+                    at, *numbers, bits, parts = zip(*rows, strict=True)
+                    cols = [ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in numbers), pa.array(bits, pa.binary()), _lists(parts)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "b0", "b1", "parity", "sketch"])
                     rows, size = [], 0
 
     return run
@@ -212,7 +235,7 @@ class _Linker:
     def __init__(self, docs: DataFrame, width: int, percent: int, scratch: Scratch):
         self.spark, self.scratch, self.width, self.bounds = docs.sparkSession, scratch, width, L.Bound(percent, SKETCH, _far(percent))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, b0 long, b1 long, sketch array<bigint>"))
+        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, b0 long, b1 long, parity binary, sketch array<bigint>"))
         self.classes = scratch.keep(
             self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
         )
@@ -220,10 +243,17 @@ class _Linker:
     def met(self) -> DataFrame:
         named = self.sets.where("doc_id is not null and n > 0")
         codes = self.spark.sparkContext.broadcast(L.rarity(named.select("key", "sketch").mapInArrow(_count_values, "part int, counts binary")))
-        rows = named.drop("doc_id").mapInArrow(_entries(codes, self.bounds), ", ".join(f"{c} long" for c in L.ENTRY))
+        rows = named.select("n", "key", "b0", "b1", "sketch").mapInArrow(_entries(codes, self.bounds), ", ".join(f"{c} long" for c in L.ENTRY))
         rows = rows.repartition("value").sortWithinPartitions("value")
         return self.scratch.keep(rows.mapInArrow(L.meetings(self.bounds, []), L.schema([])))
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y, ...) that their parities allow, kept."""
+        bits = self.sets.where("n > 0").select("key", "n", "parity").dropDuplicates(["key"])
+        side = lambda c: bits.select(F.col("key").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}p"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+        return self.scratch.keep(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_near(self.bounds, pairs.columns), schema))
+
     def compared(self, pairs: DataFrame, sets: DataFrame, most: int, judge) -> DataFrame:
         """Rows (x, y, verdict) of the pairs that the judge leaves. sets: key, n, values. Pairs that hang together go to
         the same blocks, of about BLOCK values each; a set goes to a block once for all its pairs there."""
@@ -287,7 +317,7 @@ class _Linker:
         keep = self.scratch.keep
         met = self.met()
         # of its partners a set first gets the one that it meets in most lists
-        tried = keep(met.where("value is null").groupBy(F.col("pkey").alias("x"), F.col("key").alias("y")).agg(F.count("*").alias("c")))
+        tried = self.near(met.where("value is null").groupBy(F.col("pkey").alias("x"), F.col("key").alias("y")).agg(F.count("*").alias("c")))
         offers = keep(tried.groupBy("y").agg(F.max_by("x", "c").alias("x")).select("x", "y"))
         edges = keep(self.verified(offers).select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(self.same_id()))
         first = keep(components(edges, self.scratch).distinct())
@@ -302,7 +332,7 @@ class _Linker:
         # partners of a member are those with smaller keys
         pairs = side("x").join(side("y").where("ymore"), "value").where((F.col("xpart") != F.col("ypart")) & (F.col("xkey") < F.col("ykey")) & self.bounds.fits_sql("x", "y"))
         pairs = pairs.select(F.col("xkey").alias("x"), F.col("ykey").alias("y")).distinct().join(offers, ["x", "y"], "left_anti")
-        more = keep(others.unionByName(pairs).distinct())
+        more = self.near(others.unionByName(pairs).distinct())
         out = keep(edges.unionByName(self.verified(more).select(F.col("x").alias("u"), F.col("y").alias("v"))))
         self.scratch.drop(met, tried, offers, edges, first, named, mixed, more)
         return out
