@@ -151,9 +151,10 @@ def p22_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total, max(o_totalprice) AS largest, min(o_totalprice) AS least FROM orders GROUP BY 1")
 def a01_a03_plus_max_min(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select("o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("total"), F.col("o_totalprice").alias("largest"), F.col("o_totalprice").alias("least"))
-    parts = [rd.reduce_scalar(df, op, v, ["o_orderpriority"]) for op, v in (("plus", "total"), ("max", "largest"), ("min", "least"))]
-    return parts[0].join(parts[1], "o_orderpriority").join(parts[2], "o_orderpriority")
+    price = F.col("o_totalprice")
+    parts = {"total": ("plus", F.round(price * 100).cast("long")), "largest": ("max", price), "least": ("min", price)}
+    # one pass, as the three aggregates share a scan and a shuffle
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*(rd.OPERATORS[op](v).alias(name) for name, (op, v) in parts.items()))
 
 
 @query("SELECT source, bool_and(quality = 1) AS all_good, bool_or(toxic = 1) AS any_toxic FROM documents JOIN labels USING (doc_id) GROUP BY source")
@@ -306,7 +307,38 @@ def a32_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a33_a35_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.sketches(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"], 16)
-    return sketch.query_sketches(rows, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return sketch.query_sketches(rows, [0.0, 0.25, 0.5, 0.75, 1.0], [50_000.0, 150_000.0, 250_000.0])
+
+
+#: With a centroid for each distinct value a sketch is exact. The median is the first value whose middle rank is beyond
+#: half of all.
+_EXACT = """
+WITH v AS (SELECT o_orderpriority AS p, CAST(o_orderkey % 50 AS DOUBLE) AS v, count(*) AS n FROM orders GROUP BY 1, 2),
+m AS (SELECT *, sum(n) OVER (PARTITION BY p ORDER BY v) - n / 2 AS middle, sum(n) OVER (PARTITION BY p) AS total FROM v)
+SELECT p AS o_orderpriority, count(*) AS centroids, CAST(max(total) AS BIGINT) AS count, min(v) AS low, max(v) AS high,
+  coalesce(min(v) FILTER (WHERE middle > total / 2), max(v)) AS median, CAST(coalesce(sum(n) FILTER (WHERE v <= 24.5), 0) AS DOUBLE) AS rank_below FROM m GROUP BY 1
+"""
+
+
+def _exact_sketch(rows: DataFrame) -> DataFrame:
+    got = sketch.query_sketches(rows, [0.5], [24.5])
+    count = F.aggregate("sketch", F.lit(0).cast("long"), lambda a, c: a + c["count"])
+    return got.select("o_orderpriority", F.size("sketch").cast("long").alias("centroids"), count.alias("count"), "low", "high", F.col("quantiles")[0].alias("median"), F.col("ranks")[0].alias("rank_below"))
+
+
+def _remainders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", (F.col("o_orderkey") % 50).cast("double").alias("v"))
+
+
+@query(_EXACT)
+def a33_a35_exact_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact_sketch(sketch.sketches(_remainders(spark, sf_dir), "v", ["o_orderpriority"], 64))
+
+
+@query(_EXACT)
+def a37_merged_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = sketch.sketches(_remainders(spark, sf_dir), "v", ["o_orderpriority", "o_orderstatus"], 64)
+    return _exact_sketch(sketch.merge_sketches(parts.drop("o_orderstatus"), ["o_orderpriority"], 64))
 
 
 @query(

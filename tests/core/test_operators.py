@@ -81,10 +81,30 @@ def test_sketch_is_close_to_exact_quantiles(spark):
 
 def test_sketch_small():
     cents = sketch.build([1.0, 2.0, 2.0, 4.0], 16)
-    assert cents == [(1.0, 1), (2.0, 2), (4.0, 1)]
-    assert sketch.merge(cents, [(2.0, 1)], 16) == [(1.0, 1), (2.0, 3), (4.0, 1)]
-    assert sketch.build([0.0, 1.0, 2.0, 10.0], 3) == [(0.5, 2), (2.0, 1), (10.0, 1)]
+    assert cents == [(1.0, 1, True), (2.0, 2, True), (4.0, 1, True)]
+    assert sketch.build([0.0, 1.0, 2.0, 10.0], 3) == [(0.5, 2, False), (2.0, 1, True), (10.0, 1, True)]
     assert sketch.estimate_rank(cents, 0.0, 1.0, 4.0) == 0 and sketch.estimate_rank(cents, 9.0, 1.0, 4.0) == 4
+    assert sketch.quantile([], 0.5, 0.0, 0.0) is None
+    few = sketch.build([3, 92, 4, 1, 24, 8, 33, 29, 55, 87], 4)
+    assert len(few) == 4 and sum(c[1] for c in few) == 10
+
+
+def test_sketch_golden_values():
+    """Ranks and quantiles that a large enough sketch must give exactly."""
+    ranks = {0.0: 0, 1.0: 1, 1.5: 1, 2.9: 2, 4.0: 6, 4.5: 6, 7.0: 8}
+    cents = sketch.build([1, 2, 3, 4, 4, 4, 5, 6], 16)
+    assert {v: sketch.estimate_rank(cents, v, 1.0, 6.0) for v in ranks} == ranks
+    quantiles = {0.0: 0.01, 0.25: 2.0, 0.5: 4.0, 0.75: 4.2, 1.0: 4.3}
+    cents = sketch.build([0.01, 0.1, 1.0, 2.0, 3.0, 4.0, 4.0, 4.0, 4.1, 4.2, 4.3, 4.3], 16)
+    assert {q: sketch.quantile(cents, q, 0.01, 4.3) for q in quantiles} == quantiles
+
+
+def test_sketch_trapezoids():
+    """Between rough centroids, rank and quantile are each other's inverse."""
+    cents = [(1.0, 4, False), (2.0, 10, False), (5.0, 6, False)]
+    for v in (1.1, 1.5, 1.9, 2.5, 4.0):
+        rank = sketch.estimate_rank(cents, v, 0.0, 6.0)
+        assert abs(sketch.quantile(cents, rank / 20, 0.0, 6.0) - v) < 1e-9
 
 
 @pytest.mark.parametrize("plan", [rb.greedy, rb.hierarchical, rb.tempered])
