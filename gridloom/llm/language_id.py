@@ -5,10 +5,8 @@ text (lower-cased letters; anything else is one boundary) is bound to the produc
 their place in the run. A text's vector is the bundle, i.e. the sum, of its runs' vectors, and a language's prototype is
 the bundle of its training texts. A text gets the language of the largest cosine.
 
-Bundling is a sum, so a text's inner product with a prototype is the sum of its runs' own products. Each worker computes
-those once for a distinct run and remembers them up to a fixed number. The length of a text's vector is taken as its
-expected value over the letters' draws, the root of DIM times the sum of squared counts; it is the same for all
-languages and does not enter the choice."""
+A text is bundled whole, from the vectors of its distinct runs and their counts. Each worker makes the vector of a run
+once and remembers up to REMEMBERED of them."""
 
 from __future__ import annotations
 
@@ -22,10 +20,10 @@ from pyspark.sql import functions as F
 
 from gridloom.session import ship
 
-DIM = 2048
+DIM = 1024
 NONE = "und"
-#: Runs whose products a worker remembers.
-REMEMBERED = 300_000
+#: Runs whose vectors, of DIM bytes each, a worker remembers.
+REMEMBERED = 32_000
 _BOUNDARY = 0x1FFFFF
 _MASK = (1 << 21) - 1
 
@@ -130,43 +128,59 @@ class Comparer:
     def __init__(self, profiles: dict[str, np.ndarray]):
         self.langs = list(profiles)
         unit = [v / np.linalg.norm(v) for v in profiles.values()]
-        self.unit = np.stack(unit, axis=1).astype(np.float32) if unit else np.zeros((DIM, 0), np.float32)
-        self.forget()
+        self.unit = np.stack(unit, axis=1) if unit else np.zeros((DIM, 0))
+        self.codes, self.vectors = np.zeros(0, dtype=np.int64), np.zeros((0, DIM), dtype=np.int8)
 
-    def forget(self) -> None:
-        self.codes = np.zeros(0, dtype=np.int64)
-        self.products = np.zeros((0, len(self.langs)), dtype=np.float32)
-
-    def learn(self, codes: np.ndarray) -> None:
+    def _learn(self, codes: np.ndarray) -> None:
+        """Makes sure that the vectors of these codes, ascending, are at hand."""
         new = codes[~np.isin(codes, self.codes, assume_unique=True)]
         if not len(new):
             return
         if len(self.codes) + len(new) > REMEMBERED:
-            self.forget()
-            new = codes
-        made = np.concatenate([run_vectors(new[lo : lo + 2048]).astype(np.float32) @ self.unit for lo in range(0, len(new), 2048)])
-        order = np.argsort(all_codes := np.concatenate([self.codes, new]))
-        self.codes, self.products = all_codes[order], np.concatenate([self.products, made])[order]
+            self.codes, self.vectors, new = self.codes[:0], self.vectors[:0], codes
+        made = np.concatenate([run_vectors(new[lo : lo + 2048]) for lo in range(0, len(new), 2048)])
+        both = np.concatenate([self.codes, new])
+        order = np.argsort(both)
+        self.codes, self.vectors = both[order], np.concatenate([self.vectors, made])[order]
+
+    def bundled(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        total = np.zeros(DIM)
+        for lo in range(0, len(codes), 4096):
+            rows = self.vectors[np.searchsorted(self.codes, codes[lo : lo + 4096])]
+            total += counts[lo : lo + 4096].astype(np.float32) @ rows.astype(np.float32)
+        return total
 
     def compare(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(NONE, 0.0)] * len(texts)
         if not self.langs:
             return out
-        found = [(i, *np.unique(r, return_counts=True)) for i, t in enumerate(texts) if t and len(r := runs(t))]
-        if found:
-            self.learn(np.unique(np.concatenate([c for _, c, _ in found])))
-        for i, codes, counts in found:
-            n = counts.astype(np.float64)
-            cosines = n @ self.products[np.searchsorted(self.codes, codes)] / np.sqrt(DIM * (n * n).sum())
-            best = int(np.argmax(cosines))
-            out[i] = self.langs[best], float(min(1.0, max(0.0, cosines[best])))
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            if t and len(r := runs(t)):
+                held.append((i, *np.unique(r, return_counts=True)))
+                size += len(held[-1][1])
+            if held and (size > REMEMBERED or i == len(texts) - 1):
+                # of a text with more runs than may be held, a part at a time
+                if len(held) == 1 and size > REMEMBERED:
+                    self._decide(out, held[0][0], bundle(*held[0][1:]).astype(np.float64))
+                else:
+                    self._learn(np.unique(np.concatenate([c for _, c, _ in held])))
+                    for k, codes, counts in held:
+                        self._decide(out, k, self.bundled(codes, counts))
+                held, size = [], 0
         return out
 
+    def _decide(self, out: list[tuple[str, float]], k: int, vector: np.ndarray) -> None:
+        length = np.linalg.norm(vector)
+        cosines = vector @ self.unit / length if length else np.zeros(len(self.langs))
+        best = int(np.argmax(cosines))
+        out[k] = self.langs[best], float(min(1.0, max(0.0, cosines[best])))
+
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """The rows of docs with lang_pred and score (the cosine, cut to 0..1). A text that is null or has no letter gets
     `und` and 0, as all do if there is no prototype; of equal cosines the language first in order wins. Columns of docs
-    of these two names are replaced; others, and repeated rows, are kept."""
+    of these two names are replaced; others, and repeated rows, are kept. Texts of any length are bundled whole."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(profiles)
@@ -177,8 +191,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(shared.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
                 got = comparer.compare(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*b.schema.names, "lang_pred", "score"]

@@ -19,15 +19,42 @@ def test_language_held_out_accuracy(spark, docs, data):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_language_products_equal_bundles(docs):
-    profiles = language_id.prototypes(docs.select("text", "lang"))
-    compare = language_id.Comparer(profiles)
-    text = docs.first().text
-    codes, counts = np.unique(language_id.runs(text), return_counts=True)
-    vector = language_id.bundle(codes, counts)
-    lang, _ = compare.compare([text])[0]
-    cosines = {k: vector @ v / np.linalg.norm(v) for k, v in profiles.items()}
-    assert lang == max(cosines, key=cosines.get)
+def test_language_scores_equal_plain_version(spark, docs, monkeypatch):
+    """Letter by letter and run by run, over whole texts."""
+    from gridloom.llm.language_id import _letter
+
+    def plain(text):
+        points = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else None for c in text]
+        chain = [None]
+        for p in [*points, None]:
+            if p is not None or chain[-1] is not None:
+                chain.append(p)
+        vector, made = np.zeros(language_id.DIM), {}
+        for a, b, c in zip(chain, chain[1:], chain[2:]):
+            if (a, b, c) not in made:
+                parts = [_letter(language_id._BOUNDARY if x is None else x).astype(float) for x in (a, b, c)]
+                made[a, b, c] = np.roll(parts[0], 2) * np.roll(parts[1], 1) * parts[2]
+            vector += made[a, b, c]
+        return vector
+
+    some = [(r.doc_id, r.text[:1500], r.lang) for r in docs.where("text is not null and lang is not null").orderBy("doc_id").limit(40).collect()]
+    table = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    vectors = {d: plain(t) for d, t, _ in some}
+    sums = {}
+    for d, _, lang in some:
+        sums[lang] = sums.get(lang, 0) + vectors[d]
+    profiles = language_id.prototypes(table.select("text", "lang"))
+    assert {k: v.tolist() for k, v in profiles.items()} == {k: v.tolist() for k, v in sums.items()}
+    got = {r.doc_id: r for r in language_id.identify(table, profiles).collect()}
+    for d, v in vectors.items():
+        cosines = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in sums.items()}
+        best = max(cosines, key=cosines.get)
+        assert got[d].lang_pred == best and abs(got[d].score - cosines[best]) < 1e-6
+    comparer = language_id.Comparer(profiles)
+    want = comparer.compare([t for _, t, _ in some])
+    monkeypatch.setattr(language_id, "REMEMBERED", 200)
+    for (lang, score), (lang2, score2) in zip(want, language_id.Comparer(profiles).compare([t for _, t, _ in some]), strict=True):
+        assert lang == lang2 and abs(score - score2) < 1e-6
 
 
 def test_language_odd_rows(odd, none):
