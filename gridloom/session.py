@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,14 +27,22 @@ def ship(spark: SparkSession) -> None:
     sc._gridloom_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir. Where none is set, a folder of this process serves a
+    local session; a cluster's executors would not see each other's files there, so for one this is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        found = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def kept(df: DataFrame, *by: str) -> DataFrame:
-    """The table written to spark.checkpoint.dir, in folders by the columns given, and read again: cuts its lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="gridloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    """The table written to the shared folder, in folders by the columns given, and read again: cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
