@@ -147,9 +147,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where("vec_id is not null and vector is not null").where(sound)
-    # a vector whose squares leave the range of doubles has no length to divide by
+    # a vector whose squares leave the range of doubles is brought into it, which leaves its cosines as they are
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    rows = rows.where((squares > 1e-290) & (squares < 1e300))
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scaled = F.transform("vector", lambda x: x / largest)
+    rows = rows.withColumn("vector", F.when((squares > 1e-290) & (squares < 1e290), F.col("vector")).otherwise(scaled))
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = sizes[0].d if sizes else 1
     rows = rows.where(F.size("vector") == dim)

@@ -221,6 +221,27 @@ def test_nearest_recall(spark, data):
     assert hits >= 0.9 * 5 * len(asked)
 
 
+def test_nearest_in_small_blocks(spark, data, monkeypatch):
+    """Several blocks of rows and of queries, and fewer bits at first."""
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 60)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    table = spark.read.parquet(f"{data}/embeddings.parquet").limit(400)
+    pdf = table.toPandas()
+    ids, vectors = pdf.vec_id.to_numpy(), np.stack(pdf.embedding.to_numpy()).astype(float)
+    got = ann.nearest(table, table.where("vec_id % 50 = 0"), k=5).collect()
+    asked = [i for i in range(len(ids)) if ids[i] % 50 == 0]
+    assert len(got) == 5 * len(asked)
+    want = {(int(ids[i]), v) for i in asked for v, _ in exact(ids, vectors, i, 5)}
+    assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want)
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2.1e200]), (2, [-1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [1.7e308, 1.7e308])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(table, table.where("vec_id = 0"), k=5).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3, 4)] == [1, 4, 3, 2] and abs(got[0, 2][1] - 3 / math.sqrt(10)) < 1e-12
+
+
 def test_nearest_copies_ties_and_bad_rows(spark):
     v = [[1.0, 0.0], [1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [1.0, 1.0], None, [0.0, 0.0], [float("nan"), 1.0], [1.0, None], [], [1.0, 2.0, 3.0]]
     rows = [(k, x, 1) for k, x in enumerate(v)] + [(k + 100, [1.0, 0.0], 1) for k in range(10)] + [(None, [1.0, 0.0], 1), (0, [1.0, 0.0], 2)]
