@@ -1,11 +1,14 @@
 """Load models: what an object's load in a phase is taken to be, from what was recorded in earlier ones.
 
-A model is an object with apply(loads) -> DataFrame (phase, object, load), where loads has phase, object, load (and subs,
-an array of subphase loads, where the model reads it), and look_back(), the number of phases that it reads. Models are
-composed by passing one the other; all are lazy, and windows are partitioned by object, so one shuffle serves a chain."""
+A model answers forecast(loads, offsets): rows (phase, object, loads), where the array has the load that the model expects
+of the phase `phase + offset` for each offset, knowing the phases before `phase`; apply(loads) is that for the phase
+itself. loads has phase, object, load, and subs, an array of subphase loads, where subphases are asked for:
+subphases(loads, offsets) gives rows (phase, object, sub, loads). look_back() is the number of phases that a model reads.
+Models are composed by passing one the other; all are lazy, and windows are partitioned by object."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,21 +16,44 @@ from pyspark.sql import functions as F
 
 
 class LoadModel:
-    """Base of all models and of users' own."""
+    """Base of all models and of users' own, which define forecast."""
 
-    def apply(self, loads: DataFrame) -> DataFrame:
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
         raise NotImplementedError
 
+    def subphases(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        """Each subphase of an object is forecast as an object of its own."""
+        each = loads.select("phase", "object", F.posexplode("subs").alias("sub", "load"))
+        rows = self.forecast(each.select("phase", F.struct("object", "sub").alias("object"), "load"), offsets)
+        return rows.select("phase", "object.object", "object.sub", "loads")
+
+    def apply(self, loads: DataFrame) -> DataFrame:
+        return self.forecast(loads).select("phase", "object", F.col("loads")[0].alias("load"))
+
     def look_back(self) -> int:
         return 1
 
 
+def _same(offsets: Sequence[int]) -> Column:
+    return F.array_repeat("load", len(offsets)).alias("loads")
+
+
 class RawData(LoadModel):
-    """Past loads as recorded; an object without a record in a phase has 0."""
+    """Past loads as recorded; an object without a record in a phase has 0. It has no forecast of its own."""
+
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        # the phases are one row, so that the dense table is made object by object
+        phases = loads.agg(F.collect_set("phase").alias("phases"))
+        spine = loads.select("object").distinct().join(F.broadcast(phases)).select("object", F.explode("phases").alias("phase"))
+        rows = spine.join(loads.select("phase", "object", "load"), ["phase", "object"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
+        return rows.select("phase", "object", _same(offsets))
 
-    def apply(self, loads: DataFrame) -> DataFrame:
-        spine = loads.select("phase").distinct().crossJoin(loads.select("object").distinct())
-        return spine.join(loads.select("phase", "object", "load"), ["phase", "object"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
+
+class Recorded(LoadModel):
+    """Recorded loads alone: phases without a record are left out."""
+
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        return loads.select("phase", "object", _same(offsets))
 
 
 @dataclass
@@ -43,11 +69,11 @@ def _past(n: int) -> Window:
 
 
 class NaivePersistence(Composed):
-    """A phase is expected to be as the one before."""
+    """A phase, and those after it, are expected to be as the one before."""
 
-    def apply(self, loads: DataFrame) -> DataFrame:
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
         last = F.lag("load", 1).over(Window.partitionBy("object").orderBy("phase"))
-        return self.base.apply(loads).withColumn("load", last).where("load is not null")
+        return self.base.apply(loads).withColumn("load", last).where("load is not null").select("phase", "object", _same(offsets))
 
 
 @dataclass
@@ -56,8 +82,9 @@ class MedianLastN(Composed):
 
     n: int = 3
 
-    def apply(self, loads: DataFrame) -> DataFrame:
-        return self.base.apply(loads).withColumn("load", F.percentile(F.col("load"), F.lit(0.5)).over(_past(self.n))).where("load is not null")
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        rows = self.base.apply(loads).withColumn("load", F.percentile(F.col("load"), F.lit(0.5)).over(_past(self.n)))
+        return rows.where("load is not null").select("phase", "object", _same(offsets))
 
     def look_back(self) -> int:
         return max(self.n, self.base.look_back())
@@ -65,61 +92,104 @@ class MedianLastN(Composed):
 
 @dataclass
 class Linear(Composed):
-    """The line through the last n phases, at x = -n..-1, continued to an offset from the present phase (0)."""
+    """The line through the last n phases, continued. offset is added to those asked for."""
 
     n: int = 3
     offset: int = 0
 
-    def apply(self, loads: DataFrame) -> DataFrame:
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
         w, y, x = _past(self.n), F.col("load"), F.col("phase")
-        slope, intercept = F.regr_slope(y, x).over(w), F.regr_intercept(y, x).over(w)
-        rows = self.base.apply(loads).withColumn("points", F.count("load").over(w))
-        rows = rows.withColumn("load", intercept + slope * (x + self.offset))
-        return rows.where("points >= 2").drop("points")
+        rows = self.base.apply(loads)
+        rows = rows.select("phase", "object", F.count("load").over(w).alias("points"), F.regr_slope(y, x).over(w).alias("slope"), F.regr_intercept(y, x).over(w).alias("start"))
+        line = [F.col("start") + F.col("slope") * (x + self.offset + k) for k in offsets]
+        return rows.where("points >= 2").select("phase", "object", F.array(*line).alias("loads"))
 
     def look_back(self) -> int:
         return max(self.n, self.base.look_back())
 
 
 @dataclass
-class MultiplePhases(LoadModel):
-    """The sum of b consecutive phases, as one coarser phase."""
+class MultiplePhases(Composed):
+    """One coarse phase is b phases: its load is the sum of what the base expects of them."""
 
+    base: LoadModel = field(default_factory=NaivePersistence)
     b: int = 2
 
-    def apply(self, loads: DataFrame) -> DataFrame:
-        return loads.groupBy(F.floor(F.col("phase") / self.b).alias("phase"), "object").agg(F.sum("load").alias("load"))
+    def _summed(self, rows: DataFrame, offsets: Sequence[int]) -> DataFrame:
+        part = lambda k: F.aggregate(F.slice("loads", k * self.b + 1, self.b), F.lit(0.0), lambda a, x: a + x)
+        return rows.withColumn("loads", F.array(*(part(k) for k in range(len(offsets)))))
+
+    def _fine(self, offsets: Sequence[int]) -> list[int]:
+        return [self.b * k + i for k in offsets for i in range(self.b)]
+
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        return self._summed(self.base.forecast(loads, self._fine(offsets)), offsets)
 
+    def subphases(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        return self._summed(self.base.subphases(loads, self._fine(offsets)), offsets)
 
-def norm(subs: Column, power: float) -> Column:
-    """Of an array of subphase loads; an infinite power is their maximum."""
-    if not power >= 0:
-        raise ValueError("a norm's power is 0 or more")
-    if power == float("inf"):
-        return F.coalesce(F.array_max(subs), F.lit(0.0))
-    return F.pow(F.aggregate(subs, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double"), F.lit(float(power)))), F.lit(1.0 / power if power else float("inf")))
+
+def coarse(loads: DataFrame, b: int) -> DataFrame:
+    """Recorded loads of b phases each, as one coarser phase."""
+    return loads.groupBy(F.floor(F.col("phase") / b).alias("phase"), "object").agg(F.sum("load").alias("load"))
+
+
+@dataclass
+class Coarse(LoadModel):
+    """Recorded loads, b phases as one."""
+
+    b: int = 2
+
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        return coarse(loads, self.b).select("phase", "object", _same(offsets))
+
+
+def _added(rows: DataFrame, n: int, fold) -> DataFrame:
+    """Rows (phase, object, sub, loads) over their subphases, place by place of loads."""
+    folded = rows.groupBy("phase", "object").agg(*(fold(F.col("loads")[k].cast("double")).alias(f"__{k}") for k in range(n)))
+    return folded.select("phase", "object", F.array(*(f"__{k}" for k in range(n))).alias("loads"))
 
 
 @dataclass
-class Norm(LoadModel):
+class Norm(Composed):
+    """The norm of a phase's subphases, as the base expects them; an infinite power is their maximum."""
+
     power: float = 2.0
 
-    def apply(self, loads: DataFrame) -> DataFrame:
-        return loads.select("phase", "object", norm(F.col("subs"), self.power).alias("load"))
+    def __post_init__(self) -> None:
+        if not self.power >= 0:
+            raise ValueError("a norm's power is 0 or more")
+
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        def fold(x: Column) -> Column:
+            if self.power == float("inf"):
+                return F.greatest(F.max(x), F.lit(0.0))
+            return F.pow(F.sum(F.pow(x, F.lit(float(self.power)))), F.lit(1.0 / self.power if self.power else float("inf")))
 
+        return _added(self.base.subphases(loads, offsets), len(offsets), fold)
 
-def selected(subs: Column, places: list[int]) -> Column:
-    """The sum of chosen subphases; one may be chosen twice. A subphase that an object lacks is 0."""
-    terms = [F.coalesce(F.get(subs, F.lit(k)), F.lit(0)) for k in places]
-    return F.aggregate(F.array(*terms), F.lit(0).cast("double"), lambda a, x: a + x)
+    def subphases(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        return self.base.subphases(loads, offsets)
 
 
 @dataclass
-class SelectSubphases(LoadModel):
+class SelectSubphases(Composed):
+    """Subphase k is the base's subphase places[k]; one may be chosen twice. A phase is their sum."""
+
     places: list[int] = field(default_factory=lambda: [0])
 
-    def apply(self, loads: DataFrame) -> DataFrame:
-        return loads.select("phase", "object", selected(F.col("subs"), self.places).alias("load"))
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        rows = _added(self.subphases(loads, offsets), len(offsets), F.sum)
+        # an object without the chosen subphases has load 0
+        known = self.base.subphases(loads, offsets).select("phase", "object").distinct()
+        none = F.array_repeat(F.lit(0.0), len(offsets))
+        return known.join(rows, ["phase", "object"], "left").withColumn("loads", F.coalesce("loads", none))
+
+    def subphases(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        chosen = F.array(*(F.struct(F.lit(p).alias("of"), F.lit(k).alias("sub")) for k, p in enumerate(self.places)))
+        rows = self.base.subphases(loads, offsets)
+        picked = F.explode(F.filter(chosen, lambda c: c["of"] == F.col("sub")))
+        return rows.select("phase", "object", picked.alias("c"), "loads").select("phase", "object", F.col("c.sub").alias("sub"), "loads")
 
 
 @dataclass
@@ -129,10 +199,10 @@ class PerCollection(LoadModel):
     models: dict[int, LoadModel]
     other: LoadModel = field(default_factory=RawData)
 
-    def apply(self, loads: DataFrame) -> DataFrame:
-        out = self.other.apply(loads.where(~F.col("collection").isin(list(self.models))))
+    def forecast(self, loads: DataFrame, offsets: Sequence[int] = (0,)) -> DataFrame:
+        out = self.other.forecast(loads.where(~F.col("collection").isin(list(self.models))), offsets)
         for c, model in self.models.items():
-            out = out.unionByName(model.apply(loads.where(F.col("collection") == c)))
+            out = out.unionByName(model.forecast(loads.where(F.col("collection") == c), offsets))
         return out
 
     def look_back(self) -> int:

@@ -40,7 +40,23 @@ def w04_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOADS} SELECT phase // 3 AS phase, object, CAST(sum(load) AS BIGINT) AS load FROM loads GROUP BY 1, 2")
 def w05_multiple_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.MultiplePhases(3).apply(loads(spark, sf_dir))
+    return models.coarse(loads(spark, sf_dir), 3)
+
+
+@query(
+    f"WITH {_SPINE}, x AS (SELECT phase, object, lag(load) OVER (PARTITION BY object ORDER BY phase) AS load FROM spine) SELECT phase, object, CAST(3 * load AS DOUBLE) AS load FROM x WHERE load IS NOT NULL"
+)
+def w05_multiple_phases_of_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.MultiplePhases(models.NaivePersistence(), b=3).apply(loads(spark, sf_dir))
+
+
+@query(
+    f"WITH {_SPINE}, x AS (SELECT phase, object, count(*) OVER ({_PAST}) AS n, regr_slope(load / 999983.0, phase) OVER ({_PAST}) AS b, avg(load / 999983.0) OVER ({_PAST}) AS my, avg(phase) OVER ({_PAST}) AS mx FROM spine) "
+    "SELECT phase, object, round((my + b * (phase - mx)) + (my + b * (phase + 1 - mx)), 4) AS load FROM x WHERE n >= 2"
+)
+def w05_multiple_phases_of_a_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = loads(spark, sf_dir).withColumn("load", F.col("load") / 999983.0)
+    return models.MultiplePhases(models.Linear(n=3), b=2).apply(rows).select("phase", "object", F.round("load", 4).alias("load"))
 
 
 _SUBS = f"s AS (SELECT {PHASE} AS phase, l_suppkey AS object, l_linenumber AS k, sum({CENTS}) / 999983.0 AS x FROM lineitem GROUP BY 1, 2, 3)"
@@ -55,17 +71,24 @@ def _subs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SUBS} SELECT phase, object, round(sqrt(sum(x * x)), 4) AS load FROM s GROUP BY 1, 2")
 def w06_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.Norm(2.0).apply(_subs(spark, sf_dir)).select("phase", "object", F.round("load", 4).alias("load"))
+    return models.Norm(models.Recorded(), 2.0).apply(_subs(spark, sf_dir)).select("phase", "object", F.round("load", 4).alias("load"))
 
 
 @query(f"WITH {_SUBS} SELECT phase, object, round(max(x), 6) AS load FROM s GROUP BY 1, 2")
 def w06_norm_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.Norm(float("inf")).apply(_subs(spark, sf_dir)).select("phase", "object", F.round("load", 6).alias("load"))
+    return models.Norm(models.Recorded(), float("inf")).apply(_subs(spark, sf_dir)).select("phase", "object", F.round("load", 6).alias("load"))
 
 
 @query(f"WITH {_SUBS} SELECT phase, object, round(coalesce(sum(CASE k WHEN 1 THEN x WHEN 3 THEN 2 * x END), 0), 4) AS load FROM s GROUP BY 1, 2")
 def w07_select_subphases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.SelectSubphases([0, 2, 2]).apply(_subs(spark, sf_dir)).select("phase", "object", F.round("load", 4).alias("load"))
+    return models.SelectSubphases(models.Recorded(), [0, 2, 2]).apply(_subs(spark, sf_dir)).select("phase", "object", F.round("load", 4).alias("load"))
+
+
+@query(f"WITH {_SUBS} SELECT phase, object, round(sqrt(coalesce(sum(CASE k WHEN 1 THEN x * x WHEN 3 THEN 2 * x * x END), 0)), 4) AS load FROM s GROUP BY 1, 2 HAVING count(*) FILTER (WHERE k IN (1, 3)) > 0")
+def w06_w07_norm_of_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = models.Norm(models.SelectSubphases(models.Recorded(), [0, 2, 2]), 2.0)
+    some = (F.col("subs")[0] > 0) | (F.col("subs")[2] > 0)
+    return model.apply(_subs(spark, sf_dir).where(some)).select("phase", "object", F.round("load", 4).alias("load"))
 
 
 @query(
@@ -75,7 +98,7 @@ def w07_select_subphases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w08_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = loads(spark, sf_dir).withColumn("collection", F.col("object") % 3)
-    return models.PerCollection({1: models.MultiplePhases(2)}).apply(rows)
+    return models.PerCollection({1: models.Coarse(2)}).apply(rows)
 
 
 _TOTAL = "(SELECT object, sum(load) / 1e6 AS load FROM loads GROUP BY 1)"

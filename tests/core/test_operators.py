@@ -171,7 +171,22 @@ def test_restart_gap_fails(spark):
 def test_models_look_back_and_errors():
     assert models.Linear(base=models.MedianLastN(n=7), n=3).look_back() == 7
     with pytest.raises(ValueError):
-        models.norm(F.col("x"), -1.0)
+        models.Norm(power=-1.0)
+
+
+def test_models_compose(spark):
+    """Sums of predictions at b * offset + i, norms and selections of a base's subphases."""
+    rows = [(p, 1, float(p * p), [float(p), 2.0, 3.0]) for p in range(6)]
+    loads = spark.createDataFrame(rows, "phase long, object long, load double, subs array<double>")
+    one = lambda df, phase: [r.loads for r in df.where(F.col("phase") == phase).collect()][0]
+    line = models.Linear(n=2)
+    assert one(models.MultiplePhases(line, b=2).forecast(loads, [0, 1]), 4) == [14 + 19, 24 + 29]
+    assert one(models.MultiplePhases(models.NaivePersistence(), b=3).forecast(loads), 5) == [48.0]
+    selected = models.SelectSubphases(models.NaivePersistence(), [2, 0, 2])
+    assert one(selected.forecast(loads), 5) == [3.0 + 4.0 + 3.0]
+    assert sorted((r["sub"], r.loads[0]) for r in selected.subphases(loads).where("phase = 5").collect()) == [(0, 3.0), (1, 4.0), (2, 3.0)]
+    assert abs(one(models.Norm(selected, 2.0).forecast(loads), 5)[0] - (9 + 16 + 9) ** 0.5) < 1e-12
+    assert one(models.Norm(models.MultiplePhases(models.NaivePersistence(), b=2), float("inf")).forecast(loads), 5) == [8.0]
     assert gossip_parameters(256) == (7, 3)
 
 
