@@ -108,11 +108,18 @@ def meter(values: DataFrame, kind: str, by: Iterable[str]) -> DataFrame:
     return values.groupBy(*by).agg(*(c.alias(k) for k, c in found.items()))
 
 
-def advice(before: Column, after: Column, objects_max: Column, avg: Column) -> Column:
-    """What a phase's statistics advise. Thresholds: 3 % of gain from rebalancing, 0.5 % of remaining imbalance, and a
-    largest object of 1.005 times the mean."""
-    gain = (before - after) / before * 100
+def advice(top: Column, avg: Column, largest: Column) -> Column:
+    """What is to be gained by rebalancing a phase, from the largest and the mean rank load and the largest object: its
+    gain is the share by which the mean is below the largest, in percent, and an object larger than the mean limits it."""
+    gain, grain = (top - avg) / top * 100, (top - largest) / top * 100
     return (
-        F.when(before <= 0, "no load").when(objects_max > avg * 1.005, "largest object limits").when(gain >= 3.0, "rebalance")
-        .when((before / avg - 1) * 100 <= 0.5, "balanced").otherwise("keep")
+        F.when((top <= 0) | (gain <= 3.0), "nothing to gain").when(grain < 0.5, "an object blocks the gain")
+        .when(grain >= gain - 1.0, "rebalance").otherwise("rebalance, limited by an object")
     )
+
+
+def advice_after(top: Column, top_after: Column, avg_after: Column, largest: Column) -> Column:
+    """The same of a phase that was rebalanced: whether it helped, and whether an object blocks what is left to gain."""
+    helped = F.when(top / top_after >= 1.005, "faster").otherwise("hardly faster")
+    blocked = ((top_after - avg_after) / top_after * 100 > 3.0) & ((top_after - largest) / top_after * 100 < 0.5)
+    return F.when(blocked, F.concat(helped, F.lit(", an object blocks the rest"))).otherwise(helped)

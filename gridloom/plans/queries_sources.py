@@ -53,23 +53,23 @@ def s10_restart_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbdata.filled(recorded, phases)
 
 
-# A sample of the configuration format.
-_CONFIG = ["0 NoLB", "1 HierarchicalLB min=0.9 max=1.1 auto=false", "%10 TemperedLB c=1 k=5 f=2 i=10", "%5 GreedyLB min=1.0", "120 HierarchicalLB test_xyz=3", "# a comment", ""]
+_CONFIG = ["0 NoLB", "3 GreedyLB min=0.5 max=1.5   auto=true", "% 8 TemperedLB rounds=6 alpha=2", "%6 RotateLB", "", "  # nothing here", "77 HierarchicalLB depth=4 # the last"]
+_NAMES = ["NoLB", "GreedyLB", "TemperedLB", "RotateLB", "HierarchicalLB"]
 
 
 def _config(spark: SparkSession) -> DataFrame:
-    return lbdata.config(spark.createDataFrame([(x,) for x in _CONFIG], "value string"))
+    return lbdata.config(spark.createDataFrame([(x,) for x in _CONFIG], "value string"), names=_NAMES)
 
 
 @query(
-    "SELECT * FROM (VALUES (FALSE, CAST(0 AS BIGINT), 'NoLB', NULL, CAST(0 AS BIGINT)), (FALSE, 1, 'HierarchicalLB', '0.9', 3), (TRUE, 10, 'TemperedLB', NULL, 4), (TRUE, 5, 'GreedyLB', '1.0', 1), (FALSE, 120, 'HierarchicalLB', NULL, 1)) t(is_mod, phase, name, low, n_params)"
+    "SELECT * FROM (VALUES (FALSE, CAST(0 AS BIGINT), 'NoLB', NULL, CAST(0 AS BIGINT)), (FALSE, 3, 'GreedyLB', '0.5', 3), (TRUE, 8, 'TemperedLB', NULL, 2), (TRUE, 6, 'RotateLB', NULL, 0), (FALSE, 77, 'HierarchicalLB', NULL, 1)) t(is_mod, phase, name, low, n_params)"
 )
 def s12_config_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _config(spark).select("is_mod", "phase", "name", F.try_element_at("params", F.lit("min")).alias("low"), F.size("params").cast("long").alias("n_params"))
 
 
 @query(
-    f"WITH {LOADS}, p AS (SELECT DISTINCT phase - 23900 AS phase FROM loads) SELECT phase, CASE WHEN phase = 0 THEN 'NoLB' WHEN phase = 1 THEN 'HierarchicalLB' WHEN phase = 120 THEN 'HierarchicalLB' WHEN phase % 10 = 0 THEN 'TemperedLB' WHEN phase % 5 = 0 THEN 'GreedyLB' END AS name FROM p"
+    f"WITH {LOADS}, p AS (SELECT DISTINCT phase - 23900 AS phase FROM loads) SELECT phase, CASE WHEN phase = 0 THEN 'NoLB' WHEN phase = 3 THEN 'GreedyLB' WHEN phase = 77 THEN 'HierarchicalLB' WHEN phase % 8 = 0 THEN 'TemperedLB' WHEN phase % 6 = 0 THEN 'RotateLB' END AS name FROM p"
 )
 def s13_config_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _config(spark).withColumn("precedence", F.when(F.col("is_mod"), -F.col("phase")).otherwise(0))

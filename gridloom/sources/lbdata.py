@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,16 +106,27 @@ def filled(placement: DataFrame, phases: DataFrame) -> DataFrame:
     return spine.select(F.col("phase").alias("at"), F.col("source").alias("phase")).join(placement, "phase").select(F.col("at").alias("phase"), "object", "rank")
 
 
-def config(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Configuration lines `[%] phase Name k=v ...` to rows (is_mod, phase, name, params); comments and blanks go."""
+def _refused(wrong: Column, why: str, text: Column) -> Column:
+    """The text; where it is wrong, the query fails."""
+    return F.when(wrong, F.raise_error(F.concat(F.lit(f"{why}: "), text)).cast("string")).otherwise(text)
+
+
+def config(lines: DataFrame, column: str = "value", names: Iterable[str] | None = None) -> DataFrame:
+    """Configuration lines `[%] phase Name k=v ...` to rows (is_mod, phase, name, params); comments and blanks go. Any
+    other line fails the query, as do a second line for a phase and, where names are given, a name that is none of them."""
     text = F.trim(F.regexp_replace(column, "#.*$", ""))
-    head = r"^(%?)\s*(\d+)\s+(\S+)\s*(.*)$"
-    rows = lines.select(text.alias("t")).where(F.col("t").rlike(head))
+    head = r"^(%?)\s*(\d+)\s+([A-Za-z]\S*)((?:\s+[^\s=]+=\S*)*)$"
+    rows = lines.select(text.alias("t")).where("t != ''").select(_refused(~F.col("t").rlike(head), "not a configuration line", F.col("t")).alias("t"))
     rest = F.regexp_replace(F.trim(F.regexp_extract("t", head, 4)), r"\s+", " ")
-    return rows.select(
-        (F.regexp_extract("t", head, 1) == "%").alias("is_mod"), F.regexp_extract("t", head, 2).cast("long").alias("phase"), F.regexp_extract("t", head, 3).alias("name"),
+    name = F.regexp_extract("t", head, 3)
+    if names is not None:
+        name = _refused(~name.isin(list(names)), "unknown name", name)
+    rows = rows.select(
+        (F.regexp_extract("t", head, 1) == "%").alias("is_mod"), F.regexp_extract("t", head, 2).cast("long").alias("phase"), name.alias("name"),
         F.when(rest == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(rest, F.lit(" "), F.lit("="))).alias("params"),
     )
+    alone = F.count("*").over(Window.partitionBy("is_mod", "phase")) > 1
+    return rows.withColumn("name", _refused(alone, "two lines for one phase", F.col("name")))
 
 
 def configured(phases: DataFrame, entries: DataFrame) -> DataFrame:
@@ -126,9 +139,10 @@ def configured(phases: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def spec(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines `[%]phase [neg] [pos]` to rows (is_mod, phase, neg, pos)."""
-    form = r"^\s*(%?)\s*(\d+)(?:\s+(-?\d+))?(?:\s+(\d+))?"
-    rows = lines.where(F.col(column).rlike(form))
+    """Lines `[%]phase [neg] [pos]` to rows (is_mod, phase, neg, pos); comments and blanks go, other lines fail the query."""
+    form = r"^(%?)\s*(\d+)(?:\s+(-?\d+))?(?:\s+(\d+))?$"
+    text = F.trim(F.regexp_replace(column, "#.*$", ""))
+    rows = lines.select(text.alias(column)).where(F.col(column) != "").select(_refused(~F.col(column).rlike(form), "not a specification line", F.col(column)).alias(column))
     part = lambda i: F.regexp_extract(column, form, i)
     number = lambda i: F.coalesce(part(i).try_cast("long"), F.lit(0))
     return rows.select((part(1) == "%").alias("is_mod"), part(2).cast("long").alias("phase"), number(3).alias("neg"), number(4).alias("pos"))

@@ -223,3 +223,16 @@ def test_replay_of_sparse_objects(spark):
     placed = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "object long, rank long")
     got = rb.replay(rows, placed, lambda d: rb.rotate(d, 4), list(range(5)), keep=kept)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("lines", [["5 GreedyLB", "what is this"], ["5 GreedyLB min"], ["5 GreedyLB", "5 RotateLB"], ["5 OtherLB"]])
+def test_config_refuses(spark, lines):
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    with pytest.raises(Exception, match="not a configuration line|two lines|unknown name"):
+        lbdata.config(rows, names=["GreedyLB", "RotateLB"]).collect()
+
+
+def test_spec_refuses(spark):
+    assert lbdata.spec(spark.createDataFrame([("%5 # each fifth",), ("",)], "value string")).count() == 1
+    with pytest.raises(Exception, match="not a specification line"):
+        lbdata.spec(spark.createDataFrame([("5 5 -1",)], "value string")).collect()
