@@ -19,7 +19,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PLACED} SELECT phase, rank, object, object % 7 <> 0 AS migratable, round(load / 100.0, 2) AS load, round(load / 100.0 / 4, 4) AS first_subphase FROM placed")
 def s01_s02_s05_load_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads written as one JSON document a rank, parsed again and flattened."""
+    """Loads written as JSON documents by rank and range of phases, parsed again and flattened."""
     t = lbdata.tasks(lbdata.parse(_files(spark, sf_dir)))
     return t.select("phase", "rank", "object", "migratable", F.round("load", 2).alias("load"), F.round(F.col("subs")[0], 4).alias("first_subphase"))
 
@@ -114,6 +114,16 @@ def s21_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbdata.problems(lbdata.parse(_files(spark, sf_dir))).select("problem")
 
 
+@query(f"WITH {PLACED} SELECT phase, CASE WHEN object % 13 = 0 THEN 'no time' ELSE 'no node' END AS problem, count(*) AS n FROM placed WHERE object % 13 = 0 OR object % 17 = 0 GROUP BY 1, 2")
+def s21_validation_of_flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that lack some times and nodes."""
+    ident = lambda t: t["entity"]["id"]
+    flawed = lambda t: t.withField("time", F.when(ident(t) % 13 != 0, t["time"])).withField("node", F.when(ident(t) % 17 != 0, t["node"]))
+    files = lbdata.parse(_files(spark, sf_dir))
+    files = files.withColumn("phases", F.transform("phases", lambda p: p.withField("tasks", F.transform(p["tasks"], flawed))))
+    return lbdata.problems(files).groupBy("phase", "problem").agg(F.count("*").alias("n"))
+
+
 @query(
     f"WITH {PLACED} SELECT 'first' AS side, phase, object FROM placed WHERE object % 11 = 0 UNION ALL SELECT 'second', phase, object FROM placed WHERE object % 11 = 0"
 )

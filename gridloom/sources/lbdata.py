@@ -56,8 +56,13 @@ def entity(kind: Column, ident: Column, home: Column, migratable: Column, collec
     )
 
 
-def documents(rows: DataFrame) -> DataFrame:
-    """Rows (rank, json): one load data document for each rank, from rows (phase, rank, object, migratable, load, subs)."""
+#: Phases in one document.
+SPAN = 16
+
+
+def documents(rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """Rows (rank, part, json): a load data document for each rank and `span` phases, from rows (phase, rank, object,
+    migratable, load, subs), so that no row grows with the number of phases."""
     subs = F.transform("subs", lambda x, i: F.struct(i.cast("int").alias("id"), x.alias("time")))
     task = F.struct(
         entity(F.lit("object"), F.col("object"), F.col("rank"), F.col("migratable")).alias("entity"), F.col("rank").alias("node"), F.lit("cpu").alias("resource"),
@@ -65,10 +70,10 @@ def documents(rows: DataFrame) -> DataFrame:
     )
     phase = rows.withColumn("task", task).groupBy("rank", "phase").agg(F.array_sort(F.collect_list(F.struct("object", "task"))).alias("ts"))
     phase = phase.select("rank", F.struct(F.col("phase").alias("id"), F.transform("ts", lambda t: t["task"]).alias("tasks")).alias("p"))
-    whole = phase.groupBy("rank").agg(F.collect_list("p").alias("ps"))
+    whole = phase.groupBy("rank", F.floor(F.col("p.id") / span).alias("part")).agg(F.collect_list("p").alias("ps"))
     ordered = F.array_sort("ps", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     meta = F.struct(F.col("rank").alias("rank"), F.lit("LBDatafile").alias("type"))
-    return whole.select("rank", F.to_json(F.struct(F.lit("LBDatafile").alias("type"), meta.alias("metadata"), ordered.alias("phases"))).alias("json"))
+    return whole.select("rank", "part", F.to_json(F.struct(F.lit("LBDatafile").alias("type"), meta.alias("metadata"), ordered.alias("phases"))).alias("json"))
 
 
 def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -87,11 +92,14 @@ def problems(files: DataFrame) -> DataFrame:
     return t.select("phase", problem.alias("problem")).where("problem is not null")
 
 
-def differences(a: DataFrame, b: DataFrame, digits: int = 1) -> DataFrame:
-    """Tasks of one that the other lacks, loads compared at some digits: rows (side, phase, rank, object, load)."""
-    cut = lambda d: d.select("phase", "rank", "object", F.round("load", digits).alias("load"))
-    one, two = cut(a), cut(b)
-    return one.exceptAll(two).select(F.lit("first").alias("side"), "*").unionByName(two.exceptAll(one).select(F.lit("second").alias("side"), "*"))
+def differences(a: DataFrame, b: DataFrame, epsilon: float = 0.1) -> DataFrame:
+    """Tasks of one that the other lacks, or has with a load that differs by more than epsilon: rows (side, phase, rank,
+    object, load)."""
+    keys = ["phase", "rank", "object"]
+    both = a.select(*keys, F.col("load").alias("one")).join(b.select(*keys, F.col("load").alias("two")), keys, "full")
+    apart = both.where(F.col("one").isNull() | F.col("two").isNull() | (F.abs(F.col("one") - F.col("two")) > epsilon))
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("load")) for side, c in (("first", "one"), ("second", "two"))))
+    return apart.select(*keys, F.explode(sides).alias("s")).where("s.load is not null").select("s.side", *keys, "s.load")
 
 
 def filled(placement: DataFrame, phases: DataFrame) -> DataFrame:
