@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,42 @@ def test_pseudonyms_beside_other_numbers(spark):
         assert alone != value and got[i].text == before + alone + after
     two = pii.pseudonymise(spark.createDataFrame([(1, f"{grouped} {card} 10.0.0.1"), (2, "1 2 3 " * 4000)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
     assert (two[0].n_found, two[0].n_changed) == (3, 3) and "10.0.0.1" not in two[0].text
+
+
+def test_toxicity_equals_plain_chain(spark, monkeypatch):
+    """Folds, chain and probabilities, written out row by row."""
+    monkeypatch.setattr(toxicity, "MIN_CHI2", 3.0)
+    rng = random.Random(8)
+    texts, labels = [], []
+    for d in range(90):
+        words, low, toxic = [f"w{rng.randrange(30)}" for _ in range(12)], d % 3 == 0, d % 4 == 0
+        texts.append(" ".join(words + ["junk"] * low + ["vile"] * toxic))
+        labels.append((int(low), int(toxic)))
+    y = np.array(labels)
+    sets = [next(toxicity.features(pa.array([t]))) for t in texts]
+
+    def fitted(rows, earlier, column):
+        flat = np.concatenate([sets[i] for i in rows])
+        begin = np.concatenate([[0], np.cumsum([len(sets[i]) for i in rows])])
+        return toxicity.fit_linear(flat, begin, earlier, y[rows, column].astype(float))
+
+    def probability(model, features, earlier):
+        z = sum(model.weights[f] for f in features) + sum(e * w for e, w in zip(earlier, model.chain, strict=True)) + model.bias
+        return 1 / (1 + math.exp(-z))
+
+    everyone = list(range(90))
+    first = fitted(everyone, np.zeros((90, 0)), 0)
+    unseen = np.zeros((90, 1))
+    for f in range(toxicity.FOLDS):
+        model = fitted([i for i in everyone if i % toxicity.FOLDS != f], np.zeros((90 - len(everyone[f :: toxicity.FOLDS]), 0)), 0)
+        for i in everyone[f :: toxicity.FOLDS]:
+            unseen[i, 0] = probability(model, sets[i], [])
+    second = fitted(everyone, unseen, 1)
+    models = toxicity.fit_chain(texts, y)
+    for got, want in zip(models, (first, second), strict=True):
+        assert np.allclose(got.weights, want.weights) and np.allclose(got.chain, want.chain) and abs(got.bias - want.bias) < 1e-9
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.predict(rows, models, ["low", "toxic"]).collect():
+        p = probability(first, sets[r.doc_id], [])
+        q = probability(second, sets[r.doc_id], [p])
+        assert abs(r.p_low - p) < 1e-9 and abs(r.p_toxic - q) < 1e-9 and r.toxic_pred == (q >= 0.5)
