@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import sketch
-from gridloom.operators import comm, index as ix, reduce as rd, stats
+from gridloom.operators import comm, index as ix, models, reduce as rd, stats
 from gridloom.plans.registry import query
 from gridloom.plans.tables import CENTS, EDGES, LOADS, N_OBJECTS, PHASE, PLACED, PLACED_EDGES, PLACEMENT, RANK_LOADS, RANKS, block_sql, cents, edges, loads, phase, placed, placement, table
 
@@ -284,6 +284,30 @@ def a28_a29_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("phase", "statistic", *(_r(F.col(c), 4).alias(c) for c in ("max", "sum", "min", "avg", "var", "I")), "npr", "car")
 
 
+_ALL_STATS = f"""WITH {PLACED},
+spine AS (SELECT p.phase, o.object, o.rank, coalesce(l.load, 0) / 999983.0 AS load FROM (SELECT DISTINCT phase FROM placed) p CROSS JOIN (SELECT DISTINCT object, rank FROM placed) o LEFT JOIN placed l ON l.phase = p.phase AND l.object = o.object),
+known AS (SELECT * FROM (SELECT *, lag(load) OVER (PARTITION BY object ORDER BY phase) AS expected FROM spine) WHERE expected IS NOT NULL),
+byrank AS (SELECT phase, rank, sum(load) AS load, sum(expected) AS expected FROM known GROUP BY 1, 2),
+q AS (SELECT phase, 'Object_load' AS statistic, load AS v FROM known UNION ALL SELECT phase, 'Object_load_modelled', expected FROM known UNION ALL SELECT phase, 'Rank_load', load FROM byrank UNION ALL SELECT phase, 'Rank_load_modelled', expected FROM byrank),
+m AS (SELECT phase, statistic, avg(v) AS mean, var_pop(v) AS var FROM q GROUP BY 1, 2)
+SELECT q.phase, q.statistic, round(max(v), 4) AS max, round(sum(v), 3) AS sum, round(min(v), 4) AS min, round(avg(v), 4) AS avg, round(any_value(var), 4) AS var, round(sqrt(any_value(var)), 4) AS std,
+  round(sum((v - mean) ** 3) / count(*) / var_samp(v) ** 1.5, 4) AS skw, round(sum((v - mean) ** 4) / count(*) / var_samp(v) ** 2 - 3, 3) AS kur,
+  round(max(v) / any_value(mean) - 1, 4) AS I, count(*) FILTER (WHERE v <> 0) AS npr, count(*) AS car
+FROM q JOIN m ON m.phase = q.phase AND m.statistic = q.statistic GROUP BY 1, 2 HAVING any_value(var) > 1e-6 AND any_value(mean) > 0"""
+
+
+@query(_ALL_STATS)
+def a28_all_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded loads beside those that persistence expects, in all quantities; where a phase has any spread."""
+    raw = placed(spark, sf_dir).select("phase", "object", (F.col("load") / 999983.0).alias("load"))
+    both = models.RawData().apply(raw).join(models.NaivePersistence().apply(raw).withColumnRenamed("load", "modelled"), ["phase", "object"])
+    objects = both.join(placed(spark, sf_dir).select("object", "rank").distinct(), "object")
+    e = comm.placed(edges(spark, sf_dir), placement(spark, sf_dir))
+    got = stats.statistics(objects, e, RANKS).where(F.col("statistic").contains("load") & (F.col("var") > 1e-6) & (F.col("avg") > 0))
+    digits = {"sum": 3, "kur": 3}
+    return got.select("phase", "statistic", *(_r(F.col(c), digits.get(c, 4)).alias(c) for c in ("max", "sum", "min", "avg", "var", "std", "skw", "kur", "I")), "npr", "car")
+
+
 @query(f"WITH {EDGES} SELECT category, from_object, to_object, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(messages) AS BIGINT) AS messages FROM edges GROUP BY 1, 2, 3")
 def a30_comm_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comm.volume(edges(spark, sf_dir), ["category", "from_object", "to_object"])
