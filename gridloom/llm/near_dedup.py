@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +111,8 @@ def _near(bound: L.Bound, names: list[str]):
 
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # numbers of rows, which stay as they are once the table is written
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
             ids, rows, size = b.column("doc_id"), [], 0
             for r, s in row_sets(b, width):
@@ -118,8 +121,10 @@ def _sketcher(width: int):
                 size += min(len(s), SKETCH)
                 if size > _BATCH or r == b.num_rows - 1:
                     at, *numbers, bits, parts = zip(*rows, strict=True)
-                    cols = [ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in numbers), pa.array(bits, pa.binary()), _lists(parts)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "b0", "b1", "parity", "sketch"])
+                    own = pa.array(np.arange(number, number + len(at)))
+                    number += len(at)
+                    cols = [own, ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in numbers), pa.array(bits, pa.binary()), _lists(parts)]
+                    yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "key", "b0", "b1", "parity", "sketch"])
                     rows, size = [], 0
 
     return run
@@ -235,9 +240,9 @@ class _Linker:
     def __init__(self, docs: DataFrame, width: int, percent: int, scratch: Scratch):
         self.spark, self.scratch, self.width, self.bounds = docs.sparkSession, scratch, width, L.Bound(percent, SKETCH, _far(percent))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "doc_id long, n long, key long, b0 long, b1 long, parity binary, sketch array<bigint>"))
+        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "row long, doc_id long, n long, key long, b0 long, b1 long, parity binary, sketch array<bigint>"))
         self.classes = scratch.keep(
-            self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+            self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min("n").alias("n"))
         )
 
     def met(self) -> DataFrame:
@@ -249,11 +254,15 @@ class _Linker:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y, ...) that their parities allow, kept."""
-        bits = self.sets.where("n > 0").select("key", "n", "parity").dropDuplicates(["key"])
+        bits = self.of_classes("key", "n", "parity")
         side = lambda c: bits.select(F.col("key").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}p"))
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
         return self.scratch.keep(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_near(self.bounds, pairs.columns), schema))
 
+    def of_classes(self, *columns: str) -> DataFrame:
+        """Columns of one row of sets for each key."""
+        return self.sets.join(small(self.classes.select("row")), "row", "left_semi").select(*columns)
+
     def compared(self, pairs: DataFrame, sets: DataFrame, most: int, judge) -> DataFrame:
         """Rows (x, y, verdict) of the pairs that the judge leaves. sets: key, n, values. Pairs that hang together go to
         the same blocks, of about BLOCK values each; a set goes to a block once for all its pairs there."""
@@ -272,22 +281,22 @@ class _Linker:
         side = lambda c: small(place).select(F.col("node").alias(c), *([F.col("g")] if c == "x" else []), F.col("b").alias(f"{c}b"))
         dealt = pairs.join(side("x"), "x").join(side("y"), "y").select("g", F.least("xb", "yb").alias("lo"), F.greatest("xb", "yb").alias("hi"), "x", "y")
         dealt = keep(dealt)
-        ends = dealt.select("g", "lo", "hi", F.col("x").alias("key")).unionByName(dealt.select("g", "lo", "hi", F.col("y").alias("key"))).distinct()
-        members = ends.join(sets, "key").select(F.col("g").alias("mg"), F.col("lo").alias("mlo"), F.col("hi").alias("mhi"), "key", "n", "values")
+        ends = keep(dealt.select("g", "lo", "hi", F.col("x").alias("key")).unionByName(dealt.select("g", "lo", "hi", F.col("y").alias("key"))).distinct())
+        members = sets.join(small(ends), "key").select(F.col("g").alias("mg"), F.col("lo").alias("mlo"), F.col("hi").alias("mhi"), "key", "n", "values")
         out = keep(dealt.groupBy("g", "lo", "hi").cogroup(members.groupBy("mg", "mlo", "mhi")).applyInArrow(_comparer(judge), "x long, y long, verdict int"))
-        self.scratch.drop(parts, place, dealt)
+        self.scratch.drop(parts, place, dealt, ends)
         return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (x, y) of set keys that are links."""
         keep, bounds = self.scratch.keep, self.bounds
         pairs = keep(pairs)
-        reps = keep(self.classes.join(small(self.ends(pairs)), "key").select("key", F.col("rep").alias("doc_id")))
+        reps = keep(self.classes.join(small(self.ends(pairs)), "key").select("key", "row", F.col("rep").alias("doc_id")))
         fields = "key long, n long, values array<bigint>"
-        sets = self.sets.join(small(reps), ["key", "doc_id"]).select("key", "n", F.col("sketch").alias("values")).dropDuplicates(["key"])
+        sets = self.sets.join(small(reps.select("row")), "row", "left_semi").select("key", "n", F.col("sketch").alias("values"))
         judged = self.compared(pairs, sets, SKETCH, _judge_sketches(bounds))
         open_ = keep(judged.where("verdict = 0").select("x", "y"))
-        some = keep(reps.join(small(self.ends(open_)), "key"))
+        some = keep(reps.join(small(self.ends(open_)), "key").select("key", "doc_id"))
         texts = self.docs.where("doc_id is not null").join(small(some), "doc_id").select("key", "text")
         whole = texts.mapInArrow(_whole_sets(self.width), fields).dropDuplicates(["key"])
         links = self.compared(open_, whole, 1 << 40, _judge_sets(bounds))
