@@ -141,7 +141,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, scratch: Scratch
     embedding) but itself by cosine, nearest first, ties to the smaller vec_id; all, if there are fewer. queries holds
     vec_ids of vectors. A row whose vec_id or embedding is null, or whose embedding is empty, all zero or holds null or
     non-finite numbers, takes no part, nor does one of another length than the most frequent; if a vec_id has several
-    rows, that of the least embedding counts. Other columns are ignored."""
+    rows, that of the least embedding counts; equal vectors are all found, by vec_id. Other columns are ignored."""
     spark: SparkSession = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))

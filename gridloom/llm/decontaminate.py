@@ -235,8 +235,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, column
 
     Words are runs of letters a-z, digits and characters beyond ASCII, after lower-casing A-Z. benchmark has item_id and
     text; items with a null of either, or without words, take no part; rows of one item_id count as one item. A null or
-    empty text has no words. Columns of docs named n_words, items or spans are replaced; others are kept. Empty tables
-    give no spans."""
+    empty text has no words; texts of any length are scanned whole. Columns of docs named n_words, items or spans are
+    replaced; others, and repeated rows, are kept. Empty tables give no spans."""
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontaminate")
     fields = [f for f in docs.schema if f.name not in ("n_words", "items", "spans")]

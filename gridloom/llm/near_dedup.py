@@ -354,7 +354,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
 
     A null, empty or blank text has an empty set and is linked with nothing. Equal sets are linked. Rows that share a
     doc_id are one document: they get one component. A null doc_id takes no part and returns a null component_id, kept.
-    Other columns of docs are ignored. An empty table gives an empty one."""
+    Texts of any length are read whole, about half a megabyte or one text at a time. Other columns of docs are ignored. An
+    empty table gives an empty one."""
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark, "near_dedup")
     linker = _Linker(docs, width, percent, scratch)

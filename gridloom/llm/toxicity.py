@@ -127,14 +127,15 @@ def sample(docs: DataFrame, labels: DataFrame, categories: list[str], most: int
         known &= F.col(c).isNotNull()
     picked = labels.where(known & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = picked.select(F.col("doc_id").alias("__id"), *[F.col(c).cast("int").alias(f"__{c}") for c in categories])
-    rows = docs.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
     rows = rows.select("__id", F.col("text").cast("string").alias("text"), *[f"__{c}" for c in categories]).dropDuplicates(["__id"]).toPandas().sort_values("__id")
     return rows.text.tolist(), (rows[[f"__{c}" for c in categories]].to_numpy() > 0).astype(int)
 
 
 def predict(docs: DataFrame, models: list[Linear], categories: list[str], threshold: float = 0.5) -> DataFrame:
     """The rows of docs with a column p_<category> for each and `toxic_pred` (the last one's probability is at least the
-    threshold). A null or empty text has probability 0 in all. Columns of these names are replaced, others kept."""
+    threshold). A null or empty text has probability 0 in all; texts of any length are read whole. Columns of these names
+    are replaced, others and repeated rows kept."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(models)
