@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import queries_collections, queries_models, queries_reductions, queries_sources  # noqa: F401
+from gridloom.plans import queries_collections, queries_files, queries_models, queries_reductions, queries_sources  # noqa: F401
 from gridloom.plans.registry import QUERIES, SQL, Query
 
 

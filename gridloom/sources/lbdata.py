@@ -77,7 +77,8 @@ def documents(rows: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
-    documents(rows).select("json").write.mode("overwrite").option("compression", compression).text(path)
+    """One file for each document."""
+    documents(rows).select("json").write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", 1).text(path)
 
 
 def problems(files: DataFrame) -> DataFrame:
