@@ -9,7 +9,7 @@ about n log n steps, so one of a million letters is no different from many short
 Many pre-tokens are merged in one run: they lie side by side in one list whose pairs never cross their edges, and a
 bucket's positions are taken in turn, so that the queue's steps are shared by all of them.
 
-Ids of distinct pre-tokens, and of stretches between spaces, are remembered by each Python worker up to MEMORY bytes."""
+Ids of distinct pre-tokens, and of stretches between spaces, are remembered by each task up to MEMORY bytes."""
 
 from __future__ import annotations
 
@@ -25,8 +25,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.session import ship
+from gridloom.llm.workers import tidy
 
-#: Bytes, about, of a generation of a worker's memory of pre-tokens, and of stretches; there are two generations of each.
+#: Bytes, about, of a generation of a task's memory of pre-tokens, and of stretches; there are two generations of each.
 MEMORY = 24 << 20
 #: Longer ones are not remembered; bytes an entry takes besides its key's and value's own.
 LONG, _ENTRY = 256, 180
@@ -193,6 +194,10 @@ class ByteBPE:
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.pieces, self.stretches = Memory(), Memory()
 
+    def clear(self) -> None:
+        """A task's memory is not kept for the next, which would mostly find other pre-tokens in it."""
+        self.pieces, self.stretches = Memory(), Memory()
+
     def _merged(self, pieces: list[str]) -> None:
         """Remembers the ids of pre-tokens, some 8 KB of them a run."""
         run, size = [], 0
@@ -282,9 +287,10 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, de
                 if decoded:
                     cols.append(pa.array(list(map(coder.decode, ids)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names)
+        coder.clear()
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str = r"\p{L}+") -> DataFrame:
@@ -303,7 +309,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str = r"\p{L}+") -> DataFr
                 out = [None if x is None else coder.decode(x) for x in b.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def roundtrip_digests(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False) -> DataFrame:

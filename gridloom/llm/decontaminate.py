@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from gridloom.llm import words as W
 from gridloom.llm.scratch import Scratch
+from gridloom.llm.workers import tidy
 
 #: Words of items in one automaton (about 100 MB of Python objects at most).
 BLOCK = 200_000
@@ -247,7 +248,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, column
     )
     for k, automaton in enumerate(item_blocks(benchmark, window)):
         out = scratch.keep(out) if k else out
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), schema.names, column), schema)
+        out = out.mapInArrow(tidy(_scanner(spark.sparkContext.broadcast(automaton), schema.names, column)), schema)
     return out
 
 
@@ -292,7 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
         if bad.isEmpty():
             return clean.withColumnsRenamed(back)
         schema = T.StructType([f for f in bad.schema if f.name != "spans"])
-        todo = scratch.keep(bad.mapInArrow(_cutter(docs.columns), schema))
+        todo = scratch.keep(bad.mapInArrow(tidy(_cutter(docs.columns)), schema))
 
 
 def items_digest(ids: list[str]) -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.session import ship
+from gridloom.llm.workers import tidy
 
 DIM = 1024
 NONE = "und"
@@ -116,7 +117,7 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     ship(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").selectExpr("cast(text as string) text", "cast(lang as string) lang")
     schema = "lang string, profile array<bigint>"
-    lanes = rows.mapInArrow(_learn, schema).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
+    lanes = rows.mapInArrow(tidy(_learn), schema).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
     summed = lanes.groupBy("lang", "lane").applyInArrow(_add_profiles, schema).groupBy("lang").applyInArrow(_add_profiles, schema)
     found = {r.lang: np.array(r.profile, dtype=np.float64) for r in summed.toLocalIterator()}
     return {k: v for k, v in sorted(found.items()) if v.any()}
@@ -198,7 +199,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
                     [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], [*b.schema.names, "lang_pred", "score"]
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import lists as L
 from gridloom.llm import words as W
 from gridloom.llm.scratch import Scratch, small
+from gridloom.llm.workers import tidy
 
 _LINES = 1 << 17
 #: Lines whose first copy a task remembers.
@@ -138,15 +139,15 @@ class _Matcher:
         self.keep, self.scratch, self.percent, self.bound = scratch.keep, scratch, percent, L.Bound(percent)
         docs = docs.where("doc_id is not null and text is not null").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
         self.docs = docs.withColumn("th", F.xxhash64("text"))
-        keyed = self.keep(self.docs.mapInArrow(_line_keys, _KEYED))
+        keyed = self.keep(self.docs.mapInArrow(tidy(_line_keys), _KEYED))
         self.lines = keyed.where("part is null").select("doc_id", "th", "line", "key")
         self.counts = keyed.where("part is not null")
 
     def met(self) -> DataFrame:
         codes = self.docs.sparkSession.sparkContext.broadcast(L.rarity(self.counts))
-        rows = self.docs.select("doc_id", "text").mapInArrow(_entries(codes, self.bound), ", ".join(f"{c} long" for c in [*L.ENTRY, *_PLACE]))
+        rows = self.docs.select("doc_id", "text").mapInArrow(tidy(_entries(codes, self.bound)), ", ".join(f"{c} long" for c in [*L.ENTRY, *_PLACE]))
         rows = rows.repartition("value").sortWithinPartitions("value")
-        return self.keep(rows.mapInArrow(L.meetings(self.bound, _PLACE), L.schema(_PLACE)))
+        return self.keep(rows.mapInArrow(tidy(L.meetings(self.bound, _PLACE)), L.schema(_PLACE)))
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (key, doc_id, line, pkey, pdoc_id, pline) that are similar: key, and the earliest partner's place."""
@@ -156,7 +157,7 @@ class _Matcher:
         wanted = self.keep(ends.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")))
         # the arrays hold as many numbers as ends has rows
         texts = self.docs.join(small(wanted, ends.count()), "doc_id").select("text", "lines")
-        sets = texts.mapInArrow(_wanted_sets, "key long, tokens array<bigint>").join(small(ends.select("key")), "key", "left_semi").dropDuplicates(["key"])
+        sets = texts.mapInArrow(tidy(_wanted_sets), "key long, tokens array<bigint>").join(small(ends.select("key")), "key", "left_semi").dropDuplicates(["key"])
         sets = self.keep(sets)
         side = lambda c: sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}s"))
         both = pairs.select("key", "pkey", "pat").join(side("key"), "key").join(side("pkey"), "pkey")
@@ -241,4 +242,4 @@ def dedup_lines(docs: DataFrame, percent: int = 80, scratch: Scratch | None = No
     mine = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th"))
     joined = docs.select(*(F.col(f"`{c}`") for c in rest)).join(cut, mine, "left").drop("__doc", "__th")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__removed"] + ["n_lines long", "n_kept long"])
-    return joined.mapInArrow(_without([*rest, "n_lines", "n_kept"]), schema)
+    return joined.mapInArrow(tidy(_without([*rest, "n_lines", "n_kept"])), schema)

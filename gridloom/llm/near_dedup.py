@@ -34,6 +34,7 @@ from gridloom.llm import lists as L
 from gridloom.llm import words as W
 from gridloom.llm.components import components
 from gridloom.llm.scratch import Scratch, small
+from gridloom.llm.workers import tidy
 
 SKETCH = 1024
 SIGMAS = 5.0
@@ -240,24 +241,24 @@ class _Linker:
     def __init__(self, docs: DataFrame, width: int, percent: int, scratch: Scratch):
         self.spark, self.scratch, self.width, self.bounds = docs.sparkSession, scratch, width, L.Bound(percent, SKETCH, _far(percent))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sets = scratch.keep(self.docs.mapInArrow(_sketcher(width), "row long, doc_id long, n long, key long, b0 long, b1 long, parity binary, sketch array<bigint>"))
+        self.sets = scratch.keep(self.docs.mapInArrow(tidy(_sketcher(width)), "row long, doc_id long, n long, key long, b0 long, b1 long, parity binary, sketch array<bigint>"))
         self.classes = scratch.keep(
             self.sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.min("n").alias("n"))
         )
 
     def met(self) -> DataFrame:
         named = self.sets.where("doc_id is not null and n > 0")
-        codes = self.spark.sparkContext.broadcast(L.rarity(named.select("key", "sketch").mapInArrow(_count_values, "part int, counts binary")))
-        rows = named.select("n", "key", "b0", "b1", "sketch").mapInArrow(_entries(codes, self.bounds), ", ".join(f"{c} long" for c in L.ENTRY))
+        codes = self.spark.sparkContext.broadcast(L.rarity(named.select("key", "sketch").mapInArrow(tidy(_count_values), "part int, counts binary")))
+        rows = named.select("n", "key", "b0", "b1", "sketch").mapInArrow(tidy(_entries(codes, self.bounds)), ", ".join(f"{c} long" for c in L.ENTRY))
         rows = rows.repartition("value").sortWithinPartitions("value")
-        return self.scratch.keep(rows.mapInArrow(L.meetings(self.bounds, []), L.schema([])))
+        return self.scratch.keep(rows.mapInArrow(tidy(L.meetings(self.bounds, [])), L.schema([])))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y, ...) that their parities allow, kept."""
         bits = self.of_classes("key", "n", "parity")
         side = lambda c: bits.select(F.col("key").alias(c), F.col("n").alias(f"{c}n"), F.col("parity").alias(f"{c}p"))
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-        return self.scratch.keep(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_near(self.bounds, pairs.columns), schema))
+        return self.scratch.keep(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(tidy(_near(self.bounds, pairs.columns)), schema))
 
     def of_classes(self, *columns: str) -> DataFrame:
         """Columns of one row of sets for each key."""
@@ -298,7 +299,7 @@ class _Linker:
         open_ = keep(judged.where("verdict = 0").select("x", "y"))
         some = keep(reps.join(small(self.ends(open_)), "key").select("key", "doc_id"))
         texts = self.docs.where("doc_id is not null").join(small(some), "doc_id").select("key", "text")
-        whole = texts.mapInArrow(_whole_sets(self.width), fields).dropDuplicates(["key"])
+        whole = texts.mapInArrow(tidy(_whole_sets(self.width)), fields).dropDuplicates(["key"])
         links = self.compared(open_, whole, 1 << 40, _judge_sets(bounds))
         out = keep(judged.where("verdict = 1").select("x", "y").unionByName(links.select("x", "y")))
         self.scratch.drop(pairs, reps, judged, open_, some, links)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
 from gridloom.llm.scratch import Scratch, small
+from gridloom.llm.workers import tidy
 
 ORDER = 5
 QUANTILE = 0.99
@@ -105,7 +106,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 def train(trusted: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (k, g, p, w): for byte strings g of k bytes, as numbers, the probability of the last byte after the others
     (null if it was not seen so) and the weight of shorter n-grams after g (null if g is not a context)."""
-    counts = scratch.keep(trusted.select("text").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))
+    counts = scratch.keep(trusted.select("text").mapInArrow(tidy(_count), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))
     tables = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         shorter = tables[k + 1].select(F.col("g").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("g"))
@@ -215,7 +216,7 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
             for b in batches:
                 yield pa.RecordBatch.from_arrays(scored(b, _loaded[name]), names)
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     block = F.pmod(F.xxhash64(*docs.columns), F.lit(total // BLOCK + 1)).alias("block")
     dealt = docs.select("*", block)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.byte_bpe import ByteBPE, Memory, read_ranks, text_groups
 from gridloom.session import ship
+from gridloom.llm.workers import tidy
 
 OFFSET = 2.7
 #: Nodes that a worker's trie may have before it is begun anew.
@@ -111,7 +112,7 @@ _counters: dict[tuple, Counter] = {}
 def token_counts(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens. ranks and pattern as for byte_bpe.encode, spaced for patterns
     as in ByteBPE. Null and empty texts have 0 tokens; texts and pre-tokens of any length are counted whole; repeated rows
-    and null doc_ids are kept; other columns are ignored. Memory of a worker is bounded by NODES and byte_bpe.MEMORY."""
+    and null doc_ids are kept; other columns are ignored. Memory of a task is bounded by NODES and byte_bpe.MEMORY."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(ranks)
@@ -125,5 +126,6 @@ def token_counts(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = Fal
         for b in batches:
             n = [x for _, texts in text_groups(b.column("text")) for x in counter.count_all(texts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+        _counters.clear()
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, n_tokens long")

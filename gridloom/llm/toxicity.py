@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
 from gridloom.session import ship
+from gridloom.llm.workers import tidy
 
 SAMPLE = 4_000
 #: Words, and their first so many bytes, are hashed to 2**FEATURE_BITS features.
@@ -156,7 +157,7 @@ def predict(docs: DataFrame, models: list[Linear], categories: list[str], thresh
             cols = [pa.array(earlier[:, k]) for k in range(earlier.shape[1])]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols, pa.array(earlier[:, -1] >= threshold)], [*b.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], threshold: float = 0.5) -> DataFrame:
