@@ -24,8 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.session import ship
-from gridloom.llm.workers import tidy
+from gridloom.llm.workers import prepare, tidy
 
 #: Bytes, about, of a generation of a task's memory of pre-tokens, and of stretches; there are two generations of each.
 MEMORY = 24 << 20
@@ -274,7 +273,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, de
     Null and empty texts give no ids. A text or pre-token of any length is encoded whole. Row order, repeated rows and
     null doc_ids are kept; other columns are ignored."""
     spark: SparkSession = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(ranks)
     names = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
@@ -297,7 +296,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str = r"\p{L}+") -> DataFr
     """Per row of encoded (doc_id, ids, ...): its columns and decoded (bytes). Null ids give null; an id that the
     vocabulary lacks raises KeyError."""
     spark: SparkSession = encoded.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(ranks)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"
 

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import ship
-from gridloom.llm.workers import tidy
+from gridloom.llm.workers import prepare, tidy
 
 DIM = 1024
 NONE = "und"
@@ -114,7 +113,7 @@ def _add_profiles(table: pa.Table) -> pa.Table:
 def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     """A vector for each lang of the rows (text, lang) that have both: DIM numbers a language on the driver, summed
     from one partial vector a task and language."""
-    ship(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").selectExpr("cast(text as string) text", "cast(lang as string) lang")
     schema = "lang string, profile array<bigint>"
     lanes = rows.mapInArrow(tidy(_learn), schema).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
@@ -183,7 +182,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     `und` and 0, as all do if there is no prototype; of equal cosines the language first in order wins. Columns of docs
     of these two names are replaced; others, and repeated rows, are kept. Texts of any length are bundled whole."""
     spark: SparkSession = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(profiles)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(*(F.col(f"`{c}`") for c in rest))

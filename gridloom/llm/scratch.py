@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import shared_dir, ship
+from gridloom.llm.workers import prepare
+from gridloom.session import shared_dir
 
 #: Rows of a few longs that one side of a join may have to be broadcast (some tens of MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -18,7 +19,7 @@ class Scratch:
     unfinished part and not what came before it."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0

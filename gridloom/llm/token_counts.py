@@ -20,8 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.byte_bpe import ByteBPE, Memory, read_ranks, text_groups
-from gridloom.session import ship
-from gridloom.llm.workers import tidy
+from gridloom.llm.workers import prepare, tidy
 
 OFFSET = 2.7
 #: Nodes that a worker's trie may have before it is begun anew.
@@ -114,7 +113,7 @@ def token_counts(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = Fal
     as in ByteBPE. Null and empty texts have 0 tokens; texts and pre-tokens of any length are counted whole; repeated rows
     and null doc_ids are kept; other columns are ignored. Memory of a task is bounded by NODES and byte_bpe.MEMORY."""
     spark: SparkSession = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import words as W
-from gridloom.session import ship
-from gridloom.llm.workers import tidy
+from gridloom.llm.workers import prepare, tidy
 
 SAMPLE = 4_000
 #: Words, and their first so many bytes, are hashed to 2**FEATURE_BITS features.
@@ -138,7 +137,7 @@ def predict(docs: DataFrame, models: list[Linear], categories: list[str], thresh
     threshold). A null or empty text has probability 0 in all; texts of any length are read whole. Columns of these names
     are replaced, others and repeated rows kept."""
     spark: SparkSession = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(models)
     new = [*(f"p_{c}" for c in categories), "toxic_pred"]
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))

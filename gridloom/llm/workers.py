@@ -12,9 +12,27 @@ from functools import wraps
 
 import pyarrow as pa
 
+from pyspark.sql import SparkSession
+
+from gridloom.session import ship
+
+#: Bytes of a batch of rows on its way to a worker or back: rows here are whole texts, and the JVM and the worker hold a
+#: batch each, several times over.
+BATCH_BYTES = 8 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the operators need of a session: this package on the executors, and batches of a bounded size. A smaller
+    bound of the session's own stays."""
+    ship(spark)
+    now = spark.conf.get(_SETTING, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
