@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.workers import prepare, tidy
 
 #: Bytes, about, of a generation of a task's memory of pre-tokens, and of stretches; there are two generations of each.
-MEMORY = 24 << 20
+MEMORY = 16 << 20
 #: Longer ones are not remembered; bytes an entry takes besides its key's and value's own.
 LONG, _ENTRY = 256, 180
 #: Texts, and their characters, that are encoded together.

@@ -18,7 +18,7 @@ from gridloom.session import ship
 
 #: Bytes of a batch of rows on its way to a worker or back: rows here are whole texts, and the JVM and the worker hold a
 #: batch each, several times over.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
