@@ -31,18 +31,23 @@ def parse(texts: DataFrame, column: str = "json") -> DataFrame:
     return texts.select(F.from_json(column, SCHEMA).alias("d")).select("d.*")
 
 
+def _each(files: DataFrame, entries: str) -> DataFrame:
+    """Rows (phase, t): the entries of each phase. Only the phase's id goes with them: the phase itself holds all of them."""
+    phases = files.select(F.explode("phases").alias("p")).select(F.col("p.id").alias("phase"), F.col(f"p.{entries}").alias("all"))
+    return phases.select("phase", F.explode("all").alias("t"))
+
+
 def tasks(files: DataFrame) -> DataFrame:
     """Rows (phase, rank, object, migratable, load, subs): only entities of type object; subphases in order of id."""
-    t = files.select(F.explode("phases").alias("p")).select(F.col("p.id").alias("phase"), F.explode("p.tasks").alias("t")).where("t.entity.type = 'object'")
+    t = _each(files, "tasks").where("t.entity.type = 'object'")
     subs = F.transform(F.array_sort("t.subphases"), lambda s: s["time"])
     return t.select("phase", F.col("t.node").alias("rank"), F.coalesce("t.entity.id", "t.entity.seq_id").alias("object"), F.col("t.entity.migratable").alias("migratable"), F.col("t.time").alias("load"), subs.alias("subs"))
 
 
 def communications(files: DataFrame) -> DataFrame:
     """Rows (phase, category, from_object, to_object, bytes, messages)."""
-    e = files.select(F.explode("phases").alias("p")).select(F.col("p.id").alias("phase"), F.explode("p.communications").alias("c"))
-    end = lambda s: F.coalesce(f"c.{s}.id", f"c.{s}.seq_id").alias(f"{s}_object")
-    return e.select("phase", F.col("c.type").alias("category"), end("from"), end("to"), "c.bytes", "c.messages")
+    end = lambda s: F.coalesce(f"t.{s}.id", f"t.{s}.seq_id").alias(f"{s}_object")
+    return _each(files, "communications").select("phase", F.col("t.type").alias("category"), end("from"), end("to"), "t.bytes", "t.messages")
 
 
 def entity(kind: Column, ident: Column, home: Column, migratable: Column, collection: Column | None = None, index: Column | None = None, objgroup: Column | None = None) -> Column:
@@ -56,24 +61,27 @@ def entity(kind: Column, ident: Column, home: Column, migratable: Column, collec
     )
 
 
-#: Phases in one document.
-SPAN = 16
+#: Phases in one document, and tasks at most.
+SPAN, TASKS = 16, 4096
 
 
-def documents(rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows (rank, part, json): a load data document for each rank and `span` phases, from rows (phase, rank, object,
-    migratable, load, subs), so that no row grows with the number of phases."""
+def documents(rows: DataFrame, span: int = SPAN, tasks: int = TASKS) -> DataFrame:
+    """Rows (rank, part, slice, json): load data documents for each rank and `span` phases, from rows (phase, rank, object,
+    migratable, load, subs). Each takes `tasks / span` of a phase's objects, in order, so that no row grows with the number
+    of phases or objects; readers add up the tasks of a phase over documents."""
     subs = F.transform("subs", lambda x, i: F.struct(i.cast("int").alias("id"), x.alias("time")))
     task = F.struct(
         entity(F.lit("object"), F.col("object"), F.col("rank"), F.col("migratable")).alias("entity"), F.col("rank").alias("node"), F.lit("cpu").alias("resource"),
         F.col("load").alias("time"), subs.alias("subphases"),
     )
-    phase = rows.withColumn("task", task).groupBy("rank", "phase").agg(F.array_sort(F.collect_list(F.struct("object", "task"))).alias("ts"))
-    phase = phase.select("rank", F.struct(F.col("phase").alias("id"), F.transform("ts", lambda t: t["task"]).alias("tasks")).alias("p"))
-    whole = phase.groupBy("rank", F.floor(F.col("p.id") / span).alias("part")).agg(F.collect_list("p").alias("ps"))
+    place = F.row_number().over(Window.partitionBy("rank", "phase").orderBy("object")) - 1
+    cut = rows.withColumn("slice", F.floor(place / max(1, tasks // span))).withColumn("task", task)
+    phase = cut.groupBy("rank", "phase", "slice").agg(F.array_sort(F.collect_list(F.struct("object", "task"))).alias("ts"))
+    phase = phase.select("rank", "slice", F.struct(F.col("phase").alias("id"), F.transform("ts", lambda t: t["task"]).alias("tasks")).alias("p"))
+    whole = phase.groupBy("rank", F.floor(F.col("p.id") / span).alias("part"), "slice").agg(F.collect_list("p").alias("ps"))
     ordered = F.array_sort("ps", lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     meta = F.struct(F.col("rank").alias("rank"), F.lit("LBDatafile").alias("type"))
-    return whole.select("rank", "part", F.to_json(F.struct(F.lit("LBDatafile").alias("type"), meta.alias("metadata"), ordered.alias("phases"))).alias("json"))
+    return whole.select("rank", "part", "slice", F.to_json(F.struct(F.lit("LBDatafile").alias("type"), meta.alias("metadata"), ordered.alias("phases"))).alias("json"))
 
 
 def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -83,7 +91,7 @@ def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
 
 def problems(files: DataFrame) -> DataFrame:
     """Tasks that break the format's rules: rows (phase, problem)."""
-    t = files.select(F.explode("phases").alias("p")).select(F.col("p.id").alias("phase"), F.explode("p.tasks").alias("t"))
+    t = _each(files, "tasks")
     e = "t.entity."
     problem = (
         F.when(F.col(e + "id").isNull() & F.col(e + "seq_id").isNull(), "neither id nor seq_id")

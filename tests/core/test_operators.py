@@ -1,6 +1,7 @@
 """Golden values, files, streams, plans and errors."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,19 @@ def test_load_data_files(spark, tmp_path):
     assert [tuple(r) for r in lbdata.communications(files).collect()] == [(0, "SendRecv", 1, 2, 2.0, 3)]
 
 
+def test_load_data_of_many_objects(spark):
+    """A large phase is cut into several documents, and reading them back copies no phase to each of its tasks."""
+    rows = spark.range(1000).selectExpr("id % 2 AS phase", "0L AS rank", "id AS object", "true AS migratable", "id * 1.0D AS load", "array(id * 1.0D) AS subs")
+    documents = lbdata.documents(rows)
+    sizes = [r[0] for r in lbdata.parse(documents).selectExpr("aggregate(phases, 0, (a, p) -> a + size(p.tasks))").collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 512 and documents.count() == 2
+    back = lbdata.tasks(lbdata.parse(documents))
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.select("phase", "rank", "object", "migratable", "load", "subs").collect()))
+    for got in (back, lbdata.problems(lbdata.parse(documents)), lbdata.communications(lbdata.parse(documents))):
+        kept = re.findall(r"Generate explode\(\S+\), \[(.*?)\]", got._jdf.queryExecution().executedPlan().toString())
+        assert kept and not [k for k in kept if k.startswith("p#")]
+
+
 def test_restart_gap_fails(spark):
     placement = spark.createDataFrame([(0, 1, 0)], "phase long, object long, rank long")
     spine = spark.createDataFrame([(0, False), (1, False)], "phase long, identical boolean")
