@@ -5,11 +5,15 @@ position."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The built-in operators.
 OPERATORS: dict[str, Callable[[Column], Column]] = {
@@ -51,10 +55,29 @@ def reduce_vector(df: DataFrame, op: str, value: str, by: Iterable[str], fixed:
 
 
 def reduce_user(df: DataFrame, value: str, combine: Callable[[pd.Series], float], by: Iterable[str], schema: str) -> DataFrame:
-    """A user's operator as a grouped pandas aggregate; combine gets all values of a group."""
+    """A user's operator as a grouped pandas aggregate; combine gets all values of a group. Groups of numbers, booleans or
+    strings go to Python many in a batch, as an exchange for each takes longer than what is done with it."""
     by = list(by)
-    agg = F.pandas_udf(combine, schema)
-    return df.groupBy(*by).agg(agg(F.col(value)).alias(value))
+    if not by or not isinstance(df.schema[value].dataType, (T.NumericType, T.BooleanType, T.StringType)):
+        agg = F.pandas_udf(combine, schema)
+        return df.groupBy(*by).agg(agg(F.col(value)).alias(value))
+    # in structs, as collect_list leaves nulls out
+    groups = df.groupBy(*by).agg(F.collect_list(F.struct(F.col(value).alias("x"))).alias(value))
+    out = T.StructType([*groups.schema.fields[:-1], T.StructField(value, T._parse_datatype_string(schema))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(out.fields[-1].dataType)
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            values, ends = lists.values.field("x"), lists.offsets.to_pylist()
+            # the type of a group's series is up to its own nulls
+            whole = None if values.null_count else values.to_pandas().to_numpy()
+            part = lambda a, b: values.slice(a, b - a).to_pandas() if whole is None else pd.Series(whole[a:b])
+            found = pd.Series([combine(part(a, b)) for a, b in pairwise(ends)], dtype=object)
+            column = pa.Array.from_pandas(found, mask=found.isnull().to_numpy(), type=kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=out.names)
+
+    return groups.mapInArrow(each, out)
 
 
 def reduce_pairwise(df: DataFrame, value: str, start: Column, step: Callable[[Column, Column], Column], by: Iterable[str], order: str) -> DataFrame:

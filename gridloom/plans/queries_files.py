@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def a14_user_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's own aggregate; groups are the few lines of an order."""
 
     def product(v: pd.Series) -> float:
-        return float(v.prod())
+        return float(np.nanprod(v.to_numpy()))
 
     product.__annotations__ = {"v": pd.Series, "return": float}
     return rd.reduce_user(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("double").alias("v")), "v", product, ["l_orderkey"], "double")

@@ -46,6 +46,23 @@ def test_linear_index_of_keys_beyond_the_range(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(7, 600_007, 205), (20_001, 80_001, 500_028)]
 
 
+def test_user_operator_takes_groups_in_batches(spark):
+    """Each group whole, with its own type, and null for NaN; no exchange with Python for each group."""
+    rows = [(1, 2), (1, None), (None, 3), (None, 4), (2, None), (3, 1 << 60), *((k, 1) for k in range(4, 30_000))]
+    df = spark.createDataFrame(rows, "g long, v long")
+
+    def seen(v: "pd.Series") -> float:
+        return float("nan") if v.isnull().all() else float(v.sum() + 100 * len(v) + v.index[0])
+
+    import pandas as pd
+
+    seen.__annotations__ = {"v": pd.Series, "return": float}
+    got = rd.reduce_user(df, "v", seen, ["g"], "double")
+    found = {r.g: r.v for r in got.collect()}
+    assert {k: found[k] for k in (1, None, 2, 3, 4)} == {1: 202.0, None: 207.0, 2: None, 3: float(100 + (1 << 60)), 4: 101.0} and len(found) == 30_000
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_block_map_covers_all_ranks(spark):
     for n, p in ((256, 16), (10, 3), (2, 4), (7, 7)):
         got = [r[0] for r in spark.range(n).orderBy("id").select(ix.block_map(F.col("id"), n, p)).collect()]
