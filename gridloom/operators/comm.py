@@ -44,12 +44,13 @@ def placed(edges: DataFrame, placement: DataFrame) -> DataFrame:
     return edges.join(a, "from_object").join(b, "to_object")
 
 
-def symmetrised(edges: DataFrame) -> DataFrame:
+def symmetrised(edges: DataFrame, once: bool = False) -> DataFrame:
     """Every rank's edges: those it recorded, and for off-rank SendRecv edges those that the other end's rank recorded.
-    An edge that a rank already has is kept once."""
-    own = edges.withColumn("rank", F.col("from_rank"))
-    far = edges.where((F.col("category") == "SendRecv") & (F.col("from_rank") != F.col("to_rank"))).withColumn("rank", F.col("to_rank"))
-    return own.unionByName(far).dropDuplicates(["rank", "category", "from_object", "to_object"])
+    An edge that a rank already has is kept once; with once, edges have each category and pair of objects on one row."""
+    far = (F.col("category") == "SendRecv") & (F.col("from_rank") != F.col("to_rank"))
+    ranks = F.when(far, F.array("from_rank", "to_rank")).otherwise(F.array("from_rank"))
+    every = edges.withColumn("rank", F.explode(ranks))
+    return every if once else every.dropDuplicates(["rank", "category", "from_object", "to_object"])
 
 
 def rank_volumes(placed_edges: DataFrame) -> DataFrame:

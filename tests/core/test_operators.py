@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import sketch
-from gridloom.operators import collection as co, index as ix, models, rebalance as rb, reduce as rd
+from gridloom.operators import collection as co, comm, index as ix, models, rebalance as rb, reduce as rd
 from gridloom.plans import catalog
 from gridloom.plans.queries_collections import gossip_parameters
 from gridloom.session import kept
@@ -63,6 +63,16 @@ def test_user_operator_takes_groups_in_batches(spark):
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_symmetrised_edges_are_one_before_ranks_are_joined(spark, data):
+    rows = [("SendRecv", 1, 2, 0, 1), ("SendRecv", 1, 2, 0, 1), ("SendRecv", 3, 4, 1, 1), ("Broadcast", 1, 2, 0, 1), ("SendRecv", 1, 2, 1, 0)]
+    edges = spark.createDataFrame(rows, "category string, from_object long, to_object long, from_rank long, to_rank long")
+    want = [("Broadcast", 1, 2, 0), ("SendRecv", 1, 2, 0), ("SendRecv", 1, 2, 1), ("SendRecv", 3, 4, 1)]
+    take = lambda df: sorted(map(tuple, df.select("category", "from_object", "to_object", "rank").collect()))
+    assert take(comm.symmetrised(edges)) == want and take(comm.symmetrised(edges.limit(4).distinct(), once=True)) == want
+    plan = catalog.queries()["j06_symmetrise"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "HashAggregate(keys=[" in x and "to_object" in x]) == 2 and "Union" not in plan
+
+
 def test_block_map_covers_all_ranks(spark):
     for n, p in ((256, 16), (10, 3), (2, 4), (7, 7)):
         got = [r[0] for r in spark.range(n).orderBy("id").select(ix.block_map(F.col("id"), n, p)).collect()]
