@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from gridloom.session import ship
 
 
+def rotated(rank: Column, ranks: int, times: Column | int = 1) -> Column:
+    """The rank to which so many rotations move an object."""
+    return F.pmod(rank + times, F.lit(ranks))
+
+
 def rotate(objects: DataFrame, ranks: int) -> DataFrame:
-    return objects.where("migratable").select("object", F.col("rank").alias("from_rank"), F.pmod(F.col("rank") + 1, F.lit(ranks)).alias("to_rank"))
+    return objects.where("migratable").select("object", F.col("rank").alias("from_rank"), rotated(F.col("rank"), ranks).alias("to_rank"))
 
 
 def random_plan(objects: DataFrame, ranks: int, seed: int, phase: int) -> DataFrame:
@@ -297,3 +302,11 @@ def replay(loads: DataFrame, placement: DataFrame, strategy: Callable[[DataFrame
         at = keep(at) if keep else at
     recorded = loads.select(F.col("phase").alias("__of"), "object", "load")
     return recorded.join(places, ["__of", "object"]).select("phase", "object", "rank", "load")
+
+
+def replay_each(loads: DataFrame, placement: DataFrame, moved: Callable[[Column, Column], Column]) -> DataFrame:
+    """As replay, under a strategy that moves each object without regard to others: moved(rank, times) is where it is after
+    so many moves from its first rank. One pass over all phases, whatever their number."""
+    before = F.dense_rank().over(Window.partitionBy("object").orderBy(F.asc_nulls_last("phase"))) - 1
+    rows = loads.select("phase", "object", "load", before.cast("long").alias("__moves")).join(placement.select("object", "rank"), "object")
+    return rows.select("phase", "object", moved(F.col("rank"), F.col("__moves")).alias("rank"), "load")

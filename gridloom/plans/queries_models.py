@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gridloom.operators import comm, models, rebalance as rb, stats
 from gridloom.plans.registry import query
 from gridloom.plans.tables import CENTS, LOADS, PHASE, PLACED, PLACED_EDGES, PLACEMENT, RANK_LOADS, RANKS, cents, edges, loads, phase, placed, placement, table
-from gridloom.session import kept
 
 _SPINE = f"{LOADS}, spine AS (SELECT p.phase, o.object, coalesce(l.load, 0) AS load FROM (SELECT DISTINCT phase FROM loads) p CROSS JOIN (SELECT DISTINCT object FROM loads) o LEFT JOIN loads l ON l.phase = p.phase AND l.object = o.object)"
 _PAST = "PARTITION BY object ORDER BY phase ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING"
@@ -347,10 +346,7 @@ def b12_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def b12_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All recorded objects and phases; an object moves on after each phase in which it has a load."""
-    rows = loads(spark, sf_dir)
-    ends = rows.agg(F.min("phase").alias("first"), F.max("phase").alias("last")).first()
-    if ends["first"] is None:
-        return rows.select("phase", F.lit(0).cast("long").alias("rank"), "load")
-    recorded = kept(rows.select("object", "load", (F.col("phase") - ends["first"]).alias("phase")), "phase")
-    got = rb.replay(recorded, placement(spark, sf_dir), lambda d: rb.rotate(d, RANKS), list(range(ends["last"] - ends["first"] + 1)), keep=kept)
+    first = table(spark, sf_dir, "lineitem").agg(F.min(phase()).alias("first"))
+    recorded = loads(spark, sf_dir).crossJoin(F.broadcast(first)).select("object", "load", (F.col("phase") - F.col("first")).alias("phase"))
+    got = rb.replay_each(recorded, placement(spark, sf_dir), lambda rank, times: rb.rotated(rank, RANKS, times))
     return got.groupBy("phase", "rank").agg(F.sum("load").alias("load"))

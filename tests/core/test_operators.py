@@ -273,6 +273,15 @@ def test_replay_of_sparse_objects(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_replay_each_of_sparse_objects(spark):
+    """As replay gives it, in one pass."""
+    rows = spark.createDataFrame([(0, 1, 5), (0, 2, 7), (1, 2, 1), (1, 3, 4), (2, 1, 2), (4, 3, 9), (4, 1, 1)], "phase long, object long, load long")
+    placed = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "object long, rank long")
+    want = rb.replay(rows, placed, lambda d: rb.rotate(d, 4), list(range(5)), keep=kept)
+    got = rb.replay_each(rows, placed, lambda rank, times: rb.rotated(rank, 4, times))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("lines", [["5 GreedyLB", "what is this"], ["5 GreedyLB min"], ["5 GreedyLB", "5 RotateLB"], ["5 OtherLB"]])
 def test_config_refuses(spark, lines):
     rows = spark.createDataFrame([(x,) for x in lines], "value string")
