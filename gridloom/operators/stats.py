@@ -49,24 +49,28 @@ def stack(df: DataFrame, by: list[str], quantities: dict[str, str]) -> DataFrame
 LOADS = {"load": "load", "load_modelled": "modelled", "strategy_load_modelled": "strategy"}
 
 
-def statistics(objects: DataFrame, edges: DataFrame, ranks: int) -> DataFrame:
+def statistics(objects: DataFrame, edges: DataFrame | None, ranks: int) -> DataFrame:
     """All statistics (see moments) of object and rank loads and communication, by phase: Object_ and Rank_ of comm and of
-    each kind of load in LOADS that objects has.
+    each kind of load in LOADS that objects has. Without edges, of loads only.
 
     objects: phase, object, rank, load (as recorded), and if known modelled (what a model expects) and strategy (what the
     rebalancing strategy's own model does). edges: phase, category, from_object, to_object, from_rank, to_rank, bytes."""
     kinds = {name: c for name, c in LOADS.items() if c in objects.columns}
-    sent = edges.where((F.col("category") == "SendRecv") & (F.col("from_object") != F.col("to_object")))
-    comm = sent.groupBy("phase", F.col("from_object").alias("object")).agg(F.sum("bytes").alias("comm"))
-    by_object = objects.select("phase", "object", *kinds.values()).join(comm, ["phase", "object"], "left").withColumn("comm", F.coalesce("comm", F.lit(0)))
-    away = edges.where(off_rank(F.col("from_rank"), F.col("to_rank")) & (F.col("from_object") != F.col("to_object")) & ~F.col("category").isin(*COLLECTIVE))
-    rank_comm = away.groupBy("phase", F.col("from_rank").alias("rank")).agg(F.sum("bytes").alias("comm"))
     loads = objects.groupBy("phase", "rank").agg(*(F.sum(c).alias(c) for c in kinds.values()))
     spine = objects.select("phase").distinct().join(F.broadcast(objects.sparkSession.range(ranks).withColumnRenamed("id", "rank")))
-    by_rank = spine.join(loads, ["phase", "rank"], "left").join(rank_comm, ["phase", "rank"], "left")
-    by_rank = by_rank.na.fill(0, [*kinds.values(), "comm"])
-    rows = stack(by_object, ["phase"], {f"Object_{k}": c for k, c in (kinds | {"comm": "comm"}).items()}).unionByName(
-        stack(by_rank, ["phase"], {f"Rank_{k}": c for k, c in (kinds | {"comm": "comm"}).items()})
+    by_object, by_rank = objects.select("phase", "object", *kinds.values()), spine.join(loads, ["phase", "rank"], "left")
+    quantities = dict(kinds)
+    if edges is not None:
+        quantities["comm"] = "comm"
+        sent = edges.where((F.col("category") == "SendRecv") & (F.col("from_object") != F.col("to_object")))
+        comm = sent.groupBy("phase", F.col("from_object").alias("object")).agg(F.sum("bytes").alias("comm"))
+        by_object = by_object.join(comm, ["phase", "object"], "left").withColumn("comm", F.coalesce("comm", F.lit(0)))
+        away = edges.where(off_rank(F.col("from_rank"), F.col("to_rank")) & (F.col("from_object") != F.col("to_object")) & ~F.col("category").isin(*COLLECTIVE))
+        rank_comm = away.groupBy("phase", F.col("from_rank").alias("rank")).agg(F.sum("bytes").alias("comm"))
+        by_rank = by_rank.join(rank_comm, ["phase", "rank"], "left")
+    by_rank = by_rank.na.fill(0, [*quantities.values()])
+    rows = stack(by_object, ["phase"], {f"Object_{k}": c for k, c in quantities.items()}).unionByName(
+        stack(by_rank, ["phase"], {f"Rank_{k}": c for k, c in quantities.items()})
     )
     return moments(rows, "value", ["phase", "statistic"])
 

@@ -35,7 +35,12 @@ def extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = loads(spark, sf_dir).crossJoin(extent(spark, sf_dir))
+    return ranked(loads(spark, sf_dir), sf_dir)
+
+
+def ranked(objects: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with the rank of their object."""
+    rows = objects.crossJoin(extent(objects.sparkSession, sf_dir))
     return rows.withColumn("rank", ix.block_map(F.col("object"), F.col("n_objects"), RANKS)).drop("n_objects")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import sketch
-from gridloom.operators import collection as co, comm, index as ix, models, rebalance as rb, reduce as rd
+from gridloom.operators import collection as co, comm, index as ix, models, rebalance as rb, reduce as rd, stats
 from gridloom.plans import catalog
 from gridloom.plans.queries_collections import gossip_parameters
 from gridloom.session import kept
@@ -73,6 +73,15 @@ def test_symmetrised_edges_are_one_before_ranks_are_joined(spark, data):
     assert len([x for x in plan.splitlines() if "HashAggregate(keys=[" in x and "to_object" in x]) == 2 and "Union" not in plan
 
 
+def test_statistics_of_loads_need_no_edges(spark, data):
+    objects = spark.createDataFrame([(0, 1, 0, 2.0), (0, 2, 0, 4.0), (1, 1, 1, 3.0)], "phase long, object long, rank long, load double")
+    edges = spark.createDataFrame([(0, "SendRecv", 1, 2, 0, 1, 8.0)], "phase long, category string, from_object long, to_object long, from_rank long, to_rank long, bytes double")
+    take = lambda df: sorted(map(str, df.where("statistic not like '%comm'").collect()))
+    assert take(stats.statistics(objects, None, 2)) == take(stats.statistics(objects, edges, 2)) and stats.statistics(objects, None, 2).count() == 4
+    plan = catalog.queries()["a28_all_quantities"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "kept-" in plan
+
+
 def test_block_map_covers_all_ranks(spark):
     for n, p in ((256, 16), (10, 3), (2, 4), (7, 7)):
         got = [r[0] for r in spark.range(n).orderBy("id").select(ix.block_map(F.col("id"), n, p)).collect()]
