@@ -32,7 +32,9 @@ HOT = 1 << 14
 QUOTA = 4
 CHUNK = 1 << 17
 _SLICE = 1 << 16
-_MASK32 = (1 << 32) - 1
+#: Marks, in the low half of a size, a member that needs only `loose` (see Bound).
+LOOSE = 1 << 31
+_REST = LOOSE - 1
 
 U64 = np.uint64
 
@@ -94,11 +96,11 @@ def rarity(slices: DataFrame) -> np.ndarray:
 
 
 class Bound:
-    """What two sets of at least `percent` / 100 Jaccard similarity must fulfil. With retained: sets are known by their
-    `retained` least values, of which larger ones must share `far`."""
+    """What two sets of at least `percent` / 100 Jaccard similarity must fulfil. With loose: members that are marked so
+    match from that percentage on, and meet only others that are."""
 
-    def __init__(self, percent: int, retained: int | None = None, far: int = 0):
-        self.percent, self.retained, self.far = percent, retained, far
+    def __init__(self, percent: int, loose: int | None = None):
+        self.percent, self.loose = percent, percent if loose is None else loose
         self.hot, self.quota, self.chunk = HOT, QUOTA, CHUNK
         least = -(-percent // (100 - percent)) if percent < 100 else 1
         #: Values that a list can be keyed by, as any two sets that match share that many.
@@ -113,10 +115,7 @@ class Bound:
         return n * 100 < self.percent * (n + 1)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        need = -(-self.percent * n // 100)
-        if self.retained is None:
-            return n - need + 1
-        return np.minimum(n, self.retained) - np.minimum(need, self.far) + 1
+        return n + self.percent * n // -100 + 1
 
     def size_class(self, n: np.ndarray) -> np.ndarray:
         """Similar sets are in one class or in two that follow each other."""
@@ -125,32 +124,31 @@ class Bound:
     def fits(self, m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Which of the pairs of members x and y can match, as their numbers in x."""
         na, nb = m["n"][x], m["n"][y]
-        at = np.flatnonzero(np.minimum(na, nb) * 100 >= np.maximum(na, nb) * self.percent)
-        x, y, na, nb = x[at], y[at], na[at], nb[at]
-        whole = -(-(na + nb) * self.percent // (100 + self.percent))
-        need = whole if self.retained is None else np.where(np.maximum(na, nb) <= self.retained, whole, self.far)
+        percent = np.where(m["loose"][x], self.loose, self.percent)
+        at = np.flatnonzero(np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+        x, y, total, percent = x[at], y[at], na[at] + nb[at], percent[at]
+        need = -(-total * percent // (100 + percent))
         good = np.flatnonzero(np.minimum(m["rest"][x], m["rest"][y]) >= need)
         at, x, y = at[good], x[good], y[good]
         differ = sum(np.bitwise_count((m[c][x] ^ m[c][y]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
-        return at[differ <= na[good] + nb[good] - 2 * whole[good]]
+        return at[differ <= total[good] - 2 * need[good]]
 
     def fits_sql(self, a: str, b: str) -> Column:
         """fits() for columns {a}size, {a}b0, {a}b1 and those of b."""
         n = lambda p: F.shiftright(f"{p}size", 32)
-        rest = lambda p: F.col(f"{p}size").bitwiseAND(F.lit(_MASK32))
+        rest = lambda p: F.col(f"{p}size").bitwiseAND(F.lit(_REST))
         na, nb = n(a), n(b)
-        whole = F.expr(f"(shiftright({a}size, 32) + shiftright({b}size, 32)) * {self.percent} + {99 + self.percent}").cast("long")
-        whole = F.floor(whole / F.lit(100 + self.percent)).cast("long")
-        need = whole if self.retained is None else F.when(F.greatest(na, nb) <= self.retained, whole).otherwise(F.lit(self.far))
+        percent = F.when(F.col(f"{a}size").bitwiseAND(F.lit(LOOSE)) != 0, self.loose).otherwise(self.percent)
+        need = F.ceil((na + nb) * percent / (percent + 100))
         differ = F.bit_count(F.col(f"{a}b0").bitwiseXOR(F.col(f"{b}b0"))) + F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1")))
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & (F.least(rest(a), rest(b)) >= need) & (differ <= na + nb - whole * 2)
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(rest(a), rest(b)) >= need) & (differ <= na + nb - need * 2)
 
 
 def bitmaps(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sets that begin at `begin`, 128 bits each, of which every value flips one."""
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = values.view(np.uint64) >> U64(57)
+    place = (values.view(np.uint64) >> U64(29)) & U64(127)
     bit = U64(1) << (place & U64(63))
     low = place < 64
     return tuple(np.bitwise_xor.reduceat(np.where(side, bit, U64(0)), begin).view(np.int64) for side in (low, ~low))
@@ -220,12 +218,12 @@ def meetings(bound: Bound, places: list[str]) -> Callable[[Iterator[pa.RecordBat
         v, count = m["value"], int(inner.sum())
         if not count:
             return
-        m["n"], m["rest"] = m["size"] >> 32, m["size"] & _MASK32
+        m["n"], m["rest"], m["loose"] = m["size"] >> 32, m["size"] & _REST, (m["size"] & LOOSE) != 0
         new = np.concatenate([[True], v[1:] != v[:-1]])
         which = np.cumsum(new) - 1
         rank = np.empty(count, dtype=np.int64)
         rank[np.lexsort([m[c] for c in reversed(by)])] = np.arange(count)
-        kind = bound.size_class(m["n"])
+        kind = np.where(m["loose"], 0, bound.size_class(m["n"]))
         # each member is in the list of its class, and a visitor in that of the next
         base = np.tile(np.arange(count), 2)
         group = np.concatenate([which * 256 + kind, which * 256 + kind + 1])

@@ -45,6 +45,25 @@ def test_documents(spark, small_lists):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, 2)
 
 
+@pytest.mark.parametrize("small, parts, sketch, listed", [(4, 4, 1 << 40, 512), (8, 2, 40, 40), (192, 8, 1024, 512)])
+def test_documents_in_parts(spark, monkeypatch, small, parts, sketch, listed):
+    for name, value in {"SMALL": small, "PARTS": parts, "SKETCH": sketch, "LISTED": listed}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(lists, "HOT", 3)
+    rows = [(d, " ".join(t * (1 + d % 2))) for d, t in grown(5, 120, [f"w{k}" for k in range(40)], 4)]
+    rows += [(1000 + d, " ".join(t)) for d, t in grown(6, 40, [f"v{k}" for k in range(90)], 3)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, 2)
+
+
+def test_different_documents_of_common_words_are_no_candidates(spark):
+    rng = random.Random(7)
+    rows = [(d, " ".join(f"w{rng.randrange(40)}" for _ in range(500))) for d in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    met = near_dedup._Linker(docs, 2, 80, near_dedup.Scratch(spark, "met")).met()
+    assert met.count() < len(rows)
+
+
 def test_rows_of_one_id_lose_their_own_lines_only(spark):
     rows = [(1, "a b c d\nalpha beta gamma delta"), (2, "p q\none two three four"), (2, "r s\nalpha beta gamma delta"), (2, "r s\nalpha beta gamma delta")]
     got = sorted(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
