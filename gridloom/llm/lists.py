@@ -133,6 +133,10 @@ class Bound:
         differ = sum(np.bitwise_count((m[c][x] ^ m[c][y]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
         return at[differ <= total[good] - 2 * need[good]]
 
+    def allowed_sql(self, total: Column) -> Column:
+        """The most values that are in one of two sets only, for sets that match and have `total` values together."""
+        return total - F.ceil(total * self.percent / (self.percent + 100)) * 2
+
     def fits_sql(self, a: str, b: str) -> Column:
         """fits() for columns {a}size, {a}b0, {a}b1 and those of b."""
         n = lambda p: F.shiftright(f"{p}size", 32)

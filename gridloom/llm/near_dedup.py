@@ -12,7 +12,10 @@ Steps, each a distributed job:
    match them, are listed by their LISTED smallest values, of which links share at least c.
 3. *Links*: a set takes a few partners from each of its lists, so a group of copies costs its size and not its square.
    Sets that may have more are, after a first verification, compared with the members of their lists in other
-   components, so that no link between components is lost.
+   components, so that no link between components is lost. In crowds, as of near copies of one text, most such sets are
+   too far from all others, and comparing each with each would take the square of the crowd. So a crowd is listed once
+   more, by the values in which its sets differ from one of them, its pivot: a set that is not linked with the pivot
+   shares about half of these with any set that it is linked with, and they are rare, where those of the text are not.
 4. *Verify*: every value of a set flips one of PARITY bits; sets whose bits differ in more places than a link allows
    values to differ are rejected, which is proven. What is left is brought together in blocks of sets, each set once a
    block. Union-sketch estimates reject; sets within SKETCH are exact already, larger ones are built again from whole
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import lists as L
@@ -47,6 +50,8 @@ SMALL, PARTS, LISTED = 192, 8, 512
 PARITY = 2048
 #: Values of sets that are compared in one block.
 BLOCK = 1 << 17
+#: Members from which a crowd is compared by differences from its pivot, and how many of them a copy of the pivot serves.
+CROWD, LANE = 32, 1024
 #: Keys that a task remembers, so as not to list a copy again.
 SEEN = 100_000
 #: Values of sketches that leave a task at once.
@@ -388,6 +393,64 @@ class _Linker:
         ids = self.several.where("u != v").select("doc_id", "u")
         return self.sets.where("n > 0").join(ids, "doc_id").select("u", F.col("key").alias("v"))
 
+    def crowds(self, mixed: DataFrame) -> DataFrame:
+        """Rows (key, part, home, pivot, lanes) of the members of crowds. A list's main component is that of most of its
+        members, and a set's home that of most of its lists. Sets of one home are a crowd. Its pivot is the set of the
+        home that is in most lists, as it has the fewest values of its own."""
+        keep = self.scratch.keep
+        most = lambda c: F.max(F.struct("count", c)).getField(c)
+        main = mixed.groupBy("value", "part").count().groupBy("value").agg(most("part").alias("home"))
+        homes = mixed.join(main, "value").groupBy("key", "part", "home").count()
+        homes = keep(homes.groupBy("key", "part").agg(most("home").alias("home"), F.sum("count").alias("count")))
+        own = F.col("part") == F.col("home")
+        pivot = F.coalesce(F.max(F.when(own, F.struct("count", "key"))).getField("key"), "home")
+        sizes = homes.groupBy("home").agg(F.count("*").alias("c"), F.max(~own).alias("open"), pivot.alias("pivot"))
+        sizes = keep(sizes.where(F.col("open") & (F.col("c") >= CROWD)).select("home", "pivot", (F.floor(F.col("c") / LANE) + 1).alias("lanes")))
+        out = keep(homes.drop("count").join(small(sizes), "home").select("key", "part", "home", "pivot", "lanes"))
+        self.scratch.drop(homes, sizes)
+        return out
+
+    def differences(self, crowds: DataFrame) -> DataFrame:
+        """Rows (key, home, part, inside, n, d, least, values): the d values that are in a member or in its pivot, but not
+        in both. Members that have little of the pivot are left out. inside: of the pivot's component, or linked with the
+        pivot. least: how many of these a member shares at least with any that is linked with it and not inside.
+
+        With allowed(x, y) for the most values in which linked sets differ, linked x and y share at least
+        (dx + dy - allowed(x, y)) / 2 of theirs; y is not linked with the pivot p, so dy > allowed(y, p)."""
+        keep = self.scratch.keep
+        keys = crowds.select("key").unionByName(crowds.select(F.col("pivot").alias("key"))).distinct()
+        reps = keep(self.classes.join(small(keep(keys)), "key").select("key", F.col("rep").alias("doc_id")))
+        sets = keep(self.built(reps, 1 << 40))
+        pivots = crowds.select("home", "pivot", "lanes").distinct().join(sets, F.col("pivot") == F.col("key"))
+        pivots = keep(pivots.select("home", F.col("n").alias("pn"), F.col("values").alias("pv"), F.explode(F.sequence(F.lit(0), F.col("lanes").cast("int") - 1)).alias("lane")))
+        own = sets.join(small(crowds), "key").withColumn("lane", F.pmod(F.xxhash64("key"), "lanes").cast("int"))
+        own = own.join(small(pivots, pivots.agg(F.sum("pn")).first()[0] or 0), ["home", "lane"])
+        own = own.withColumn("values", F.concat(F.array_except("values", "pv"), F.array_except("pv", "values"))).withColumn("d", F.size("values"))
+        own = own.where("2 * d <= n + pn")
+        inside = (F.col("part") == F.col("home")) | (F.col("d") <= self.bounds.allowed_sql(F.col("n") + F.col("pn")))
+        percent = self.bounds.percent
+        least = F.ceil((F.col("d") + (F.col("pn") - F.col("n")) * (100 - percent) / (100 + percent) - 1.001) / 2)
+        out = keep(own.select("key", "home", "part", inside.alias("inside"), "n", "d", F.greatest(least, F.lit(1)).alias("least"), "values"))
+        self.scratch.drop(reps, sets, pivots)
+        return out
+
+    def crowded(self, differ: DataFrame) -> DataFrame:
+        """The pairs (x, y) of a crowd that may be links, but for those inside."""
+        rows = differ.select("key", "home", F.when(F.col("inside"), F.col("home")).otherwise(F.col("part")).alias("part"), "inside", "n", "d", "least", F.explode("values").alias("value"))
+        # what one member alone has is the rarest and meets nothing
+        shared = rows.groupBy("home", "value").count().where("count > 1")
+        # how many of a member's values are not before this one, rare before common
+        left = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("count"), F.desc("value")))
+        listed = self.scratch.keep(rows.join(shared, ["home", "value"]).withColumn("left", left).drop("count"))
+        side = lambda p: listed.select("home", "value", *(F.col(c).alias(f"{p}{c}") for c in ["key", "part", "inside", "n", "d", "least", "left"]))
+        met = side("x").where("xleft >= xleast").join(side("y").where("not yinside"), ["home", "value"])
+        once = F.col("xinside") | ((F.col("yleft") >= F.col("yleast")) & (F.col("xkey") < F.col("ykey")))
+        enough = F.least("xleft", "yleft") * 2 >= F.col("xd") + F.col("yd") - self.bounds.allowed_sql(F.col("xn") + F.col("yn"))
+        met = met.where((F.col("xpart") != F.col("ypart")) & once & enough)
+        out = self.scratch.keep(met.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct())
+        self.scratch.drop(listed)
+        return out
+
     def links(self) -> DataFrame:
         """Edges (u, v) between set keys that have the components of all links."""
         keep = self.scratch.keep
@@ -404,13 +467,19 @@ class _Linker:
         named = keep(open_.join(small(first), open_.key == first.node, "left").select(*L.ENTRY, "more", F.coalesce("label", "key").alias("part")))
         mixed = named.groupBy("value").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("value")
         mixed = keep(named.join(mixed, "value"))
-        side = lambda p: mixed.select("value", *(F.col(c).alias(f"{p}{c}") for c in [*L.ENTRY[1:], "part", "more"]))
+        crowds = self.crowds(mixed)
+        differ = self.differences(crowds)
+        inside = differ.where((F.col("part") != F.col("home")) & F.col("inside")).select(F.col("home").alias("u"), F.col("key").alias("v"))
+        crowded = self.crowded(differ)
+        mixed_ = mixed.join(small(differ.select("key", "home")), "key", "left")
+        side = lambda p: mixed_.select("value", *(F.col(c).alias(f"{p}{c}") for c in [*L.ENTRY[1:], "part", "more", "home"]))
         # partners of a member are those with smaller keys
         pairs = side("x").join(side("y").where("ymore"), "value").where((F.col("xpart") != F.col("ypart")) & (F.col("xkey") < F.col("ykey")) & self.bounds.fits_sql("x", "y"))
-        pairs = pairs.select(F.col("xkey").alias("x"), F.col("ykey").alias("y")).distinct().join(offers, ["x", "y"], "left_anti")
+        pairs = pairs.where(F.coalesce(F.col("xhome") != F.col("yhome"), F.lit(True))).select(F.col("xkey").alias("x"), F.col("ykey").alias("y"))
+        pairs = pairs.distinct().unionByName(crowded).join(offers, ["x", "y"], "left_anti")
         more = self.near(others.unionByName(pairs).distinct())
-        out = keep(edges.unionByName(self.verified(more).select(F.col("x").alias("u"), F.col("y").alias("v"))))
-        self.scratch.drop(met, tried, offers, edges, first, named, mixed, more)
+        out = keep(edges.unionByName(inside).unionByName(self.verified(more).select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        self.scratch.drop(met, tried, offers, edges, first, named, mixed, crowds, differ, crowded, more)
         return out
 
 

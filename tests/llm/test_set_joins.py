@@ -64,6 +64,43 @@ def test_different_documents_of_common_words_are_no_candidates(spark):
     assert met.count() < len(rows)
 
 
+def crowd(seed, n_rows, rate):
+    """A text and copies of it, of which some are too far from it to be linked, and few are linked with each other only."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    rows = [(0, base)]
+    for d in range(1, n_rows):
+        text, change = list(base if d % 9 else rows[d // 2][1]), rng.random() * rate
+        rows.append((d, [rng.choice(words) if rng.random() < change else w for w in text]))
+    return [(d, " ".join(t)) for d, t in rows]
+
+
+@pytest.mark.parametrize("lane, quota", [(7, 1), (1024, 4)])
+def test_crowds(spark, monkeypatch, lane, quota):
+    for name, value in {"CROWD": 2, "LANE": lane}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(lists, "QUOTA", quota)
+    rows = crowd(8, 60, 0.2) + [(100 + d, t) for d, t in crowd(9, 50, 0.3)]
+    rows += [(200 + d, " ".join(t)) for d, t in grown(10, 80, [f"w{k}" for k in range(25)], 4)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(rows, 2)
+
+
+def test_candidates_do_not_grow_with_the_square_of_a_crowd(spark, monkeypatch):
+    counts, near = [], near_dedup._Linker.near
+
+    def counted(self, pairs):
+        counts.append(pairs.count())
+        return near(self, pairs)
+
+    monkeypatch.setattr(near_dedup._Linker, "near", counted)
+    rows = crowd(11, 400, 0.22)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near_dedup._Linker(docs, 2, 80, near_dedup.Scratch(spark, "crowd")).links()
+    assert counts[1] < 4 * len(rows), counts
+
+
 def test_rows_of_one_id_lose_their_own_lines_only(spark):
     rows = [(1, "a b c d\nalpha beta gamma delta"), (2, "p q\none two three four"), (2, "r s\nalpha beta gamma delta"), (2, "r s\nalpha beta gamma delta")]
     got = sorted(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
