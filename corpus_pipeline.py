@@ -57,7 +57,7 @@ def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each row of docs, a null text as an empty one: doc_id, n_tokens, ids (packed little-endian unsigned 32-bit), and digests of the ids and of their decoding."""
     ranks = multi_ranks()
-    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, spaced=True, decoded=True).select(
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, spaced=True, decoded=True, lean=True).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -28,6 +28,8 @@ from gridloom.llm.workers import prepare, tidy
 
 #: Bytes, about, of a generation of a task's memory of pre-tokens, and of stretches; there are two generations of each.
 MEMORY = 16 << 20
+#: The same where workers have other steps before and after, whose memory an executor holds too.
+LEAN = 4 << 20
 #: Longer ones are not remembered; bytes an entry takes besides its key's and value's own.
 LONG, _ENTRY = 256, 180
 #: Texts, and their characters, that are encoded together.
@@ -144,14 +146,14 @@ class Memory:
     """What was made for the keys asked for lately: a full generation becomes the older one, from which a key that is
     asked for again comes back."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int | None = None) -> None:
         self.now: dict[str, bytes | int] = {}
         self.older: dict[str, bytes | int] = {}
-        self.size = 0
+        self.size, self.most = 0, MEMORY if most is None else most
 
     def lacking(self, keys: set[str]) -> list[str]:
         """Those of the keys that are not in `now`, after what is known of them came there."""
-        if self.size > MEMORY:
+        if self.size > self.most:
             self.older, self.now, self.size = self.now, {}, 0
         new, older = [], self.older
         for k in keys.difference(self.now):
@@ -186,16 +188,16 @@ class ByteBPE:
     #: White space, then a space that more white space or the end follows: tokens there may hold several spaces.
     SPACES = re.compile(r"\s (?:\s|\Z)")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
-        self.ranks, self.spaced = ranks, spaced
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False, memory: int | None = None):
+        self.ranks, self.spaced, self.memory = ranks, spaced, memory
         self.tokens = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pieces, self.stretches = Memory(), Memory()
+        self.clear()
 
     def clear(self) -> None:
         """A task's memory is not kept for the next, which would mostly find other pre-tokens in it."""
-        self.pieces, self.stretches = Memory(), Memory()
+        self.pieces, self.stretches = Memory(self.memory), Memory(self.memory)
 
     def _merged(self, pieces: list[str]) -> None:
         """Remembers the ids of pre-tokens, some 8 KB of them a run."""
@@ -245,11 +247,11 @@ class ByteBPE:
 _coders: dict[tuple, ByteBPE] = {}
 
 
-def _coder(data: bytes, pattern: str, spaced: bool) -> ByteBPE:
-    key = (hashlib.sha256(data).digest(), pattern, spaced)
+def _coder(data: bytes, pattern: str, spaced: bool, lean: bool = False) -> ByteBPE:
+    key = (hashlib.sha256(data).digest(), pattern, spaced, lean)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = ByteBPE(read_ranks(data), pattern, spaced)
+        _coders[key] = ByteBPE(read_ranks(data), pattern, spaced, LEAN if lean else None)
     return _coders[key]
 
 
@@ -264,12 +266,13 @@ def text_groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
             texts, size, first = [], 0, i + 1
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, decoded: bool = False, lean: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids (packed little-endian unsigned 32-bit ids), and if wanted
     what decode() makes of them (bytes).
 
     ranks is the content of a rank file, pattern the expression whose matches are encoded separately (text that it does
-    not match is dropped, as a pattern for this use matches all). spaced: see ByteBPE. No special tokens are known.
+    not match is dropped, as a pattern for this use matches all). spaced: see ByteBPE. lean: with less memory, of which
+    nothing stays in a worker when a task ends, but more time. No special tokens are known.
     Null and empty texts give no ids. A text or pre-token of any length is encoded whole. Row order, repeated rows and
     null doc_ids are kept; other columns are ignored."""
     spark: SparkSession = docs.sparkSession
@@ -278,7 +281,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, de
     names = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern, spaced)
+        coder = _coder(shared.value, pattern, spaced, lean)
         for b in batches:
             for first, texts in text_groups(b.column("text")):
                 ids = coder.encode_all(texts)
@@ -287,6 +290,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, spaced: bool = False, de
                     cols.append(pa.array(list(map(coder.decode, ids)), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names)
         coder.clear()
+        if lean:
+            _coders.clear()
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), schema)

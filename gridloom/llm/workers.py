@@ -19,6 +19,8 @@ from gridloom.session import ship
 #: Bytes of a batch of rows on its way to a worker or back: rows here are whole texts, and the JVM and the worker hold a
 #: batch each, several times over.
 BATCH_BYTES = 4 << 20
+#: Bytes of a batch that a worker sends back, about: the JVM holds it outside its heap, and does not return that memory.
+PIECE_BYTES = 1 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -42,13 +44,21 @@ def release() -> None:
         pass
 
 
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch by slices of about PIECE_BYTES, or one row if that is longer."""
+    step = max(1, b.num_rows * PIECE_BYTES // max(1, b.nbytes))
+    for lo in range(0, b.num_rows, step):
+        yield b.slice(lo, step)
+
+
 def tidy(run: Run) -> Run:
     """A function for mapInArrow that returns its memory when its task ends."""
 
     @wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for b in run(batches):
+                yield from pieces(b)
         finally:
             release()
 

@@ -4,11 +4,12 @@ from array import array
 
 import brute
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from gridloom.llm import byte_bpe, decontaminate, line_dedup, near_dedup, queries, token_counts
+from gridloom.llm import byte_bpe, decontaminate, line_dedup, near_dedup, queries, token_counts, workers
 from gridloom.llm.components import components
 from gridloom.llm.scratch import Scratch
 
@@ -70,6 +71,22 @@ def test_bpe_takes_lower_ranks_first_when_they_come_late():
         assert coder.encode(text) == array("I", plain.encode_ordinary(text)).tobytes()
 
 
+def test_lean_bpe_holds_less_and_gives_the_same(ranks):
+    full, lean = byte_bpe.ByteBPE(ranks, PATTERN), byte_bpe.ByteBPE(ranks, PATTERN, memory=1 << 12)
+    rng = random.Random(12)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("abeilnorst") for _ in range(9)) for _ in range(20))
+        assert lean.encode(text) == full.encode(text)
+    assert len(lean.pieces.now) + len(lean.pieces.older) < 100 < len(full.pieces.now)
+
+
+def test_batches_from_workers_are_bounded(monkeypatch):
+    monkeypatch.setattr(workers, "PIECE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1000)), "y": ["a" * 10] * 1000})
+    got = list(workers.tidy(lambda batches: batches)(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) and all(b.nbytes < 1100 for b in got)
+
+
 def test_op1_rows(spark, docs, odd, none, reference):
     for table in (docs, odd):
         got = byte_bpe.roundtrip_digests(table, queries.multi_ranks(), PATTERN, spaced=True).collect()
