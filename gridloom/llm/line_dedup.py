@@ -27,6 +27,8 @@ from gridloom.llm.workers import tidy
 _LINES = 1 << 17
 #: Lines whose first copy a task remembers.
 SEEN = 100_000
+#: Entries in lists that a line has, about.
+ENTRIES = 10
 _PLACE = ["doc_id", "line"]
 
 
@@ -91,10 +93,10 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names)
 
 
-def _entries(codes, bound: L.Bound):
+def _entries(codes, bound: L.Bound, buckets: int):
     """The lists that the lines enter. An exact copy that the task met is listed once more only if it comes earlier."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         table, seen = codes.value, {}
         for b in batches:
             ids = b.column("doc_id").to_numpy()
@@ -112,10 +114,9 @@ def _entries(codes, bound: L.Bound):
                             wanted[i] = False
                     value, owner, rest = L.entries(x.tokens, x.codes, x.begin, x.size, bound, (x.size, wanted))
                     low, high = L.bitmaps(x.tokens, x.begin)
-                    cols = (value.view(np.int64), keys[owner], L.packed(x.size[owner], rest), low[owner], high[owner], docs[owner], x.number[owner])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [*L.ENTRY, *_PLACE])
+                    yield value, keys[owner], L.packed(x.size[owner], rest), low[owner], high[owner], docs[owner], x.number[owner]
 
-    return run
+    return lambda batches: L.dealt(listed(batches), buckets)
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +146,12 @@ class _Matcher:
 
     def met(self) -> DataFrame:
         codes = self.docs.sparkSession.sparkContext.broadcast(L.rarity(self.counts))
-        rows = self.docs.select("doc_id", "text").mapInArrow(tidy(_entries(codes, self.bound)), ", ".join(f"{c} long" for c in [*L.ENTRY, *_PLACE]))
-        rows = rows.repartition("value").sortWithinPartitions("value")
-        return self.keep(rows.mapInArrow(tidy(L.meetings(self.bound, _PLACE)), L.schema(_PLACE)))
+        # buckets of a bounded size, and so many that tasks get about the same
+        tasks = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(32 * tasks, self.lines.count() * ENTRIES // L.IN_BUCKET)
+        rows = self.docs.select("doc_id", "text").mapInArrow(tidy(_entries(codes, self.bound, buckets)), L.BLOCKS)
+        rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+        return self.keep(rows.mapInArrow(tidy(L.meetings_dealt(self.bound, _PLACE)), L.schema(_PLACE)))
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """Of the pairs (key, doc_id, line, pkey, pdoc_id, pline) that are similar: key, and the earliest partner's place."""

@@ -13,7 +13,10 @@ that can meet. Lengths, the positions of the value, and a bitmap reject pairs, a
 flips one of 128 bits, so bitmaps differ in no more bits than sets differ in values. A member takes up to QUOTA partners
 in a list, so that a group of n copies costs n and not its square. A list in which a member reached that number is given
 out as open: the caller compares its members further where the partners so far did not settle the matter. So is a list
-of more than CHUNK members, which is compared in pieces; no more than that is held."""
+of more than CHUNK members, which is compared in pieces; no more than that is held.
+
+*Deals.* Rows of longs are dear to sort and convert one by one. So dealt() packs those of a task, some at a time, into
+blocks by hashed buckets of values, and meetings_dealt() sorts a bucket at a time where its blocks come together."""
 
 from __future__ import annotations
 
@@ -32,6 +35,8 @@ HOT = 1 << 14
 QUOTA = 4
 CHUNK = 1 << 17
 _SLICE = 1 << 16
+#: Entries that a task packs at once, and that a bucket has, about.
+DEAL, IN_BUCKET = 1 << 17, 1 << 16
 #: Marks, in the low half of a size, a member that needs only `loose` (see Bound).
 LOOSE = 1 << 31
 _REST = LOOSE - 1
@@ -197,9 +202,45 @@ def schema(places: list[str]) -> str:
     return ", ".join(f"{c} long" for c in [*ENTRY, *places, "pkey", *(f"p{c}" for c in places)]) + ", more boolean"
 
 
+BLOCKS = "bucket int, entries binary"
+
+
+def dealt(parts: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Columns of entries, the value first, as BLOCKS: of each bucket of values the columns one after the other."""
+
+    def packed_blocks(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        cols = np.stack([np.concatenate(c).view(np.int64) for c in zip(*held, strict=True)])
+        which = (W.mix(cols[0].view(np.uint64)) % U64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(which, kind="stable")
+        which, cols = which[order], cols[:, order]
+        begin = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        blocks = [cols[:, a:b].tobytes() for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(which)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(which[begin].astype(np.int32)), pa.array(blocks, pa.binary())], ["bucket", "entries"])
+
+    held, size = [], 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
+        if size >= DEAL:
+            yield packed_blocks(held)
+            held, size = [], 0
+    if held:
+        yield packed_blocks(held)
+
+
 def meetings(bound: Bound, places: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over rows ENTRY + places, sorted by value. Earlier members, by places and then key, are partners
     of later ones."""
+    return _meetings(bound, places)[0]
+
+
+def meetings_dealt(bound: Bound, places: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """meetings() over BLOCKS of the same rows, those of a bucket together."""
+    return _meetings(bound, places)[1]
+
+
+def _meetings(bound: Bound, places: list[str]):
     names = [*ENTRY, *places]
     by = [*places, "key"]
 
@@ -210,14 +251,14 @@ def meetings(bound: Bound, places: list[str]) -> Callable[[Iterator[pa.RecordBat
         cols.append(pa.nulls(len(rows), pa.bool_()) if more is None else pa.array(more[rows]))
         return pa.RecordBatch.from_arrays(cols, [*names, "pkey", *(f"p{c}" for c in places), "more"])
 
-    def compared(m: dict[str, np.ndarray], split: int | None) -> Iterator[pa.RecordBatch]:
-        """Whole lists, but that of the value `split`."""
+    def compared(m: dict[str, np.ndarray], split: int | list[int] | None) -> Iterator[pa.RecordBatch]:
+        """Whole lists, but those of the value or values `split`."""
         v = m["value"]
         same = np.zeros(len(v) + 1, dtype=bool)
         same[1:-1] = v[1:] == v[:-1]
         inner = same[:-1] | same[1:]
         if split is not None:
-            inner |= v == split
+            inner |= np.isin(v, split)
         m = {c: x[inner] for c, x in m.items()}
         v, count = m["value"], int(inner.sum())
         if not count:
@@ -260,7 +301,7 @@ def meetings(bound: Bound, places: list[str]) -> Callable[[Iterator[pa.RecordBat
             yield give(m, py[once], px[once], None)
         more = (got >= bound.quota) & (got < 1 << 30)
         if split is not None:
-            more |= (v == split) & (got < 1 << 30)
+            more |= np.isin(v, split) & (got < 1 << 30)
         if more.any():
             open_ = np.zeros(int(which[-1]) + 1, dtype=bool)
             open_[which[more]] = True
@@ -292,4 +333,48 @@ def meetings(bound: Bound, places: list[str]) -> Callable[[Iterator[pa.RecordBat
         if held:
             yield from compared(arrays(held), split)
 
-    return run
+    def sorted_(held: list[np.ndarray]) -> np.ndarray:
+        cols = np.concatenate(held, axis=1)
+        return cols[:, np.argsort(cols[0])]
+
+    def run_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size, now, split, most = 0, None, [], 2 * bound.chunk
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """What is held, in pieces of whole lists, each a chunk and a list long at most."""
+            cols = sorted_(held)
+            new = np.flatnonzero(cols[0, 1:] != cols[0, :-1]) + 1
+            a = 0
+            while a < cols.shape[1]:
+                k = np.searchsorted(new, a + bound.chunk)
+                b = int(new[k]) if k < len(new) else cols.shape[1]
+                yield from compared(dict(zip(names, cols[:, a:b], strict=True)), split or None)
+                a = b
+
+        for b in batches:
+            for bucket, block in zip(b.column("bucket").to_pylist(), b.column("entries"), strict=True):
+                if bucket != now:
+                    now = bucket
+                    # small buckets are compared together
+                    if held and (split or size >= bound.chunk):
+                        yield from done()
+                        held, size, split, most = [], 0, [], 2 * bound.chunk
+                held.append(np.frombuffer(block.as_buffer(), dtype=np.int64).reshape(len(names), -1))
+                size += held[-1].shape[1]
+                if size < most:
+                    continue
+                # lists so long that they are not held whole are compared by what there is of them
+                cols = sorted_(held)
+                value, count = np.unique(cols[0], return_counts=True)
+                split = sorted({*split, *value[count > bound.chunk // 2].tolist()})
+                long = np.isin(cols[0], split)
+                if long.any():
+                    yield from compared(dict(zip(names, cols[:, long], strict=True)), split)
+                held = [cols[:, ~long]]
+                size = held[0].shape[1]
+                most = size + bound.chunk
+        if held:
+            yield from done()
+
+    return run, run_dealt

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from gridloom.llm import line_dedup, lists, near_dedup
@@ -39,6 +40,20 @@ def test_lines(spark, small_lists):
     assert {r.doc_id: r.text for r in got} == brute.deduped_lines(rows)
 
 
+def test_lines_are_dealt_in_blocks(spark, monkeypatch):
+    """Entries leave a task as few blocks, not as a row each, and come out as lists whole."""
+    monkeypatch.setattr(lists, "DEAL", 50)
+    made, rows = [], grown(13, 160, [f"w{k}" for k in range(60)], 5)
+    rng = np.random.default_rng(1)
+    cols = [rng.integers(0, 40, 500)] + [np.arange(500) + k for k in range(6)]
+    for b in lists.dealt(iter([tuple(c[:30] for c in cols), tuple(c[30:] for c in cols)]), 8):
+        made += [np.frombuffer(x, dtype=np.int64).reshape(7, -1) for x in b.column("entries").to_pylist()]
+    assert len(made) <= 8 and sorted(np.concatenate(made, axis=1).T.tolist()) == sorted(np.stack(cols).T.tolist())
+    texts = [(d, " ".join(t[:9]) + "\n" + " ".join(t[9:])) for d, t in rows]
+    got = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.text for r in got} == brute.deduped_lines(texts)
+
+
 def test_documents(spark, small_lists):
     rows = [(d, " ".join(t)) for d, t in grown(4, 160, [f"w{k}" for k in range(25)], 4)]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=2).collect()
